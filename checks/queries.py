@@ -9,6 +9,7 @@ from letterflow.plans import frequency as frequency_plan
 from letterflow.plans import prescriptions as prescription_plan
 from letterflow.plans import validation as validation_sql
 from letterflow.sources.scan import null_tokens
+from letterflow.sources.sink import keep
 
 # Lookup values for the test tables: generic names, top doses, groups and types.
 NAME_MAP = (
@@ -288,7 +289,7 @@ def severity_basic(spark, d):
 
 
 def scored(spark, d):
-    return frequency.severity_by_code(frequency.severity_table(load(spark, d, "sf_v")))
+    return frequency_plan.scored_reports(load(spark, d, "sf_v"))
 
 
 def grouped(spark, d):
@@ -297,7 +298,7 @@ def grouped(spark, d):
 
 @query
 def severity_by_code(spark, d):
-    return scored(spark, d)
+    return frequency.severity_by_code(frequency.severity_table(load(spark, d, "sf_v")))
 
 
 @query
@@ -526,7 +527,7 @@ def dates_with_letters(spark, d):
 
 @query
 def duplicate_docs(spark, d):
-    return validation.duplicate_rows(dates_and_docs(spark, d), "DOC")
+    return validation.duplicate_rows(keep(dates_and_docs(spark, d)), "DOC")
 
 
 @query

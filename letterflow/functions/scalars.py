@@ -20,14 +20,10 @@ def parse_dmy(c):
 
 
 def date_from_parts(year, month, day):
-    """Year, month and day to a date; a missing or impossible part gives NULL."""
-    y, m, d = col(year).cast("int"), col(month).cast("int"), col(day).cast("int")
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    length = (F.when(m.isin(4, 6, 9, 11), 30)
-              .when(m == 2, F.when(leap, 29).otherwise(28))
-              .otherwise(31))
-    return F.when(y.between(0, 9999) & m.between(1, 12) & d.between(1, length),
-                  F.make_date(y, m, d))
+    """Year (0 to 9999), month and day to a date; a missing or impossible part gives NULL."""
+    y, dash = col(year), F.lit("-")
+    text = F.concat(F.lpad(y.cast("string"), 4, "0"), dash, col(month), dash, col(day))
+    return F.when(y <= 9999, text.try_cast("date"))
 
 
 def expand_birth_year(c, pivot=None):

@@ -26,22 +26,22 @@ def normalise_annotations(df, keep=(), birth_pivot=None, visit_pivot=None):
 
     The parts are dropped, the event parts YD, MD, DD too unless named in `keep`.
     """
-    def part_date(prefix, expand, pivot):
-        year, month, day = (f"{prefix}{p}" for p in ("YD", "MD", "DD"))
-        if not {year, month, day} <= set(df.columns):
-            return F.lit(None).cast("date")
-        return date_from_parts(expand(year, pivot), month, day)
-
-    clinic = part_date("Clinic", expand_visit_year, visit_pivot)
-    letter = part_date("Let", expand_visit_year, visit_pivot)
+    expand = {"DoB": (expand_birth_year, birth_pivot), "Clinic": (expand_visit_year, visit_pivot),
+              "Let": (expand_visit_year, visit_pivot)}
+    dates = {"DoB": "DoB", "Clinic": "Clinic_Date", "Let": "Let_Date"}
+    years, built = {}, {}
+    for prefix, (rule, pivot) in expand.items():
+        if {f"{prefix}{p}" for p in EVENT_PARTS} <= set(df.columns):
+            years[f"_{prefix}Y"] = rule(f"{prefix}YD", pivot)
+            built[dates[prefix]] = date_from_parts(
+                f"_{prefix}Y", f"{prefix}MD", f"{prefix}DD")
+        else:
+            built[dates[prefix]] = F.lit(None).cast("date")
     clean = {"NHS_No": normalise_id("NHS_No"), "Hosp_No": normalise_id("Hosp_No", " ")}
     dropped = {*PARTS, *EVENT_PARTS} - set(keep)
-    kept = [clean[c].alias(c) if c in clean else F.col(c) for c in df.columns if c not in dropped]
-    return df.select(
-        *kept,
-        part_date("DoB", expand_birth_year, birth_pivot).alias("DoB"),
-        clinic.alias("Clinic_Date"), letter.alias("Let_Date"),
-        F.coalesce(clinic, letter).alias("DATEREC"))
+    return (df.withColumns(years).withColumns({**clean, **built})
+            .withColumn("DATEREC", F.coalesce("Clinic_Date", "Let_Date"))
+            .drop(*dropped, *years))
 
 
 def letter_dates(dates, letters, on="LETTER", hot_rows=HOT_ROWS):

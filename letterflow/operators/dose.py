@@ -38,7 +38,7 @@ def _window(doc, order):
 def _in_lanes(df, doc, order, hot_rows):
     if order[0] != "START":
         return df.withColumn(LANE, F.lit(0))
-    return in_lanes(df, [doc, "START"], [doc, *RUN], _ascending(order), REACH, hot_rows)
+    return in_lanes(df, [doc], [doc, *RUN], _ascending(order), REACH, hot_rows)
 
 
 def _flag(df, doc, order):

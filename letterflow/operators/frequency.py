@@ -11,7 +11,7 @@ from letterflow.functions.lookups import (
     RATE_LOWEST, WEEKS_PER_MONTH)
 from letterflow.functions.scalars import date_from_parts, safe_divide
 from letterflow.operators.joins import join_null_safe, lookup_join
-from letterflow.operators.skew import HOT_ROWS, LANE, in_lanes
+from letterflow.operators.skew import HOT_ROWS, LANE, hot_keys, in_lanes
 
 VARIANTS = ("basic", "expanded")
 # Rows looked back over for an earlier report of the same seizure type.
@@ -35,13 +35,15 @@ def _order(df):
     return [F.asc_nulls_last(c) for c in ORDER if c in df.columns]
 
 
-def _history(df):
-    return Window.partitionBy(PERSON, LANE).orderBy(*_order(df))
+def _history(df, hot_rows):
+    """The rows in lanes, and the window over each person's rows in time order.
 
-
-def _in_lanes(df, hot_rows):
-    """Only the ends of a date's rows meet other dates; a person has few dates."""
-    return in_lanes(df, [PERSON], [PERSON, "DATEREC"], _order(df), DEPTH, hot_rows)
+    Only the ends of a date's rows meet other dates, and a person has few dates,
+    so lane 0 of a person is small whatever the number of rows.
+    """
+    order = _order(df)
+    rows = in_lanes(df, [PERSON], [PERSON, "DATEREC"], order, DEPTH, hot_rows)
+    return rows, Window.partitionBy(PERSON, LANE).orderBy(*order)
 
 
 # --- row by row ------------------------------------------------------------------------
@@ -177,25 +179,34 @@ def severity(df, free_below=FREE_DAYS_BELOW, rate_above=RATE_ABOVE):
 
 # --- looking back ------------------------------------------------------------------------
 
-def _prev_record_date(df):
-    before = F.lag("DATEREC", 1).over(_history(df))
+def _prev_record_date(df, w):
+    before = F.lag("DATEREC", 1).over(w)
     usable = (F.col(LANE) == 0) & F.col(PERSON).isNotNull()
     return df.withColumn("PrevRecDate", F.when(usable & (F.col("DATEREC") > before), before))
 
 
-def _prev_same_code(df, value, out, depth=DEPTH, only_if_null=None):
-    w = _history(df)
+def _steps_back(df, w, depth=DEPTH):
+    """`_steps`: how many rows back the same code stands with an earlier date."""
+    steps = range(1, depth + 1)
+    rows = df.withColumns({f"_{c}{k}": F.lag(c, k).over(w)
+                           for k in steps for c in ("CUI", "DATEREC")})
+    found = F.lit(None).cast("int")
+    for k in reversed(steps):
+        same = (F.col("CUI") == F.col(f"_CUI{k}")) & (F.col("DATEREC") > F.col(f"_DATEREC{k}"))
+        found = F.when(same, k).otherwise(found)
     usable = (F.col(LANE) == 0) & F.col(PERSON).isNotNull()
+    return rows.withColumn("_steps", F.when(usable, found)).drop(
+        *[f"_{c}{k}" for k in steps for c in ("CUI", "DATEREC")])
+
+
+def _value_back(df, w, value, out, depth=DEPTH, only_if_null=None):
+    """The value `_steps` rows back, NULL or not."""
+    steps = F.col("_steps")
     if only_if_null is not None:
-        usable = usable & F.col(only_if_null).isNull()
-    row = F.struct(F.col("CUI").alias("code"), F.col("DATEREC").alias("date"),
-                   F.col(value).alias("value"))
-    found = F.when(F.lit(False), F.lit(None))
-    for k in range(1, depth + 1):
-        back = F.lag(row, k).over(w)
-        found = found.when(
-            usable & (F.col("CUI") == back["code"]) & (F.col("DATEREC") > back["date"]),
-            back["value"])
+        steps = F.when(F.col(only_if_null).isNull(), steps)
+    found = F.when(steps == 1, F.lag(value, 1).over(w))
+    for k in range(2, depth + 1):
+        found = found.when(steps == k, F.lag(value, k).over(w))
     return df.withColumn(out, found)
 
 
@@ -207,10 +218,10 @@ def prev_record_date(df, distinct_dates=False, hot_rows=HOT_ROWS):
     """
     if distinct_dates:
         # Every row of a date gets the same answer, so it is found per date.
-        dates = df.select(PERSON, "DATEREC").distinct().withColumn(LANE, F.lit(0))
-        dates = _prev_record_date(dates).drop(LANE)
+        dates = _prev_record_date(*_history(df.select(PERSON, "DATEREC").distinct(), None))
+        dates = dates.drop(LANE)
         return join_null_safe(df, dates, [PERSON, "DATEREC"], "left", hot_rows)
-    return _prev_record_date(_in_lanes(df, hot_rows)).drop(LANE)
+    return _prev_record_date(*_history(df, hot_rows)).drop(LANE)
 
 
 def prev_same_code(df, value, out, depth=DEPTH, only_if_null=None, hot_rows=HOT_ROWS):
@@ -220,7 +231,9 @@ def prev_same_code(df, value, out, depth=DEPTH, only_if_null=None, hot_rows=HOT_
     """
     if depth > DEPTH:
         raise ValueError(f"depth is at most {DEPTH}")
-    return _prev_same_code(_in_lanes(df, hot_rows), value, out, depth, only_if_null).drop(LANE)
+    rows, w = _history(df, hot_rows)
+    rows = _value_back(_steps_back(rows, w, depth), w, value, out, depth, only_if_null)
+    return rows.drop("_steps", LANE)
 
 
 # --- put together --------------------------------------------------------------------------
@@ -230,14 +243,14 @@ def frequency_table(df, variant="expanded", hot_rows=HOT_ROWS):
     expanded = _check(variant)
     rows = record_year(event_date(df))
     rows = stated_rate(period_days(period_count(event_count(rows, variant))), variant)
-    rows = _in_lanes(rows, hot_rows)
+    rows, w = _history(rows, hot_rows)
     if expanded:
-        rows = _prev_record_date(rows)
-    rows = _prev_same_code(rows, "DATEREC", "PrevRecCUI")
+        rows = _prev_record_date(rows, w)
+    rows = _value_back(_steps_back(rows, w), w, "DATEREC", "PrevRecCUI")
     rows = seizure_free_days(since_rate(days_diff(rows, variant), variant))
-    rows = _prev_same_code(rows, "DailyRateF", "PrevCUIFreq", only_if_null="DailyRateF")
+    rows = _value_back(rows, w, "DailyRateF", "PrevCUIFreq", only_if_null="DailyRateF")
     rows = final_rate(carry_forward_same(rows, variant))
-    return severity(rows).drop(LANE)
+    return severity(rows).drop("_steps", LANE)
 
 
 WORKING = ("PrevRecCUI", "PrevRecDate", "NumS", "NTP", "DailyRate", "DailyRate2", "DailyRateF",
@@ -272,17 +285,18 @@ def rate_subsets(df):
 def max_severity(df, keys=("DATEREC",), hot_rows=HOT_ROWS):
     """Rows whose severity is the largest of their group, ties included."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    top = df.groupBy(*keys).agg(F.max("FreqSeverity").alias("_top"))
-    # The score is part of the join, so only rows that stay are matched.
-    pairs = {**{k: k for k in keys}, "FreqSeverity": "_top"}
-    return join_null_safe(df.filter(F.col("FreqSeverity").isNotNull()), top, pairs,
-                          "left_semi", hot_rows)
+    df = df.filter(F.col("FreqSeverity").isNotNull())
+    # One aggregate gives the maximum and which groups are too large for a task.
+    top = df.groupBy(*keys).agg(F.max("FreqSeverity").alias("_top"), F.count("*").alias("_rows"))
+    hot = None if hot_rows is None else hot_keys(top, keys, hot_rows, "_rows")
+    return join_null_safe(df, top.drop("_rows"), keys, "left_semi", hot_rows, hot=hot,
+                          also=F.col("FreqSeverity") == F.col("_top"))
 
 
 def min_max_norm(df, col="FreqSeverity", out="NV"):
     """`col` scaled to 0..1 over the whole table; NULL where all values are equal."""
-    ends = df.agg(F.min(col).alias("low"), F.max(col).alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
+    ends = df.agg(F.struct(F.min(col).alias("low"), F.max(col).alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     return df.withColumn(out, safe_divide(F.col(col) - low, high - low))
 
 

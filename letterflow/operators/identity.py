@@ -7,7 +7,8 @@ from pyspark.sql import Window, functions as F
 from letterflow.functions.lookups import DISSOCIATIVE_CODES
 from letterflow.functions.scalars import gender_code, normalise_id
 from letterflow.operators.joins import join_null_safe
-from letterflow.operators.skew import HOT_ROWS
+from letterflow.operators.skew import HOT_ROWS, hot_keys
+from letterflow.sources.sink import keep
 
 IDENTITY = ("NHS_No", "Surname", "FirstName", "DoB", "Gender", "PostCode", "Address")
 # Who a record is about, when the NHS number is not written.
@@ -72,15 +73,21 @@ def identity_file(ind, as_of, hot_rows=HOT_ROWS):
 
     An identity without any known NHS number stays with NULL. The address is the
     first one, in text order, of the identity. `as_of` is the load date.
+
+    The distinct identities, far fewer than the annotations, are kept once by a
+    checkpoint, so that the annotation tables are read a single time.
     """
     known = ind.filter(F.col("DoB").isNotNull() & F.col("Surname").isNotNull())
     rows = known.withColumn("GENDER_CD", gender_code("Gender"))
-    numbers = rows.groupBy(*PERSON_KEYS, "NHS_No").agg(F.min("Address").alias("Address"))
+    numbers = keep(rows.groupBy(*PERSON_KEYS, "NHS_No").agg(F.min("Address").alias("Address")))
     # Summarised once more per identity, then joined back instead of joining all
     # addresses to all numbers.
     summary = numbers.groupBy(*PERSON_KEYS).agg(
-        F.min("Address").alias("ADDRESS_1"), (F.count("NHS_No") == 0).alias("_unknown"))
-    file = join_null_safe(numbers.drop("Address"), summary, list(PERSON_KEYS), "inner", hot_rows)
+        F.min("Address").alias("ADDRESS_1"), (F.count("NHS_No") == 0).alias("_unknown"),
+        F.count("*").alias("_rows"))
+    hot = None if hot_rows is None else hot_keys(summary, PERSON_KEYS, hot_rows, "_rows")
+    file = join_null_safe(numbers.drop("Address"), summary.drop("_rows"), PERSON_KEYS, "inner",
+                          hot_rows, hot=hot)
     file = (file.filter(F.col("NHS_No").isNotNull() | F.col("_unknown"))
             .select("NHS_No", *PERSON_KEYS, F.translate("ADDRESS_1", ",", "").alias("ADDRESS_1"))
             .withColumnsRenamed(FILE_NAMES))

@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from letterflow.operators.skew import HOT_ROWS, SALTS, null_safe, salted
+from letterflow.operators.skew import HOT_ROWS, SALTS, hot_keys, null_safe, salted
 
 # Largest planned size of a lookup that is broadcast.
 LOOKUP_BYTES = 64 * 1024 * 1024
@@ -17,12 +17,14 @@ def _pairs(on):
 
 
 def join_null_safe(left, right, on, how="left", hot_rows=HOT_ROWS, salts=SALTS,
-                   nulls_match=True):
+                   nulls_match=True, hot=None, also=None):
     """Equi-join on `on` ({left: right}, a list or a name); left's key names are kept.
 
     `how` is inner, left, full, left_semi or left_anti. Keys with more than
     `hot_rows` rows on the left are spread over `salts` parts; None switches
-    that off for a left side whose keys are known to be spread.
+    that off for a left side whose keys are known to be spread. `hot` gives the
+    common keys, as from `hot_keys`, if they need not be counted. `also` is a
+    further condition.
     """
     pairs = _pairs(on)
     keys = list(pairs)
@@ -32,9 +34,13 @@ def join_null_safe(left, right, on, how="left", hot_rows=HOT_ROWS, salts=SALTS,
         match = null_safe([(k, f"_r_{k}") for k in keys])
     else:
         match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_r_{k}") for k in keys])
+    if also is not None:
+        match = match & also
     extra = [c for c in right.columns if not c.startswith("_r_")]
     if hot_rows is not None:
-        left, right = salted(left, right, keys, hot_rows, salts)
+        if hot is None:
+            hot = hot_keys(left, keys, hot_rows)
+        left, right = salted(left, right, keys, hot, salts)
         match = match & (F.col("_salt") == F.col("_r_salt"))
     if how in ("left_semi", "left_anti"):
         return left.join(right, match, how).select(*columns)

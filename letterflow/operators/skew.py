@@ -22,14 +22,17 @@ def null_safe(pairs):
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
 
 
-def hot_keys(df, keys, hot_rows=HOT_ROWS):
+def hot_keys(df, keys, hot_rows=HOT_ROWS, rows=None):
     """Keys (NULL included) with more than `hot_rows` rows, as columns `_h_<key>`.
 
-    There are at most rows / hot_rows of them, so broadcasting them is safe:
-    a trillion rows give fewer than a million keys.
+    `rows` names a column that already holds the rows per key; without it they
+    are counted. There are at most rows / hot_rows common keys, so broadcasting
+    them is safe: a trillion rows give fewer than a million keys.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    hot = counts.filter(F.col("_rows") > hot_rows)
+    if rows is None:
+        rows = "_rows"
+        df = df.groupBy(*keys).agg(F.count("*").alias(rows))
+    hot = df.filter(F.col(rows) > hot_rows)
     return F.broadcast(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
 
 
@@ -69,13 +72,13 @@ def in_lanes(df, group, run, order, keep, hot_rows=HOT_ROWS):
     return calm.unionByName(busy.drop("_part", "_inner", "_bin"))
 
 
-def salted(left, right, keys, hot_rows=HOT_ROWS, salts=SALTS):
-    """Both sides of a join with `_salt`/`_r_salt`, spreading left's common keys.
+def salted(left, right, keys, hot, salts=SALTS):
+    """Both sides of a join with `_salt`/`_r_salt`, spreading the common keys of `hot`.
 
     `right` carries its keys as `_r_<key>`. Its rows are repeated only for
     common keys; `_r_hot` marks them.
     """
-    hot = hot_keys(left, keys, hot_rows).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     left = left.join(hot, null_safe([(k, f"_h_{k}") for k in keys]), "left")
     salt = F.when(F.col("_hot"), F.spark_partition_id() % salts).otherwise(0)
     left = left.withColumn("_salt", salt).drop("_hot", *[f"_h_{k}" for k in keys])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from letterflow.functions.scalars import parse_dmy
 from letterflow.operators.joins import (
     LOOKUP_BYTES, anti_join_sql, join_null_safe, planned_bytes, semi_flag)
-from letterflow.operators.skew import HOT_ROWS
+from letterflow.operators.skew import HOT_ROWS, hot_keys
 
 
 def membership(a, b, col, b_col=None, hot_rows=HOT_ROWS):
@@ -81,8 +81,10 @@ def dates_with_letters(dates, letters, on="LETTER", hot_rows=HOT_ROWS):
 
 def duplicate_rows(df, key="DOC", hot_rows=HOT_ROWS):
     """Rows whose key occurs more than once (NULL is a key like any other)."""
-    repeated = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).drop("_n")
-    return join_null_safe(df, repeated, key, "left_semi", hot_rows)
+    counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
+    hot = None if hot_rows is None else hot_keys(counts, [key], hot_rows, "_rows")
+    repeated = counts.filter(F.col("_rows") > 1).drop("_rows")
+    return join_null_safe(df, repeated, key, "left_semi", hot_rows, hot=hot)
 
 
 def sample_dates(sample, dates, on="LETTER", max_bytes=LOOKUP_BYTES, hot_rows=HOT_ROWS):
@@ -91,6 +93,7 @@ def sample_dates(sample, dates, on="LETTER", max_bytes=LOOKUP_BYTES, hot_rows=HO
         # A small sample first cuts the date table down, without a shuffle of it.
         wanted = F.broadcast(sample.select(on).distinct())
         dates = join_null_safe(dates, wanted, on, "left_semi", hot_rows=None)
+        hot_rows = None
     return join_null_safe(sample, dates, on, "left", hot_rows)
 
 

@@ -3,6 +3,7 @@
 from letterflow.operators.dates import attach_record_date, record_date
 from letterflow.operators.frequency import (
     severity_by_code, severity_grouped, severity_table)
+from letterflow.sources.sink import keep
 
 
 def dated_reports(annotations, dates):
@@ -12,6 +13,15 @@ def dated_reports(annotations, dates):
     return attach_record_date(annotations, record_date(dates), "LETTER")
 
 
+def scored_reports(reports, variant="expanded", **options):
+    """Severities per person, date, letter and code, kept for the steps that follow.
+
+    Grouping, maxima and scaling each read the scores more than once; the kept
+    copy is five narrow columns, against two shuffles of the full reports.
+    """
+    return keep(severity_by_code(severity_table(reports, variant, **options)))
+
+
 def grouped_severity(reports, groups, variant="expanded", **options):
     """Distinct severities per person, date, letter, code and seizure group."""
-    return severity_grouped(severity_by_code(severity_table(reports, variant, **options)), groups)
+    return severity_grouped(scored_reports(reports, variant, **options), groups)
