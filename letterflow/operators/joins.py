@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from letterflow.operators.skew import HOT_ROWS, SALTS, hot_keys, null_safe, salted
+from letterflow.operators.skew import HOT_ROWS, SALTS, hot_keys, null_safe, plain_equal, salted
 
 # Largest planned size of a lookup that is broadcast.
 LOOKUP_BYTES = 64 * 1024 * 1024
@@ -30,17 +30,17 @@ def join_null_safe(left, right, on, how="left", hot_rows=HOT_ROWS, salts=SALTS,
     keys = list(pairs)
     columns = left.columns
     right = right.withColumnsRenamed({r: f"_r_{k}" for k, r in pairs.items()})
-    if nulls_match:
-        match = null_safe([(k, f"_r_{k}") for k in keys])
-    else:
-        match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_r_{k}") for k in keys])
+    equal = null_safe if nulls_match else plain_equal
+    match = equal([(k, f"_r_{k}") for k in keys])
     if also is not None:
+        if how == "full":
+            raise ValueError("a full join takes no further condition")
         match = match & also
     extra = [c for c in right.columns if not c.startswith("_r_")]
     if hot_rows is not None:
         if hot is None:
             hot = hot_keys(left, keys, hot_rows)
-        left, right = salted(left, right, keys, hot, salts)
+        left, right = salted(left, right, keys, hot, equal, salts)
         match = match & (F.col("_salt") == F.col("_r_salt"))
     if how in ("left_semi", "left_anti"):
         return left.join(right, match, how).select(*columns)

@@ -22,6 +22,11 @@ def null_safe(pairs):
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
 
 
+def plain_equal(pairs):
+    """Equality of column pairs where NULL equals nothing."""
+    return reduce(lambda a, b: a & b, [F.col(x) == F.col(y) for x, y in pairs])
+
+
 def hot_keys(df, keys, hot_rows=HOT_ROWS, rows=None):
     """Keys (NULL included) with more than `hot_rows` rows, as columns `_h_<key>`.
 
@@ -72,17 +77,18 @@ def in_lanes(df, group, run, order, keep, hot_rows=HOT_ROWS):
     return calm.unionByName(busy.drop("_part", "_inner", "_bin"))
 
 
-def salted(left, right, keys, hot, salts=SALTS):
+def salted(left, right, keys, hot, equal, salts=SALTS):
     """Both sides of a join with `_salt`/`_r_salt`, spreading the common keys of `hot`.
 
     `right` carries its keys as `_r_<key>`. Its rows are repeated only for
-    common keys; `_r_hot` marks them.
+    common keys; `_r_hot` marks them. `equal` is the rule of the join: a NULL
+    that matches nothing is spread on the left and not repeated on the right.
     """
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     left = left.join(hot, null_safe([(k, f"_h_{k}") for k in keys]), "left")
     salt = F.when(F.col("_hot"), F.spark_partition_id() % salts).otherwise(0)
     left = left.withColumn("_salt", salt).drop("_hot", *[f"_h_{k}" for k in keys])
-    right = right.join(hot, null_safe([(f"_r_{k}", f"_h_{k}") for k in keys]), "left")
+    right = right.join(hot, equal([(f"_r_{k}", f"_h_{k}") for k in keys]), "left")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0)))
     right = (right.withColumn("_r_salt", F.explode(copies))
