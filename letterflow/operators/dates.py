@@ -46,13 +46,14 @@ def normalise_annotations(df, keep=(), birth_pivot=None, visit_pivot=None):
 
 def letter_dates(dates, letters, on="LETTER", hot_rows=HOT_ROWS):
     """Dates with the letter list's DOC; the list's own person id is left out."""
-    return join_null_safe(dates, letters.drop("SYSTEM_ID"), on, "left", hot_rows)
+    return join_null_safe(dates, letters.drop("SYSTEM_ID"), on, "left", hot_rows,
+                          right_hot_rows=hot_rows)
 
 
 def attach_record_date(df, dates, on="LETTER", drop=("SYSTEM_ID", "Clinic_Date", "LetDate", "DOC"),
                        hot_rows=HOT_ROWS):
     """Annotations with the record date of their letter."""
-    return join_null_safe(df, dates.drop(*drop), on, "left", hot_rows)
+    return join_null_safe(df, dates.drop(*drop), on, "left", hot_rows, right_hot_rows=hot_rows)
 
 
 def letters_without_date(letters, dates, on="DOC", hot_rows=HOT_ROWS):

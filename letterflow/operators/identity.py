@@ -102,7 +102,7 @@ def match_identity(df, identity, hot_rows=HOT_ROWS):
     """
     rows = with_upper_surname(df).withColumn("GENDER_CD", gender_code("Gender"))
     keys = {k: FILE_NAMES.get(k, k) for k in PERSON_KEYS}
-    return join_null_safe(rows, identity, keys, "left", hot_rows)
+    return join_null_safe(rows, identity, keys, "left", hot_rows, right_hot_rows=hot_rows)
 
 
 def code_cohort(df, codes=DISSOCIATIVE_CODES, min_certainty=4):

@@ -17,14 +17,15 @@ def _pairs(on):
 
 
 def join_null_safe(left, right, on, how="left", hot_rows=HOT_ROWS, salts=SALTS,
-                   nulls_match=True, hot=None, also=None):
+                   nulls_match=True, hot=None, right_hot_rows=None, also=None):
     """Equi-join on `on` ({left: right}, a list or a name); left's key names are kept.
 
     `how` is inner, left, full, left_semi or left_anti. Keys with more than
     `hot_rows` rows on the left are spread over `salts` parts; None switches
     that off for a left side whose keys are known to be spread. `hot` gives the
-    common keys, as from `hot_keys`, if they need not be counted. `also` is a
-    further condition.
+    common keys, as from `hot_keys`, if they need not be counted. With
+    `right_hot_rows` the right's common keys are spread too. `also` is a further
+    condition.
     """
     pairs = _pairs(on)
     keys = list(pairs)
@@ -33,27 +34,37 @@ def join_null_safe(left, right, on, how="left", hot_rows=HOT_ROWS, salts=SALTS,
     equal = null_safe if nulls_match else plain_equal
     match = equal([(k, f"_r_{k}") for k in keys])
     if also is not None:
-        if how == "full":
-            raise ValueError("a full join takes no further condition")
+        if how not in ("inner", "left_semi", "left_anti"):
+            raise ValueError(f"a {how} join takes no further condition")
         match = match & also
     extra = [c for c in right.columns if not c.startswith("_r_")]
+    semi = how in ("left_semi", "left_anti")
     if hot_rows is not None:
-        if hot is None:
-            hot = hot_keys(left, keys, hot_rows)
-        left, right = salted(left, right, keys, hot, equal, salts)
-        match = match & (F.col("_salt") == F.col("_r_salt"))
-    if how in ("left_semi", "left_anti"):
+        hot = hot_keys(left, keys, hot_rows) if hot is None else hot
+        right_hot = None
+        if right_hot_rows is not None and not semi:
+            right_hot = hot_keys(right, [f"_r_{k}" for k in keys], right_hot_rows)
+            right_hot = right_hot.withColumnsRenamed({f"_h__r_{k}": f"_h_{k}" for k in keys})
+        left, right = salted(left, right, keys, hot, equal, salts, right_hot)
+        match = match & (F.col("_salt") == F.col("_r__salt"))
+    if semi:
         return left.join(right, match, how).select(*columns)
-    if how != "full":
-        return left.join(right, match, how).select(*columns, *extra)
 
-    joined = left.withColumn("_in_left", F.lit(True)).join(right, match, "full")
-    if hot_rows is not None:
-        # A common key exists on the left, so its right rows always match; a copy
-        # without a partner only met an empty part.
-        joined = joined.filter(F.col("_in_left") | ~F.col("_r_hot"))
-    merged = [F.when(F.col("_in_left"), F.col(c)).otherwise(F.col(f"_r_{c}")).alias(c)
-              if c in pairs else F.col(c) for c in columns]
+    if how != "inner":
+        left = left.withColumn("_in_left", F.lit(True))
+        right = right.withColumn("_in_right", F.lit(True))
+    joined = left.join(right, match, how)
+    if how != "inner" and hot_rows is not None:
+        # A row repeated for a common key has partners on the other side, so a
+        # copy that found none only met an empty part.
+        stray = F.col("_in_right").isNull() & F.col("_copy")
+        if how == "full":
+            stray = stray | (F.col("_in_left").isNull() & F.col("_r__copy"))
+        joined = joined.filter(~F.coalesce(stray, F.lit(False)))
+    merged = columns
+    if how == "full":
+        merged = [F.when(F.col("_in_left"), F.col(c)).otherwise(F.col(f"_r_{c}")).alias(c)
+                  if c in pairs else F.col(c) for c in columns]
     return joined.select(*merged, *extra)
 
 

@@ -77,21 +77,44 @@ def in_lanes(df, group, run, order, keep, hot_rows=HOT_ROWS):
     return calm.unionByName(busy.drop("_part", "_inner", "_bin"))
 
 
-def salted(left, right, keys, hot, equal, salts=SALTS):
-    """Both sides of a join with `_salt`/`_r_salt`, spreading the common keys of `hot`.
+def _spread(df, keys, prefix, own, other, equal, salts):
+    """Give each row a `<prefix>_salt`, by which common keys are spread in a join.
 
-    `right` carries its keys as `_r_<key>`. Its rows are repeated only for
-    common keys; `_r_hot` marks them. `equal` is the rule of the join: a NULL
-    that matches nothing is spread on the left and not repeated on the right.
+    Rows of a key common on this side (`own`) take the salt of their input
+    partition. Rows of a key common on the `other` side are repeated for every
+    salt, and `<prefix>_copy` marks them.
     """
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    left = left.join(hot, null_safe([(k, f"_h_{k}") for k in keys]), "left")
-    salt = F.when(F.col("_hot"), F.spark_partition_id() % salts).otherwise(0)
-    left = left.withColumn("_salt", salt).drop("_hot", *[f"_h_{k}" for k in keys])
-    right = right.join(hot, equal([(f"_r_{k}", f"_h_{k}") for k in keys]), "left")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0)))
-    right = (right.withColumn("_r_salt", F.explode(copies))
-             .withColumn("_r_hot", F.coalesce("_hot", F.lit(False)))
-             .drop("_hot", *[f"_h_{k}" for k in keys]))
-    return left, right
+    salt, copy = f"{prefix}_salt", f"{prefix}_copy"
+    names = {k: f"{prefix}{k}" for k in keys}
+    marks = F.array(F.lit(0))
+    single = F.lit(0)
+    df = df.withColumn(copy, F.lit(False))
+    if other is not None:
+        pairs = [(names[k], f"_h_{k}") for k in keys]
+        df = (df.drop(copy).join(F.broadcast(other.withColumn(copy, F.lit(True))), equal(pairs), "left")
+              .withColumn(copy, F.coalesce(copy, F.lit(False))).drop(*[f"_h_{k}" for k in keys]))
+        marks = F.when(F.col(copy), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(marks)
+    if own is not None:
+        pairs = [(names[k], f"_h_{k}") for k in keys]
+        df = df.join(F.broadcast(own.withColumn("_hot", F.lit(True))), null_safe(pairs), "left")
+        here = F.spark_partition_id() % salts
+        marks = F.when(F.col("_hot"), F.array(here)).otherwise(marks)
+        single = F.when(F.col("_hot"), here).otherwise(0)
+    # Without keys common elsewhere each row has one salt and needs no explode.
+    df = df.withColumn(salt, single if other is None else F.explode(marks))
+    return df.drop("_hot", *[f"_h_{k}" for k in keys])
+
+
+def salted(left, right, keys, hot, equal, salts=SALTS, right_hot=None):
+    """Both sides of a join with `_salt` and `_r__salt`; their equality joins the join.
+
+    `right` carries its keys as `_r_<key>`. `hot` and `right_hot` are the common
+    keys of each side. A key common on both counts as the left's. `equal` is the
+    rule of the join: a NULL that matches nothing is spread, not repeated.
+    """
+    if right_hot is not None:
+        left_keys = hot.select(*[F.col(f"_h_{k}").alias(f"_g_{k}") for k in keys])
+        right_hot = right_hot.join(F.broadcast(left_keys),
+                                   equal([(f"_h_{k}", f"_g_{k}") for k in keys]), "left_anti")
+    return (_spread(left, keys, "", hot, right_hot, equal, salts),
+            _spread(right, keys, "_r_", right_hot, hot, equal, salts))

@@ -70,13 +70,13 @@ def missed_ids(trusted, extracted, id="SYSTEM_ID", hot_rows=HOT_ROWS):
 def clinic_letter_full(clinic, letter, on="LETTER", hot_rows=HOT_ROWS):
     """Clinic and letter dates side by side, keeping letters that have only one."""
     both = join_null_safe(clinic.select(on, "Clinic_Date"), letter.select(on, "LetDate"), on,
-                          "full", hot_rows)
+                          "full", hot_rows, right_hot_rows=hot_rows)
     return both.select(on, "Clinic_Date", "LetDate")
 
 
 def dates_with_letters(dates, letters, on="LETTER", hot_rows=HOT_ROWS):
     """The date table next to the letter list, keeping what is in only one."""
-    return join_null_safe(dates, letters, on, "full", hot_rows)
+    return join_null_safe(dates, letters, on, "full", hot_rows, right_hot_rows=hot_rows)
 
 
 def duplicate_rows(df, key="DOC", hot_rows=HOT_ROWS):

@@ -96,7 +96,8 @@ def test_span_partition_equals_letter_partition(frame):
 
 
 LEFT = [("hot", i) for i in range(40)] + [("a", 1), ("b", 2), ("b", 3), (None, 4), (None, 5)]
-RIGHT = [("hot", "h1"), ("hot", "h2"), ("b", "b1"), ("c", "c1"), (None, "n1")]
+RIGHT = [("hot", "h1"), ("hot", "h2"), ("b", "b1"), ("c", "c1"), (None, "n1")] + [
+    ("wide", str(i)) for i in range(30)] + [("a", str(i)) for i in range(30)]
 
 
 def brute(how, nulls_match):
@@ -121,11 +122,12 @@ def brute(how, nulls_match):
 
 @pytest.mark.parametrize("nulls_match", [True, False])
 @pytest.mark.parametrize("how", ["inner", "left", "full", "left_semi", "left_anti"])
-@pytest.mark.parametrize("hot_rows", [None, 0, 10, 1000])
-def test_joins_against_brute_force(frame, how, nulls_match, hot_rows):
-    left, right = frame("k string, v int", LEFT, 6), frame("k2 string, w string", RIGHT, 2)
+@pytest.mark.parametrize("hot_rows,right_hot_rows", [
+    (None, None), (0, None), (0, 0), (10, 10), (1000, 0), (10, 1000)])
+def test_joins_against_brute_force(frame, how, nulls_match, hot_rows, right_hot_rows):
+    left, right = frame("k string, v int", LEFT, 6), frame("k2 string, w string", RIGHT, 4)
     got = join_null_safe(left, right, {"k": "k2"}, how, hot_rows, salts=5,
-                         nulls_match=nulls_match)
+                         nulls_match=nulls_match, right_hot_rows=right_hot_rows)
     assert rows_of(got) == brute(how, nulls_match)
 
 
@@ -148,6 +150,7 @@ def test_lookup_falls_back_without_broadcast(spark, frame):
 
 def test_sql_anti_join_and_flag(frame):
     left, right = frame("k string, v int", LEFT), frame("k string, w string", RIGHT)
+    right = right.filter("k <> 'a' OR k IS NULL")
     assert rows_of(anti_join_sql(left, right, "k", hot_rows=10)) == [("a", 1)]
     flagged = semi_flag(left, right, "k", hot_rows=10)
     assert Counter(r[2] for r in rows_of(flagged)) == {True: 44, False: 1}
