@@ -89,6 +89,10 @@ SELECT d.*, l.DOC FROM dates_v d LEFT JOIN letters_v l ON d.LETTER = l.LETTER"""
 select("attach_record_date", ["presc_v", "dates_v"], """
 SELECT p.LETTER, p."START", p."END", p.CUI, p.DOSE, d.DATEREC
 FROM presc_v p LEFT JOIN dated d ON p.LETTER = d.LETTER""", DATED)
+select("dated_prescriptions_by_doc", ["presc_v", "dates_v", "letters_v"], """
+SELECT p.SYSTEM_ID, d.DATEREC, l.DOC, p."START", p."END", p.CUI, p.NAME, p.DOSE, p.UNIT, p.FREQUENCY
+FROM presc_v p LEFT JOIN dated d ON p.LETTER = d.LETTER LEFT JOIN letters_v l ON d.LETTER = l.LETTER""",
+       DATED)
 select("letters_without_date", ["letters_v", "dates_v"],
        "SELECT * FROM letters_v WHERE LETTER NOT IN (SELECT LETTER FROM dates_v)")
 select("letters_without_date_by_doc", ["letters_v", "dates_v"], """
@@ -168,6 +172,10 @@ select("daily_dose_clean_by_name", ["presc_v"], """
 SELECT DISTINCT SYSTEM_ID, DATEREC, DOC, CUI, NAME, DailyDose FROM daily
 WHERE DailyDose IS NOT NULL AND NAME IS NOT NULL""", *doses("previous"))
 select("max_daily_dose", ["presc_v"], "SELECT * FROM maxed", *doses(), NAMED, MAXED)
+select("max_daily_dose_by_person", ["presc_v"], """
+SELECT SYSTEM_ID, DATEREC, CUI, PREF, max(DailyDose) AS DailyDose FROM named
+WHERE PREF IS NOT NULL AND DailyDose IS NOT NULL AND DATEREC IS NOT NULL GROUP BY ALL""",
+       *doses(), NAMED)
 select("max_dose_row", ["presc_v"], """
 SELECT SYSTEM_ID, DATEREC, DOC, CUI, NAME, DailyDose FROM daily
 WHERE DailyDose IS NOT NULL AND NAME IS NOT NULL

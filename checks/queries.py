@@ -117,6 +117,14 @@ def letter_dates(spark, d):
     return dates.letter_dates(load(spark, d, "dates_v"), load(spark, d, "letters_v"))
 
 
+@query
+def dated_prescriptions_by_doc(spark, d):
+    """Annotations by letter, dated and keyed by DOC."""
+    linked = dates.letter_dates(load(spark, d, "dates_v"), load(spark, d, "letters_v"))
+    annotations = load(spark, d, "presc_v").drop("DATEREC", "DOC")
+    return prescription_plan.dated_prescriptions(annotations, linked, "DOC")
+
+
 @query
 def attach_record_date(spark, d):
     annotations = load(spark, d, "presc_v").drop("DATEREC")
@@ -204,6 +212,13 @@ def max_daily_dose(spark, d):
                                          null_freq_codes=NO_FREQUENCY_CODES)
 
 
+@query
+def max_daily_dose_by_person(spark, d):
+    rows = load(spark, d, "presc_v").drop("LETTER")
+    return prescription_plan.daily_doses(rows, NAME_MAP, dose.CLEAN_KEYS_BY_PERSON, doc="DOC",
+                                         null_freq_codes=NO_FREQUENCY_CODES)
+
+
 @query
 def max_dose_row(spark, d):
     return dose.max_dose_row(doses(spark, d, rule="previous"))

@@ -50,10 +50,10 @@ def letter_dates(dates, letters, on="LETTER", hot_rows=HOT_ROWS):
                           right_hot_rows=hot_rows)
 
 
-def attach_record_date(df, dates, on="LETTER", drop=("SYSTEM_ID", "Clinic_Date", "LetDate", "DOC"),
-                       hot_rows=HOT_ROWS):
-    """Annotations with the record date of their letter."""
-    return join_null_safe(df, dates.drop(*drop), on, "left", hot_rows, right_hot_rows=hot_rows)
+def attach_record_date(df, dates, on="LETTER", keep=("DATEREC",), hot_rows=HOT_ROWS):
+    """Annotations with the record date of their letter (and what else `keep` names)."""
+    return join_null_safe(df, dates.select(on, *keep), on, "left", hot_rows,
+                          right_hot_rows=hot_rows)
 
 
 def letters_without_date(letters, dates, on="DOC", hot_rows=HOT_ROWS):

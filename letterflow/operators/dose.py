@@ -164,6 +164,7 @@ def generic_name(df, name_map=None, out="PREF"):
 
 
 CLEAN_KEYS = ("SYSTEM_ID", "LETTER", "DATEREC", "CUI", "PREF")
+CLEAN_KEYS_BY_PERSON = ("SYSTEM_ID", "DATEREC", "CUI", "PREF")
 CLEAN_KEYS_BY_NAME = ("SYSTEM_ID", "DATEREC", "DOC", "CUI", "NAME")
 
 

@@ -5,12 +5,17 @@ from letterflow.operators.frequency import (
     severity_by_code, severity_grouped, severity_table)
 from letterflow.sources.sink import keep
 
+ANNOTATION = ("Start", "End", "CUI", "FreqChange", "NofS", "LNofS", "UNofS", "TP", "NofTP",
+              "LNofTP", "UNofTP", "Sin_Dur", "YD", "MD", "DD", "PinT")
 
-def dated_reports(annotations, dates):
-    """Seizure reports with the record date of their letter."""
+
+def dated_reports(annotations, dates, by="LETTER"):
+    """Seizure reports with record date, by LETTER or by the letter list's DOC."""
     if "Letter" in annotations.columns:
         annotations = annotations.withColumnRenamed("Letter", "LETTER")
-    return attach_record_date(annotations, record_date(dates), "LETTER")
+    kept = ["DATEREC"] if by == "LETTER" else ["DATEREC", by]
+    dated = attach_record_date(annotations, record_date(dates), keep=kept)
+    return dated.select("SYSTEM_ID", "DATEREC", by, *ANNOTATION)
 
 
 def scored_reports(reports, variant="expanded", **options):

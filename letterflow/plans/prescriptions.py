@@ -5,10 +5,14 @@ from letterflow.operators.dose import (
     CLEAN_KEYS, dose_ratio, generic_name, max_daily_dose, total_daily_dose)
 from letterflow.sources.scan import upper_names
 
+ANNOTATION = ("START", "END", "CUI", "NAME", "DOSE", "UNIT", "FREQUENCY")
 
-def dated_prescriptions(annotations, dates, on="LETTER"):
-    """Prescription annotations with upper-case names and the record date."""
-    return attach_record_date(upper_names(annotations), record_date(dates), on)
+
+def dated_prescriptions(annotations, dates, by="LETTER"):
+    """Prescriptions with record date, by LETTER or by the letter list's DOC."""
+    kept = ["DATEREC"] if by == "LETTER" else ["DATEREC", by]
+    dated = attach_record_date(upper_names(annotations), record_date(dates), keep=kept)
+    return dated.select("SYSTEM_ID", "DATEREC", by, *ANNOTATION)
 
 
 def daily_doses(prescriptions, name_map=None, keys=CLEAN_KEYS, **options):

@@ -138,7 +138,7 @@ def test_from_annotations_to_ratios(spark, frame):
     dates = frame("SYSTEM_ID int, LETTER string, DOC int, Clinic_Date string, LetDate string",
                   [(1, "L1", 1, None, "3/4/2015")])
     dated = dated_prescriptions(annotations, dates)
-    assert dated.columns[:2] == ["SYSTEM_ID", "LETTER"] and "DATEREC" in dated.columns
+    assert dated.columns[:3] == ["SYSTEM_ID", "DATEREC", "LETTER"]
     top = spark.sql("SELECT * FROM VALUES ('Levetiracetam', 3000.0D) AS t(ASM, Dose)")
     got = rows_of(dose_ratios(dated, top), "LETTER", "PREF", "DailyDose", "TopDose", "DailyRate")
     # The letter without a date drops out; a medicine without a top dose has no ratio.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from letterflow.operators import frequency as fq
+from letterflow.plans.frequency import dated_reports
 
 SF = {"SYSTEM_ID": "string", "LETTER": "int", "DATEREC": "date", "CUI": "string",
       "FreqChange": "string", "NofS": "double", "UNofS": "double", "TP": "string",
@@ -222,3 +223,19 @@ def test_person_timeline(spark, frame):
     # Scaling stays over all people.
     assert rows_of(fq.person_timeline(doses, grouped, 2)) == rows_of(
         everyone.filter("SYSTEM_ID = 2"))
+
+
+def test_reports_are_dated_by_letter_or_doc(frame):
+    names = ("Start", "End", "CUI", "FreqChange", "NofS", "LNofS", "UNofS", "TP", "NofTP", "LNofTP",
+             "UNofTP", "Sin_Dur", "YD", "MD", "DD", "PinT")
+    schema = "SYSTEM_ID string, Letter string, " + ", ".join(
+        f"{n} {SF.get(n, 'int' if n in ('Start', 'End') else 'double')}" for n in names)
+    annotations = frame(schema, [("p", "L", 1, 2, "C", None, 3.0, None, None, "Day", 1.0)
+                                 + (None,) * 7])
+    dates = frame("SYSTEM_ID string, LETTER string, DOC int, Clinic_Date string, LetDate string",
+                  [("p", "L", 5, "1/2/2015", None)])
+    for by, value in (("LETTER", "L"), ("DOC", 5)):
+        dated = dated_reports(annotations, dates, by)
+        assert dated.columns == ["SYSTEM_ID", "DATEREC", by, *names]
+        assert rows_of(dated, "DATEREC", by) == [(date(2015, 2, 1), value)]
+        assert rows_of(fq.severity_table(dated), "FreqSeverity") == [(7,)]
