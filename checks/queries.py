@@ -433,14 +433,15 @@ def identity_file(spark, d):
 
 @query
 def match_identity(spark, d):
-    return identity.match_identity(annotated(spark, d), file(spark, d)).select(
+    return identity.match_identity(annotated(spark, d), keep(file(spark, d))).select(
         "Letter", "NHS_No", "Surname", "GENDER_CD", "NHS_NUMBER", "ADDRESS_1", "SYSTEM_ID",
         "CREATE_DATE")
 
 
 @query
 def code_cohort(spark, d):
-    return identity.code_cohort(identity.match_identity(annotated(spark, d), file(spark, d)))
+    matched = identity.match_identity(annotated(spark, d), keep(file(spark, d)))
+    return identity.code_cohort(matched)
 
 
 # --- validation ----------------------------------------------------------------------------

@@ -41,57 +41,68 @@ def _in_lanes(df, doc, order, hot_rows):
     return in_lanes(df, [doc], [doc, *RUN], _ascending(order), REACH, hot_rows)
 
 
-def _flag(df, doc, order):
-    w = _window(doc, order)
-    row = F.struct("START", "CUI", "FREQUENCY")
-    back = {k: F.lag(row, k).over(w) for k in (1, 2)}
-    same_start = {k: F.col("START") == back[k]["START"] for k in back}
-    same_code = {k: F.col("CUI") == back[k]["CUI"] for k in back}
-    single = {k: (F.col("FREQUENCY") == 1) & (back[k]["FREQUENCY"] == 1) for k in back}
-    other = {k: F.col("START") != back[k]["START"] for k in back}
+def _beside(df, w, offsets):
+    """Columns `_<name><k>`: the value k rows on (back if negative), for {name: [k, ...]}."""
+    return df.withColumns({_at(name, k): F.lead(name, k).over(w)
+                           for name, ks in offsets.items() for k in ks})
+
+
+def _at(name, k):
+    return f"_{name}{k:+d}"
+
+
+def _without(df, offsets):
+    return df.drop(*[_at(name, k) for name, ks in offsets.items() for k in ks])
+
+
+def _flag(df, doc, w):
+    seen = {"START": (-1, -2), "CUI": (-1, -2), "FREQUENCY": (-1, -2)}
+    start = {k: F.col(_at("START", k)) for k in (-1, -2)}
+    same_start = {k: F.col("START") == start[k] for k in start}
+    same_code = {k: F.col("CUI") == F.col(_at("CUI", k)) for k in start}
+    single = {k: (F.col("FREQUENCY") == 1) & (F.col(_at("FREQUENCY", k)) == 1) for k in start}
+    other = {k: F.col("START") != start[k] for k in start}
     neighbours = (
-        F.when(same_start[1] & (back[2].isNull() | other[2]) & same_code[1] & single[1], "2nd")
-        .when(same_start[1] & same_start[2] & same_code[1] & same_code[2] & single[2], "3rd")
-        .when(same_start[2] & other[1] & single[2], "2nd"))
+        F.when(same_start[-1] & (start[-2].isNull() | other[-2]) & same_code[-1] & single[-1], "2nd")
+        .when(same_start[-1] & same_start[-2] & same_code[-1] & same_code[-2] & single[-2], "3rd")
+        .when(same_start[-2] & other[-1] & single[-2], "2nd"))
     # Inside a long run the two rows before are of the same code and frequency.
     inner = F.when(F.col("START").isNotNull() & F.col("CUI").isNotNull()
                    & (F.col("FREQUENCY") == 1), "3rd")
     flag = F.when(F.col(LANE) == 0, neighbours).otherwise(inner)
-    return df.withColumn("AnotherDose", F.when(F.col(doc).isNotNull(), flag))
+    rows = _beside(df, w, seen).withColumn("AnotherDose", F.when(F.col(doc).isNotNull(), flag))
+    return _without(rows, seen)
 
 
-def _quantities(df, doc, order, rule):
-    w = _window(doc, order)
-    row = F.struct("START", "CUI", "Quantity_mg")
+def _quantities(df, w, rule):
+    seen = {"START": (-1, -2), "CUI": (-1, -2), "Quantity_mg": (-1, -2, 1), "AnotherDose": (1,)}
     second = F.col("AnotherDose") == "2nd"
-    back = {k: F.lag(row, k).over(w) for k in (1, 2)}
     if rule == "previous":
-        q2 = F.when(second, back[1]["Quantity_mg"])
+        q2 = F.when(second, F.col(_at("Quantity_mg", -1)))
     elif rule == "matched":
-        alike = {k: (F.col("START") == back[k]["START"]) & (F.col("CUI") == back[k]["CUI"])
-                 for k in back}
-        q2 = (F.when(second & alike[1], back[1]["Quantity_mg"])
-              .when(second & alike[2], back[2]["Quantity_mg"]))
+        alike = {k: (F.col("START") == F.col(_at("START", k)))
+                 & (F.col("CUI") == F.col(_at("CUI", k))) for k in (-1, -2)}
+        q2 = (F.when(second & alike[-1], F.col(_at("Quantity_mg", -1)))
+              .when(second & alike[-2], F.col(_at("Quantity_mg", -2))))
     else:
         raise ValueError(f"unknown rule {rule!r}")
-    ahead = F.lead(F.struct("AnotherDose", "Quantity_mg"), 1).over(w)
-    q3 = F.when(second & (ahead["AnotherDose"] == "3rd"), ahead["Quantity_mg"])
-    return df.withColumns({"Q2ndDose": q2, "Q3rdDose": q3})
+    third = F.col(_at("AnotherDose", 1)) == "3rd"
+    q3 = F.when(second & third, F.col(_at("Quantity_mg", 1)))
+    return _without(_beside(df, w, seen).withColumns({"Q2ndDose": q2, "Q3rdDose": q3}), seen)
 
 
-def _daily(df, doc, order, null_freq_codes):
-    w = _window(doc, order)
+def _daily(df, doc, w, null_freq_codes):
+    seen = {"START": (1, 2)}
     quantity, frequency = F.col("Quantity_mg"), F.col("FREQUENCY")
     second = F.col("AnotherDose") == "2nd"
     unflagged = F.col("AnotherDose").isNull()
     alone = F.col("START").isNotNull() & (F.col(LANE) == 0)
-    for k in (1, 2):
-        ahead = F.lead("START", k).over(w)
+    for k in seen["START"]:
+        ahead = F.col(_at("START", k))
         alone = alone & (ahead.isNull() | (ahead != F.col("START")))
     # A row of no known letter has no neighbours.
     alone = alone | (F.col("START").isNotNull() & F.col(doc).isNull())
-    return df.withColumn(
-        "DailyDose",
+    daily = (
         F.when(frequency > 1, quantity * frequency)
         .when(second & F.col("Q3rdDose").isNotNull(),
               quantity + F.col("Q2ndDose") + F.col("Q3rdDose"))
@@ -99,6 +110,7 @@ def _daily(df, doc, order, null_freq_codes):
         .when(unflagged & F.col("Q2ndDose").isNull() & F.col("Q3rdDose").isNull()
               & alone & (frequency == 1), quantity)
         .when(frequency.isNull() & unflagged & F.col("CUI").isin(*null_freq_codes), quantity))
+    return _without(_beside(df, w, seen).withColumn("DailyDose", daily), seen)
 
 
 def split_dose_flag(df, doc="LETTER", order=DOSE_ORDER, hot_rows=HOT_ROWS):
@@ -107,7 +119,7 @@ def split_dose_flag(df, doc="LETTER", order=DOSE_ORDER, hot_rows=HOT_ROWS):
     An order not led by START is allowed for rows with interleaved spans; the
     window then covers the whole letter.
     """
-    return _flag(_in_lanes(df, doc, order, hot_rows), doc, order).drop(LANE)
+    return _flag(_in_lanes(df, doc, order, hot_rows), doc, _window(doc, order)).drop(LANE)
 
 
 def split_dose_qty(df, rule="matched", doc="LETTER", order=DOSE_ORDER, hot_rows=HOT_ROWS):
@@ -116,21 +128,23 @@ def split_dose_qty(df, rule="matched", doc="LETTER", order=DOSE_ORDER, hot_rows=
     "matched" takes the nearest of two rows back with the same span and code,
     "previous" always takes the row before.
     """
-    return _quantities(_in_lanes(df, doc, order, hot_rows), doc, order, rule).drop(LANE)
+    return _quantities(_in_lanes(df, doc, order, hot_rows), _window(doc, order), rule).drop(LANE)
 
 
 def daily_dose(df, null_freq_codes=ONCE_DAILY_CODES, doc="LETTER", order=DOSE_ORDER,
                hot_rows=HOT_ROWS):
     """`DailyDose` from the flag, the quantities and the following rows."""
-    return _daily(_in_lanes(df, doc, order, hot_rows), doc, order, null_freq_codes).drop(LANE)
+    rows = _in_lanes(df, doc, order, hot_rows)
+    return _daily(rows, doc, _window(doc, order), null_freq_codes).drop(LANE)
 
 
 def total_daily_dose(df, rule="matched", null_freq_codes=ONCE_DAILY_CODES, doc="LETTER",
                      order=DOSE_ORDER, hot_rows=HOT_ROWS):
     """Quantity, split doses and daily dose in one go: one shuffle, one sort."""
+    w = _window(doc, order)
     rows = _in_lanes(quantity_mg(df), doc, order, hot_rows)
-    rows = _quantities(_flag(rows, doc, order), doc, order, rule)
-    return _daily(rows, doc, order, null_freq_codes).drop(LANE)
+    rows = _quantities(_flag(rows, doc, w), w, rule)
+    return _daily(rows, doc, w, null_freq_codes).drop(LANE)
 
 
 def generic_name(df, name_map=None, out="PREF"):

@@ -11,7 +11,7 @@ from conftest import rows_of
 from letterflow.operators import dose, frequency
 from letterflow.operators.joins import (
     anti_join_sql, join_null_safe, lookup_join, planned_bytes, semi_flag)
-from letterflow.operators.skew import LANE, hot_keys, in_lanes
+from letterflow.operators.skew import LANE, hot_keys, in_lanes, null_safe, salted
 
 SF = ("SYSTEM_ID string, LETTER int, Start int, DATEREC date, CUI string, FreqChange string, "
       "NofS double, UNofS double, TP string, NofTP double, LNofTP double, Sin_Dur string, "
@@ -131,6 +131,16 @@ def test_joins_against_brute_force(frame, how, nulls_match, hot_rows, right_hot_
     assert rows_of(got) == brute(how, nulls_match)
 
 
+def test_a_common_key_meets_many_tasks(frame):
+    left = frame("k string, v int", [("hot", i) for i in range(3000)] + [("a", 1)], 10)
+    right = frame("_r_k string, w string", [("hot", "h"), ("a", "a"), ("q", "q")])
+    spread, repeated = salted(left, right, ["k"], hot_keys(left, ["k"], 100), null_safe, salts=10)
+    sizes = [r["count"] for r in spread.groupBy("k", "_salt").count().collect()]
+    assert sum(sizes) == 3001 and max(sizes) <= 400
+    copies = {r["_r_k"]: r["count"] for r in repeated.groupBy("_r_k").count().collect()}
+    assert copies == {"hot": 10, "a": 1, "q": 1}
+
+
 def test_common_keys_include_null(frame):
     left = frame("k string, v int", LEFT + [(None, 9)] * 20)
     hot = hot_keys(left, ["k"], 15)
