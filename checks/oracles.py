@@ -97,7 +97,8 @@ select("letters_without_date", ["letters_v", "dates_v"],
        "SELECT * FROM letters_v WHERE LETTER NOT IN (SELECT LETTER FROM dates_v)")
 select("letters_without_date_by_doc", ["letters_v", "dates_v"], """
 SELECT * FROM letters_v WHERE DOC NOT IN (
-  SELECT l.DOC FROM dates_v d JOIN letters_v l ON d.LETTER = l.LETTER)""")
+  SELECT l.DOC FROM dates_v d JOIN letters_v l ON d.LETTER = l.LETTER
+  WHERE d.Clinic_Date IS NOT NULL AND d.LetDate IS NOT NULL)""")
 select("distinct_letters", ["presc_v"], "SELECT DISTINCT LETTER FROM presc_v")
 
 # --- prescriptions -------------------------------------------------------------------------

@@ -42,7 +42,7 @@ QUERIES = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__.rstrip("_")] = f
     return f
 
 
@@ -140,8 +140,9 @@ def letters_without_date(spark, d):
 
 @query
 def letters_without_date_by_doc(spark, d):
+    """Documents none of whose letters has both dates."""
     linked = dates.letter_dates(load(spark, d, "dates_v"), load(spark, d, "letters_v"))
-    return dates.letters_without_date(load(spark, d, "letters_v"), linked, "DOC")
+    return dates.letters_without_date(load(spark, d, "letters_v"), linked.na.drop(), "DOC")
 
 
 @query
@@ -561,6 +562,3 @@ def without_clinic_date(spark, d):
 @query
 def date_order_check(spark, d):
     return validation.date_order_check(load(spark, d, "dates_v"))
-
-
-QUERIES["null_tokens"] = QUERIES.pop("null_tokens_")
