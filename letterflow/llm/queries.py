@@ -1,19 +1,58 @@
-"""Queries of this subpackage, one for each operator, and the pipeline."""
+"""Queries of this subpackage, one for each operator."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from letterflow.llm import superminhash
+from letterflow.llm import language_hd, quality_crf, superminhash, toxicity_ftrl
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def _labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Labels to learn from: those whose id doesn't put them into the held-out fifth."""
+    return _table(spark, sf_dir, "labels").filter(_remainder(5) != 0).select(
+        "doc_id", F.col(label).alias("label"))
+
+
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    crf = quality_crf.fit(docs, _labels(spark, sf_dir, "quality"))
+    whole = docs.select("doc_id", "text", (_remainder(5) == 0).alias("held_out"))
+    return quality_crf.score(whole, crf).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    prototypes = language_hd.learn(docs.filter(_remainder(4) != 2))
+    whole = docs.select("doc_id", "text", (_remainder(4) == 2).alias("held_out"))
+    return language_hd.predict(whole, prototypes).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_superminhash": op7_superminhash}
+def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity_ftrl.fit(docs, _labels(spark, sf_dir, "toxic"))
+    whole = docs.select("doc_id", "text", (_remainder(5) == 0).alias("held_out"))
+    return toxicity_ftrl.score(whole, model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_quality_crf": op1_quality_crf,
+    "op5_language_hd": op5_language_hd,
+    "op7_superminhash": op7_superminhash,
+    "op9_toxicity_ftrl": op9_toxicity_ftrl,
+}
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Workspace:
@@ -61,3 +62,17 @@ def running_total(df: DataFrame, value: str, groups: list[str], part: str,
     within = df.withColumn(out, before(df, value, groups, part, order))
     return within.join(offsets, same).withColumn(out, F.col(out) + F.col("_offset")).drop(
         "_at", "_offset", *[f"_{g}" for g in groups])
+
+
+def bounded_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text, label) of at most `most` labelled documents, those with the smallest hashes of doc_id."""
+    ids = labels.filter("label is not null").select("doc_id", F.col("label").cast("int").alias("label")).orderBy(
+        F.xxhash64("doc_id"), "doc_id", "label").limit(most)
+    return (docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+            .join(F.broadcast(ids), F.col("_id") == F.col("doc_id")).select("doc_id", "text", "label"))
+
+
+def widened(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of df with columns of these types after its own."""
+    return T.StructType(df.schema.fields + [
+        T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items()])
