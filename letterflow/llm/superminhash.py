@@ -100,68 +100,93 @@ def _sets(batches):
             [batch.column("doc_id"), pa.array(packed, pa.binary())], names=["id", "elements"])
 
 
+#: What a row is in its cell: held there, held and compared with the others, compared as it passes by.
+HELD, BOTH, PASSING = 0, 1, 2
+
+
+class _Cell:
+    """The held rows of a cell, ready to count what a set shares with each of them."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, int, int, np.ndarray]] = []
+        self.index = None
+
+    def links(self, own: int, root: int, x: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a set with held rows of other roots: one for each such root."""
+        if self.index is None:
+            ids, roots, _, sets = zip(*self.rows)
+            sizes = np.array([len(s) for s in sets])
+            every, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(every, kind="stable")
+            self.index = np.array(ids), np.array(roots), sizes, every[order], who[order]
+        ids, roots, sizes, every, who = self.index
+        low, high = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+        count = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        shared = np.bincount(who[at], minlength=len(ids))
+        good = (100 * shared >= PERCENT * (sizes + len(x) - shared)) & (roots != root)
+        return [(own, int(ids[k])) for k in np.flatnonzero(good)[np.unique(roots[good], return_index=True)[1]]]
+
+    def close(self) -> list[tuple[int, int]]:
+        return [link for own, root, role, x in self.rows if role == BOTH for link in self.links(own, root, x)]
+
+
 def _linked(batches):
-    """Compare the probes of each cell with the cell's members on whole sets.
+    """Links found in the cells of a partition; rows come sorted by cell, held ones first.
 
-    Rows come sorted by cell, members first. A cell has a bounded number of members; probes pass by
-    one at a time. One row for each probe that is linked with a member: which of them is the
-    smallest.
+    A cell holds a bounded number of rows; others pass by one at a time.
     """
-    cell, members, index = None, [], None
+    place, cell = None, _Cell()
     for batch in batches:
         found = []
-        cells = list(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "salt"))))
-        ids, roles = batch.column("id").to_pylist(), batch.column("probe").to_pylist()
+        places = zip(*(batch.column(c).to_pylist() for c in ("key", "block", "salt")))
+        ids, roots, roles = (batch.column(c).to_pylist() for c in ("id", "root", "role"))
         elements = batch.column("elements")
-        for i, own in enumerate(cells):
-            if own != cell:
-                cell, members, index = own, [], None
+        for i, own in enumerate(places):
+            if own != place:
+                found += cell.close()
+                place, cell = own, _Cell()
             x = np.frombuffer(elements[i].as_buffer(), U64)
-            if not roles[i]:
-                members.append((ids[i], x.copy()))
-                continue
-            if not members:
-                continue
-            if index is None:
-                names = np.array([m for m, _ in members], np.int64)
-                sizes = np.array([len(s) for _, s in members])
-                every = np.concatenate([s for _, s in members])
-                who = np.repeat(np.arange(len(members)), sizes)
-                order = np.argsort(every, kind="stable")
-                index = names, sizes, every[order], who[order]
-            names, sizes, every, who = index
-            low, high = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
-            count = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            shared = np.bincount(who[at], minlength=len(names))
-            good = 100 * shared >= PERCENT * (sizes + len(x) - shared)
-            if good.any():
-                found.append((ids[i], int(names[good].min())))
-        a, b = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if roles[i] != PASSING:
+                cell.rows.append((ids[i], roots[i], roles[i], x.copy()))
+            elif cell.rows:
+                found += cell.links(ids[i], roots[i], x)
+        yield _as_links(found)
+    yield _as_links(cell.close())
+
+
+def _as_links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _compare(members: DataFrame, probes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the probes and the members of the same key, on whole sets.
+def _compare(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between rows of the same key that have other roots, on whole sets.
 
-    members, probes: (key, id). A key's members are dealt into blocks and its probes into salts;
-    each block meets each salt in a cell of its own, so no task holds a whole key.
+    rows: (key, id, root, held, compared). The held rows of a key are dealt into blocks, the compared
+    ones into salts if they are many; each block meets each salt in a cell of its own, so no task
+    holds a whole key. In a key of one cell a row goes there once.
     """
-    dealt = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(
-        probes.groupBy("key").agg(F.ceil(F.count("*") / SALT).alias("salts")), "key")
+    dealt = rows.groupBy("key").agg(
+        F.greatest(F.ceil(F.sum(F.col("held").cast("long")) / BLOCK), F.lit(1)).alias("blocks"),
+        F.greatest(F.ceil(F.sum(F.col("compared").cast("long")) / SALT), F.lit(1)).alias("salts"))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    cells = members.join(dealt, "key").select(
-        "key", own("blocks").alias("block"), spread("salts").alias("salt"), "id",
-        F.lit(False).alias("probe")).unionAll(
-        probes.join(dealt, "key").select(
-            "key", spread("blocks").alias("block"), own("salts").alias("salt"), "id",
-            F.lit(True).alias("probe")))
+    placed = rows.join(dealt, "key")
+    one, more = placed.filter("blocks = 1 and salts = 1"), placed.filter("blocks > 1 or salts > 1")
+    role = F.when(~F.col("held"), PASSING).when(F.col("compared"), BOTH).otherwise(HELD)
+    none = F.lit(0).cast("long")
+    cells = one.select("key", none.alias("block"), none.alias("salt"), "id", "root", role.alias("role")).unionAll(
+        more.filter("held").select(
+            "key", own("blocks").alias("block"), spread("salts").alias("salt"), "id", "root",
+            F.lit(HELD).alias("role"))).unionAll(
+        more.filter("compared").select(
+            "key", spread("blocks").alias("block"), own("salts").alias("salt"), "id", "root",
+            F.lit(PASSING).alias("role")))
     return (cells.join(sets, "id")
             .repartition("key", "block", "salt")
-            .sortWithinPartitions("key", "block", "salt", "probe", "id")
-            .select("key", "block", "salt", "id", "probe", "elements")
+            .sortWithinPartitions("key", "block", "salt", "role", "id")
+            .select("key", "block", "salt", "id", "root", "role", "elements")
             .mapInArrow(_linked, STARS))
 
 
@@ -173,10 +198,10 @@ def near_duplicates(docs: DataFrame, space: Workspace | None = None) -> DataFram
 
     * Equal sets form a class, represented by its smallest doc_id; only classes are compared.
     * Classes that share a band of their signatures are candidates. Each bucket picks one member by
-      hash as its hub, and all others are verified against it. Buckets whose members are then
-      still in different components have each component's members verified against the whole of
-      the larger component, in blocks: no link between candidates is lost, and only members that
-      found no link are ever compared with a whole group.
+      hash as its hub, and all others are verified against it. Where components still meet in a
+      bucket, all members outside the most frequent one are verified against the whole bucket, in
+      blocks within tasks: no link between candidates is lost, pairs are never written out, and
+      in a group of copies only the few that the hubs did not link are compared with all.
     * A link at exactly 0.75 shares none of the 32 bands with probability 5e-6; at 0.8, 5e-8.
 
     Null, empty or white-space texts have the empty set and are linked with nothing. Rows without
@@ -203,10 +228,13 @@ def near_duplicates(docs: DataFrame, space: Workspace | None = None) -> DataFram
         (F.col("id") != F.col("hub"))
         & (100 * F.least("n_shingles", "hub_n") >= PERCENT * F.greatest("n_shingles", "hub_n"))
     ).select(F.col("hub").alias("key"), "id").distinct(), "pairs")
-    links = space.keep(_compare(
-        pairs.select("key", F.col("key").alias("id")).distinct(), pairs, sets), "links")
+    yes, no = F.lit(True), F.lit(False)
+    around_hubs = pairs.select("key", "id", F.col("id").alias("root"), no.alias("held"), yes.alias("compared"))
+    hub_rows = pairs.select("key").distinct().select(
+        "key", F.col("key").alias("id"), F.col("key").alias("root"), yes.alias("held"), no.alias("compared"))
+    links = space.keep(_compare(hub_rows.unionAll(around_hubs), sets), "links")
     roots = components(space, links, "first")
-    rest = space.keep(_compare(*_open(shared, roots), sets), "rest")
+    rest = space.keep(_compare(_open(shared, roots), sets), "rest")
     roots = components(space, links.unionAll(rest), "last")
     return signed.join(classes, "digest", "left").join(roots, F.col("id") == F.col("node"), "left").select(
         "doc_id", "n_shingles",
@@ -215,32 +243,18 @@ def near_duplicates(docs: DataFrame, space: Workspace | None = None) -> DataFram
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _open(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What is left to compare: (key, id) of the members of components, of members of smaller ones.
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows still to be compared: those of the buckets in which more than one component meets.
 
-    For every two components that meet in a bucket, each member of the smaller one that is in such a
-    bucket is to be compared with the whole larger one; key is the larger one's root.
+    All are held; those outside the bucket's most frequent component are compared with all others.
     """
-    nodes = shared.select("id", "n_shingles").distinct().join(roots, F.col("id") == F.col("node"), "left").select(
-        "id", "n_shingles", F.coalesce("root", "id").alias("root"))
-    sizes = nodes.groupBy("root").agg(
-        F.count("*").alias("size"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    placed = shared.select("bucket", "id", "n_shingles").join(
-        nodes.select(F.col("id").alias("node"), "root"), F.col("id") == F.col("node"))
-    meeting = placed.groupBy("bucket", "root").agg(F.lit(1)).join(
-        placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y"),
-        "bucket").select("bucket", "root").join(sizes, "root")
-    open_ = placed.select("bucket", "id", "n_shingles", F.col("root").alias("own")).join(
-        meeting, "bucket").join(
-        sizes.select(F.col("root").alias("own"), F.col("size").alias("own_size")), "own")
-    probes = open_.filter(
-        (F.struct("own_size", "own") < F.struct("size", "root"))
-        & (100 * F.col("n_shingles") >= PERCENT * F.col("low"))
-        & (100 * F.col("high") >= PERCENT * F.col("n_shingles"))
-    ).select(F.col("root").alias("key"), "id").distinct()
-    members = nodes.select(F.col("root").alias("key"), "id").join(
-        probes.select("key").distinct(), "key", "left_semi")
-    return members, probes
+    placed = shared.select("bucket", "id").join(roots, F.col("id") == F.col("node"), "left").select(
+        "bucket", "id", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    return placed.join(mixed, "bucket").select(
+        F.col("bucket").alias("key"), "id", "root", F.lit(True).alias("held"),
+        (F.col("root") != F.col("main.root")).alias("compared"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
