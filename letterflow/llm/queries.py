@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from letterflow.llm import chat_events, language_hd, quality_crf, superminhash, toxicity_ftrl
+from letterflow.llm import chat_events, kd_shards, language_hd, mixing, quality_crf, superminhash, toxicity_ftrl
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,17 @@ def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn(
+        "text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
+    rows = docs.select("doc_id", "text_crc32", "lang", "source", kd_shards.document_size(F.col("text")).alias("bytes"))
+    return kd_shards.kd_shards(
+        rows, F.col("bytes"), [F.col("bytes"), kd_shards.name_axis(F.col("lang")), kd_shards.name_axis(F.col("source"))],
+        shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity_ftrl.fit(docs, _labels(spark, sf_dir, "toxic"))
@@ -77,12 +88,19 @@ def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op3_chat_events": op3_chat_events,
     "op5_language_hd": op5_language_hd,
     "op7_superminhash": op7_superminhash,
+    "op8_kd_shards": op8_kd_shards,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
     "op3_chat_events": r"""
