@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from letterflow.llm import chat_events, kd_shards, language_hd, mixing, quality_crf, superminhash, toxicity_ftrl
+from letterflow.llm import chat_events, kd_shards, language_hd, mixing, quality_crf, superminhash, token_cache, toxicity_ftrl
+from letterflow.llm.tables import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,16 @@ def op5_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_hd.predict(whole, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_token_cache(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """Counts through a cache of this run's own, which begins empty."""
+    import public_tokenizers
+
+    counted = token_cache.count_tokens(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(model),
+        f"{Workspace(spark, 'token-cache').path}/counts")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -97,6 +108,7 @@ QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op3_chat_events": op3_chat_events,
     "op5_language_hd": op5_language_hd,
+    "op6_token_cache": op6_token_cache,
     "op7_superminhash": op7_superminhash,
     "op8_kd_shards": op8_kd_shards,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
