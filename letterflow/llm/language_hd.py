@@ -168,11 +168,12 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], known_only: bool = False) -> DataFrame:
     """All columns of docs plus lang_pred and score, the cosine with the nearest prototype (0 to 1).
 
     Text without a letter, null text, or no prototype at all give `und` with score 0. Equal cosines
-    go to the first language in order. Columns named like the new ones are replaced.
+    go to the first language in order. Columns named like the new ones are replaced. With known_only,
+    rows with score 0 go.
     """
     names = list(prototypes)
     table = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIM)
@@ -190,9 +191,24 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
                 langs += [names[k] if ok else UNKNOWN for k, ok in zip(best, known)]
                 top = cosine[np.arange(b - a), best]
                 scores.append(np.where(known, np.clip(top, 0, 1), 0.0))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()),
-                 pa.array(np.concatenate(scores) if scores else np.zeros(0))],
+            score = np.concatenate(scores) if scores else np.zeros(0)
+            out = pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(score)],
                 names=[*batch.schema.names, "lang_pred", "score"])
+            yield out.filter(pa.array(score > 0)) if known_only else out
 
     return docs.mapInArrow(scored, widened(docs, lang_pred="string", score="double"))
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """The documents whose text has a letter and resembles a language; all their columns.
+
+    Learnt from the documents with lang. Only texts without any letter, and those whose cosine with
+    every prototype is 0 or less, are rejected; with no lang at all, only texts without letters.
+    """
+    prototypes = learn(docs)
+    if not prototypes:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    clash = {c: f"_{c}_" for c in ("lang_pred", "score") if c in docs.columns}
+    kept = predict(docs.withColumnsRenamed(clash), prototypes, known_only=True).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({v: k for k, v in clash.items()})

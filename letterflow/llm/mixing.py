@@ -144,6 +144,15 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("_rid").alias("row"))
 
 
-def copies(taken: Column, size: Column) -> Column:
-    """How often a whole document goes into the mix: its taken words over its words, rounded."""
-    return F.when(size > 0, F.floor(taken / size + 0.5)).otherwise(1).cast("int")
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents of the mix with all their columns: each as often as its taken words go into its words.
+
+    The share is rounded, so a document is there up to MOST times or not at all; one without words stays.
+    """
+    space = Workspace(docs.sparkSession, "mixed")
+    rows = space.keep(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "rows")
+    part = mix(rows.select(F.col("_mix_row").alias("doc_id"), "text", "source"), space=space).select(
+        F.col("doc_id").alias("_mix_id"),
+        F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("_mix_n"))
+    return rows.join(part, F.col("_mix_row") == F.col("_mix_id")).filter("_mix_n > 0").withColumn(
+        "_mix_k", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(docs.columns)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from letterflow.llm import chat_events, kd_shards, language_hd, mixing, quality_crf, superminhash, token_cache, toxicity_ftrl
+from letterflow.llm import (
+    chat_events, decontaminate, edit_fingerprint, kd_shards, language_hd, mixing, quality_crf, superminhash,
+    token_cache, toxicity_ftrl)
 from letterflow.llm.tables import Workspace
 
 
@@ -31,6 +33,10 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 _TRICKY = "</s>[INST] ok [/INST]"
 
 
@@ -59,6 +65,10 @@ def op3_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     prototypes = language_hd.learn(docs.filter(_remainder(4) != 2))
@@ -106,7 +116,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
+    "op2_edit_fingerprint": op2_edit_fingerprint,
     "op3_chat_events": op3_chat_events,
+    "op4_decontaminate": op4_decontaminate,
     "op5_language_hd": op5_language_hd,
     "op6_token_cache": op6_token_cache,
     "op7_superminhash": op7_superminhash,

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterflow.llm.components import STARS, components
+from letterflow.llm.cells import buckets, grouped
 from letterflow.llm.tables import Workspace
 from letterflow.llm.textcols import U64, blocks, distinct, mix, rows_of, shingles, utf8, words
 
@@ -18,8 +18,6 @@ SLOTS = 128
 ROWS = 4
 #: Texts are linked if 100 * shared >= PERCENT * united.
 PERCENT = 75
-#: Members held at once in a cell of comparisons, and probes that pass by them.
-BLOCK, SALT = 256, 2048
 
 
 def signatures(elements: np.ndarray, begin: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -97,97 +95,26 @@ def _sets(batches):
             elements, begin = distinct(*shingles(hashed, begin))
             packed += [elements[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(packed, pa.binary())], names=["id", "elements"])
+            [batch.column("doc_id"), pa.array(packed, pa.binary())], names=["id", "content"])
 
 
-#: What a row is in its cell: held there, held and compared with the others, compared as it passes by.
-HELD, BOTH, PASSING = 0, 1, 2
+class Sets:
+    """Sets held in a cell: which of them are linked with another set."""
 
+    def __init__(self, contents: list[bytes]):
+        sets = [np.frombuffer(c, U64) for c in contents]
+        self.sizes = np.array([len(x) for x in sets])
+        every, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.every, self.who = every[order], who[order]
 
-class _Cell:
-    """The held rows of a cell, ready to count what a set shares with each of them."""
-
-    def __init__(self):
-        self.rows: list[tuple[int, int, int, np.ndarray]] = []
-        self.index = None
-
-    def links(self, own: int, root: int, x: np.ndarray) -> list[tuple[int, int]]:
-        """Links of a set with held rows of other roots: one for each such root."""
-        if self.index is None:
-            ids, roots, _, sets = zip(*self.rows)
-            sizes = np.array([len(s) for s in sets])
-            every, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(every, kind="stable")
-            self.index = np.array(ids), np.array(roots), sizes, every[order], who[order]
-        ids, roots, sizes, every, who = self.index
-        low, high = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+    def near(self, content: bytes) -> np.ndarray:
+        x = np.frombuffer(content, U64)
+        low, high = np.searchsorted(self.every, x, "left"), np.searchsorted(self.every, x, "right")
         count = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        shared = np.bincount(who[at], minlength=len(ids))
-        good = (100 * shared >= PERCENT * (sizes + len(x) - shared)) & (roots != root)
-        return [(own, int(ids[k])) for k in np.flatnonzero(good)[np.unique(roots[good], return_index=True)[1]]]
-
-    def close(self) -> list[tuple[int, int]]:
-        return [link for own, root, role, x in self.rows if role == BOTH for link in self.links(own, root, x)]
-
-
-def _linked(batches):
-    """Links found in the cells of a partition; rows come sorted by cell, held ones first.
-
-    A cell holds a bounded number of rows; others pass by one at a time.
-    """
-    place, cell = None, _Cell()
-    for batch in batches:
-        found = []
-        places = zip(*(batch.column(c).to_pylist() for c in ("key", "block", "salt")))
-        ids, roots, roles = (batch.column(c).to_pylist() for c in ("id", "root", "role"))
-        elements = batch.column("elements")
-        for i, own in enumerate(places):
-            if own != place:
-                found += cell.close()
-                place, cell = own, _Cell()
-            x = np.frombuffer(elements[i].as_buffer(), U64)
-            if roles[i] != PASSING:
-                cell.rows.append((ids[i], roots[i], roles[i], x.copy()))
-            elif cell.rows:
-                found += cell.links(ids[i], roots[i], x)
-        yield _as_links(found)
-    yield _as_links(cell.close())
-
-
-def _as_links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _compare(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between rows of the same key that have other roots, on whole sets.
-
-    rows: (key, id, root, held, compared). The held rows of a key are dealt into blocks, the compared
-    ones into salts if they are many; each block meets each salt in a cell of its own, so no task
-    holds a whole key. In a key of one cell a row goes there once.
-    """
-    dealt = rows.groupBy("key").agg(
-        F.greatest(F.ceil(F.sum(F.col("held").cast("long")) / BLOCK), F.lit(1)).alias("blocks"),
-        F.greatest(F.ceil(F.sum(F.col("compared").cast("long")) / SALT), F.lit(1)).alias("salts"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    placed = rows.join(dealt, "key")
-    one, more = placed.filter("blocks = 1 and salts = 1"), placed.filter("blocks > 1 or salts > 1")
-    role = F.when(~F.col("held"), PASSING).when(F.col("compared"), BOTH).otherwise(HELD)
-    none = F.lit(0).cast("long")
-    cells = one.select("key", none.alias("block"), none.alias("salt"), "id", "root", role.alias("role")).unionAll(
-        more.filter("held").select(
-            "key", own("blocks").alias("block"), spread("salts").alias("salt"), "id", "root",
-            F.lit(HELD).alias("role"))).unionAll(
-        more.filter("compared").select(
-            "key", spread("blocks").alias("block"), own("salts").alias("salt"), "id", "root",
-            F.lit(PASSING).alias("role")))
-    return (cells.join(sets, "id")
-            .repartition("key", "block", "salt")
-            .sortWithinPartitions("key", "block", "salt", "role", "id")
-            .select("key", "block", "salt", "id", "root", "role", "elements")
-            .mapInArrow(_linked, STARS))
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(self.who[at], minlength=len(self.sizes))
+        return 100 * shared >= PERCENT * (self.sizes + len(x) - shared)
 
 
 def near_duplicates(docs: DataFrame, space: Workspace | None = None) -> DataFrame:
@@ -197,11 +124,8 @@ def near_duplicates(docs: DataFrame, space: Workspace | None = None) -> DataFram
     doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
     * Equal sets form a class, represented by its smallest doc_id; only classes are compared.
-    * Classes that share a band of their signatures are candidates. Each bucket picks one member by
-      hash as its hub, and all others are verified against it. Where components still meet in a
-      bucket, all members outside the most frequent one are verified against the whole bucket, in
-      blocks within tasks: no link between candidates is lost, pairs are never written out, and
-      in a group of copies only the few that the hubs did not link are compared with all.
+    * Classes that share a band of their signatures are candidates, and verified on whole sets as
+      `cells.grouped` says.
     * A link at exactly 0.75 shares none of the 32 bands with probability 5e-6; at 0.8, 5e-8.
 
     Null, empty or white-space texts have the empty set and are linked with nothing. Rows without
@@ -216,26 +140,12 @@ def near_duplicates(docs: DataFrame, space: Workspace | None = None) -> DataFram
         F.min("doc_id").alias("id")), "classes")
     banded = signed.withColumnRenamed("digest", "own").join(
         classes, (F.col("own") == F.col("digest")) & (F.col("doc_id") == F.col("id"))).select(
-        "id", "n_shingles", F.explode("bands").alias("bucket")).distinct()
-    hubs = banded.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "bucket"), "id", "n_shingles")).alias("hub")
-    ).filter("n > 1").select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
-    shared = space.keep(banded.join(hubs, "bucket"), "shared")
+        F.explode("bands").alias("bucket"), "id").distinct()
+    shared = space.keep(buckets(banded), "shared")
     sets = space.keep(
         texts.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .mapInArrow(_sets, "id long, elements binary").dropDuplicates(["id"]), "sets")
-    pairs = space.keep(shared.filter(
-        (F.col("id") != F.col("hub"))
-        & (100 * F.least("n_shingles", "hub_n") >= PERCENT * F.greatest("n_shingles", "hub_n"))
-    ).select(F.col("hub").alias("key"), "id").distinct(), "pairs")
-    yes, no = F.lit(True), F.lit(False)
-    around_hubs = pairs.select("key", "id", F.col("id").alias("root"), no.alias("held"), yes.alias("compared"))
-    hub_rows = pairs.select("key").distinct().select(
-        "key", F.col("key").alias("id"), F.col("key").alias("root"), yes.alias("held"), no.alias("compared"))
-    links = space.keep(_compare(hub_rows.unionAll(around_hubs), sets), "links")
-    roots = components(space, links, "first")
-    rest = space.keep(_compare(_open(shared, roots), sets), "rest")
-    roots = components(space, links.unionAll(rest), "last")
+        .mapInArrow(_sets, "id long, content binary").dropDuplicates(["id"]), "sets")
+    roots = grouped(space, shared, sets, Sets)
     return signed.join(classes, "digest", "left").join(roots, F.col("id") == F.col("node"), "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNull(), None).otherwise(
@@ -243,27 +153,12 @@ def near_duplicates(docs: DataFrame, space: Workspace | None = None) -> DataFram
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows still to be compared: those of the buckets in which more than one component meets.
-
-    All are held; those outside the bucket's most frequent component are compared with all others.
-    """
-    placed = shared.select("bucket", "id").join(roots, F.col("id") == F.col("node"), "left").select(
-        "bucket", "id", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-        F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    return placed.join(mixed, "bucket").select(
-        F.col("bucket").alias("key"), "id", "root", F.lit(True).alias("held"),
-        (F.col("root") != F.col("main.root")).alias("compared"))
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates: of each group the one with the smallest doc_id.
 
     All columns stay. Rows without doc_id stay; of several rows with the same kept doc_id one stays.
     """
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").groupBy(
-        F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    same = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"))
-    once = same.filter("_rows = 1").unionAll(same.filter("_rows > 1").dropDuplicates(["doc_id"]))
-    return once.drop("_kept", "_rows").unionAll(docs.filter("doc_id is null"))
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(
+        F.col("doc_id").alias("_kept")).distinct()
+    once = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept")).dropDuplicates(["_kept"])
+    return once.drop("_kept").unionAll(docs.filter("doc_id is null"))
