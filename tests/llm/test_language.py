@@ -1,0 +1,94 @@
+"""Trigram vectors, prototypes and predicted languages."""
+
+import numpy as np
+import pyarrow as pa
+
+from letterflow.llm import language_hd, textcols
+
+SCHEMA = "doc_id long, text string, lang string, score string"
+WORDS = {"aa": "takana pihla sotu lumi", "bb": "groß zwölf schein über", "cc": "日本 東京 大学 言語"}
+
+
+def counts(texts):
+    raw, at = textcols.utf8(pa.array(texts, pa.string()))
+    letters, gram, row, n = language_hd.trigrams(raw, at)
+    size, out = len(letters), [[] for _ in range(n)]
+    name = lambda i: chr(letters[i]) if letters[i] else "_"
+    for g, r in zip(gram, row):
+        out[r].append(name(g // size ** 2) + name(g // size % size) + name(g % size))
+    return out
+
+
+def plain(text):
+    letters = "".join(c.lower() if c.isalpha() else "_" for c in text or "")
+    while "__" in letters:
+        letters = letters.replace("__", "_")
+    letters = "_" + letters.strip("_") + "_"
+    return [letters[k:k + 3] for k in range(len(letters) - 2) if letters[k + 1] != "_"] if letters != "__" else []
+
+
+def test_trigrams_equal_plain_python():
+    texts = ["Ab c", "", None, "a", "É été!", "12 34", "x-y", "日本 go", "𝔘𝔫", " lead", "trail  "]
+    assert counts(texts) == [plain(t) for t in texts]
+
+
+def test_vectors_bind_permuted_letters():
+    raw, at = textcols.utf8(pa.array(["abc", "abc abd"]))
+    a, b, c, d, gap = (language_hd._letter_vectors(np.array([ord(x) if x != "_" else 0]))[0].astype(int)
+                       for x in "abcd_")
+    bound = lambda x, y, z: np.roll(x, 2) * np.roll(y, 1) * z
+    one, two = language_hd.document_vectors(raw, at)
+    assert np.array_equal(one, bound(gap, a, b) + bound(a, b, c) + bound(b, c, gap))
+    assert np.array_equal(two, 2 * bound(gap, a, b) + bound(a, b, c) + bound(a, b, d) + bound(b, c, gap) + bound(b, d, gap))
+
+
+def test_many_kinds_of_trigrams_in_pieces(monkeypatch):
+    texts = ["".join(chr(0x4E00 + (7 * k * k + j) % 900) for k in range(300)) for j in range(3)] + ["ab"]
+    raw, at = textcols.utf8(pa.array(texts))
+    whole = language_hd.document_vectors(raw, at)
+    monkeypatch.setattr(language_hd, "GRAMS", 37)
+    assert np.array_equal(language_hd.document_vectors(raw, at), whole)
+
+
+def rows():
+    out = []
+    for k in range(60):
+        lang = list(WORDS)[k % 3]
+        words = WORDS[lang].split()
+        out.append((k, " ".join(words[(k + j * j) % 4] for j in range(6)), lang, "clash"))
+    return out
+
+
+def test_learns_and_predicts(spark):
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    prototypes = language_hd.learn(docs)
+    assert list(prototypes) == ["aa", "bb", "cc"]
+    again = language_hd.learn(docs.repartition(7))
+    assert all(np.array_equal(prototypes[k], again[k]) for k in prototypes)
+    extra = [(None, None, None, None), (100, "", None, None), (101, "12 !? 3", "aa", None),
+             (102, "schein " * 20_000, None, None), (102, "schein", None, None)]
+    predicted = language_hd.predict(spark.createDataFrame(rows() + extra, SCHEMA), prototypes)
+    assert predicted.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    for r in predicted.collect():
+        assert 0 <= r["score"] <= 1
+        if r["doc_id"] in (None, 100, 101):
+            assert r["lang_pred"] == "und" and r["score"] == 0
+        else:
+            assert r["lang_pred"] == (r["lang"] or "bb")
+
+
+def test_recognised_keeps_every_column_and_clean_row(spark):
+    docs = spark.createDataFrame(rows() + [(7, None, "aa", None), (8, "99", "bb", None)], SCHEMA)
+    kept = language_hd.recognised(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(rows())
+
+
+def test_empty_tables_and_no_labels(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert language_hd.learn(none) == {}
+    assert language_hd.predict(none, {}).collect() == []
+    assert language_hd.recognised(none).collect() == []
+    plain_rows = spark.createDataFrame([(1, "abc", None, None), (2, "12", None, None)], SCHEMA)
+    assert language_hd.predict(plain_rows, {}).first()["lang_pred"] == "und"
+    assert [r["doc_id"] for r in language_hd.recognised(plain_rows).collect()] == [1]
