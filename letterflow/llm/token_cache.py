@@ -97,4 +97,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     known = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(
         F.max("n_tokens").alias("n_tokens"))
     sized = keyed.withColumn("n_bytes", F.octet_length(text).cast("long")).drop("text")
-    return sized.join(known, "digest", "left")
+    return sized.join(known, "digest", "left").select(*sized.columns, "n_tokens")

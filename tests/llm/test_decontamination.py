@@ -1,0 +1,124 @@
+"""Planted benchmark passages against brute-force alignment."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from letterflow.llm import decontaminate as dc
+from letterflow.llm import textcols
+
+DOCS = "doc_id long, text string, item_id string, edits int"
+ITEMS = "item_id long, text string, doc_id string"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice("the of river stone tall green under falls quick lamp over seven moon".split()) +
+                    rng.choice(["", "s", "ed", ", ", ". "]) + str(rng.randrange(99)) for _ in range(n))
+
+
+def damaged(rng, text, edits):
+    for _ in range(edits):
+        k = rng.randrange(len(text))
+        text = text[:k] + rng.choice(["", "x", text[k] + "y"]) + text[k + 1:]
+    return text
+
+
+def fewest_edits(pattern, text):
+    """Edits between a pattern and any part of a text, cell by cell."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        now = [i]
+        for j, t in enumerate(text, 1):
+            now.append(min(row[j - 1] + (p != t), row[j] + 1, now[-1] + 1))
+        row = now
+    return min(row)
+
+
+def plain(text):
+    raw, at = textcols.utf8(pa.array([text]))
+    return dc.normalise(raw, at)[0].tobytes()
+
+
+def test_normal_form():
+    assert plain("Ab,  c--D\n\nÉÀ ×ñ") == "ab c d éà ×ñ".encode()
+    raw, at = textcols.utf8(pa.array(["a ", " b", "", ".."]))
+    text, begin, _ = dc.normalise(raw, at)
+    assert [text[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:])] == [b"a ", b" b", b"", b" "]
+
+
+def test_every_match_within_budget_is_found():
+    rng = random.Random(3)
+    items = [prose(rng, n) for n in (3, 8, 14, 25, 60)]
+    index = dc.Index(list(range(len(items))), items)
+    found = missed = 0
+    for trial in range(150):
+        i = rng.randrange(len(items))
+        body = damaged(rng, items[i], rng.randrange(0, 16))
+        text = prose(rng, 20) + " " + body.upper() + " " + prose(rng, 10)
+        raw, at = textcols.utf8(pa.array(["", text]))
+        got = {(r, k): e for r, k, _, e, _, _ in index.search(raw, at)}
+        whole = plain(text)
+        for k in range(len(items)):
+            windows = []
+            own = index.text[index.at[k]:index.at[k + 1]].tobytes()
+            for start, length in index.patterns[k]:
+                edits = fewest_edits(own[start:start + length], whole)
+                if edits <= dc.budget(length) and dc.least_shared(length) >= 1:
+                    windows.append(edits)
+            assert ((1, k) in got) == bool(windows), (k, windows)
+            if windows:
+                assert got[1, k] == sum(windows)
+                found += 1
+            else:
+                missed += 1
+    assert found > 60 and missed > 60
+
+
+def corpus():
+    rng = random.Random(9)
+    items = [(k, prose(rng, 30), "c") for k in range(6)]
+    items += [(6, None, None), (None, "a null id with a text that is long enough to count, here it is", None),
+              (8, items[0][1], None), (9, "", None), (10, "short", None)]
+    docs = [(k, prose(rng, 60), "c", 0) for k in range(20)]
+    docs += [(100, prose(rng, 9) + items[0][1], None, None), (101, "ü é " + items[3][1] + " ü", None, None),
+             (101, "ü é " + items[3][1] + " ü", None, None), (None, items[4][1], None, None),
+             (103, prose(rng, 4000) + items[5][1], None, None), (104, None, None, None), (105, "", None, None)]
+    return docs, items
+
+
+def test_find_and_remove(spark):
+    docs, items = corpus()
+    table, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    hits = dc.find(table, bench).collect()
+    assert sorted((r["doc_id"] or -1, r["item_id"], r["edits"]) for r in hits) == [
+        (-1, 4, 0), (100, 0, 0), (101, 3, 0), (101, 3, 0), (103, 5, 0)]
+    texts = {d: t for d, t, *_ in docs}
+    for r in hits:
+        assert plain(texts[r["doc_id"]][r["begin"]:r["end"]]).strip() == plain(items[r["item_id"]][1]).strip()
+    kept = dc.remove(table, bench)
+    assert kept.columns == table.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(20), 104, 105]
+
+
+def test_items_in_several_sets(spark, monkeypatch):
+    docs, items = corpus()
+    table, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    whole = sorted(map(tuple, dc.find(table, bench).collect()), key=repr)
+    monkeypatch.setattr(dc, "ITEM_BYTES", 300)
+    assert len(list(dc.indexes(bench))) > 2
+    assert sorted(map(tuple, dc.find(table, bench).collect()), key=repr) == whole
+
+
+def test_empty_tables(spark):
+    docs, items = corpus()
+    none = spark.createDataFrame([], DOCS)
+    assert dc.find(none, spark.createDataFrame(items, ITEMS)).collect() == []
+    table = spark.createDataFrame(docs, DOCS)
+    empty = spark.createDataFrame([], ITEMS)
+    assert dc.find(table, empty).collect() == [] and dc.remove(table, empty).count() == len(docs)
+
+
+def test_lemma_bound_is_positive_where_items_count():
+    assert all(dc.least_shared(n) >= 1 for n in range(24, dc.WINDOW + 1))
+    assert np.all(np.array([dc.budget(n) for n in range(dc.WINDOW + 1)]) < dc.BAND // 2)

@@ -1,0 +1,87 @@
+"""The stages one after another, each judged on its own input."""
+
+import pytest
+
+import corpus_pipeline
+from letterflow.llm import decontaminate, language_hd
+from letterflow.llm.queries import QUERIES
+from letterflow.llm.tables import Workspace
+from tests.llm.test_near_duplicates import brute
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out, space = [docs], Workspace(spark, "test-pipeline")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out.append(space.keep(stage(spark, out[-1], SF), str(k)))
+    return out
+
+
+def rows(df):
+    return sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+
+
+def test_stages_and_columns(tables):
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "language_id", "near_dedup", "decontamination", "source_mix", "shard"]
+    assert all(t.columns == COLUMNS for t in tables[:-1])
+    assert tables[-1].columns == [*COLUMNS, "size", "shard", "slot"]
+
+
+def test_language_keeps_every_text_with_letters(tables):
+    assert rows(tables[1]) == [r for r in rows(tables[0]) if any(c.isalpha() for c in r[1])]
+
+
+def test_one_of_each_group(tables):
+    groups = brute(rows(tables[1]))
+    assert [d for d, _ in rows(tables[2])] == sorted(d for d, (_, root) in groups.items() if d == root)
+
+
+def test_no_benchmark_passage_is_left(spark, tables):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bad = {r["doc_id"] for r in decontaminate.find(tables[2], bench).collect()}
+    assert rows(tables[3]) == [r for r in rows(tables[2]) if r[0] not in bad]
+    items = [r["text"] for r in bench.collect()]
+    assert not any(i in t for _, t in rows(tables[3]) for i in items)
+
+
+def test_mix_repeats_documents_of_its_input(tables):
+    before, after = rows(tables[3]), rows(tables[4])
+    assert set(after) <= set(before) and max(after.count(r) for r in set(after)) <= 2
+    words = lambda rs: sum(len(t.split()) for _, t in rs)
+    assert abs(words(after) / words(before) - 1.5) < 0.2
+
+
+def test_all_rows_are_sharded(tables):
+    assert rows(tables[5]) == rows(tables[4])
+    shards = {}
+    for r in tables[5].collect():
+        shards.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and set(shards) <= set(range(24))
+
+
+def test_run_gives_the_last_table(spark, tables):
+    assert rows(corpus_pipeline.run(spark, SF)) == rows(tables[5])
+
+
+def test_language_query_on_held_out_documents(spark):
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op5_language_hd"](spark, SF).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == len(langs)
+    assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    assert all(r["lang_pred"] in {*langs.values(), language_hd.UNKNOWN} for r in got)
+
+
+@pytest.mark.parametrize("name, label, least", [("op1_quality_crf", "quality", 0.9), ("op9_toxicity_ftrl", "toxic", 0.85)])
+def test_classifier_queries_on_held_out_labels(spark, name, label, least):
+    path = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    got = QUERIES[name](spark, path).collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] in labels]
+    assert len(got) == 1000 and all(0 <= r["score"] <= 1 for r in got)
+    assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= least * len(held)
