@@ -58,8 +58,10 @@ SELECT o_custkey AS SYSTEM_ID, o_orderkey AS LETTER,
   CASE (o_orderkey DIV 5) % 8 WHEN 2 THEN 'Last_Month' WHEN 3 THEN 'Last_Year' WHEN 6 THEN 'LastClinic'
        WHEN 7 THEN 'This_Year' END AS PinT
 FROM {orders}""",
+    # Two letters to a document; some undated letters are documents of their own.
     "letters_v": """
-SELECT o_orderkey AS LETTER, o_custkey AS SYSTEM_ID, o_orderkey DIV 2 AS DOC FROM {orders}""",
+SELECT o_orderkey AS LETTER, o_custkey AS SYSTEM_ID,
+  CASE WHEN o_orderkey % 70 = 0 THEN -o_orderkey ELSE o_orderkey DIV 2 END AS DOC FROM {orders}""",
     # Dates as text; letters with neither date are not in the table.
     "dates_v": f"""
 SELECT o_orderkey AS LETTER, o_custkey AS SYSTEM_ID,

@@ -2,6 +2,7 @@
 
 from checks import queries as q
 from checks.adapters import ctes
+from letterflow.sources.schemas import KINDS
 
 ORACLES = {}
 
@@ -93,12 +94,16 @@ select("dated_prescriptions_by_doc", ["presc_v", "dates_v", "letters_v"], """
 SELECT p.SYSTEM_ID, d.DATEREC, l.DOC, p."START", p."END", p.CUI, p.NAME, p.DOSE, p.UNIT, p.FREQUENCY
 FROM presc_v p LEFT JOIN dated d ON p.LETTER = d.LETTER LEFT JOIN letters_v l ON d.LETTER = l.LETTER""",
        DATED)
+select("dated_reports", ["sf_v", "dates_v"], """
+SELECT s.SYSTEM_ID, d.DATEREC, s.LETTER, 0 AS Start, 5 AS "End", s.CUI, s.FreqChange, s.NofS,
+  CAST(NULL AS DOUBLE) AS LNofS, s.UNofS, s.TP, s.NofTP, s.LNofTP, CAST(NULL AS DOUBLE) AS UNofTP,
+  s.Sin_Dur, s.YD, s.MD, s.DD, s.PinT
+FROM sf_v s LEFT JOIN dated d ON s.LETTER = d.LETTER""", DATED)
 select("letters_without_date", ["letters_v", "dates_v"],
        "SELECT * FROM letters_v WHERE LETTER NOT IN (SELECT LETTER FROM dates_v)")
 select("letters_without_date_by_doc", ["letters_v", "dates_v"], """
 SELECT * FROM letters_v WHERE DOC NOT IN (
-  SELECT l.DOC FROM dates_v d JOIN letters_v l ON d.LETTER = l.LETTER
-  WHERE d.Clinic_Date IS NOT NULL AND d.LetDate IS NOT NULL)""")
+  SELECT l.DOC FROM dates_v d JOIN letters_v l ON d.LETTER = l.LETTER)""")
 select("distinct_letters", ["presc_v"], "SELECT DISTINCT LETTER FROM presc_v")
 
 # --- prescriptions -------------------------------------------------------------------------
@@ -164,6 +169,16 @@ select("split_dose_qty", ["presc_v"],
 select("split_dose_qty_previous", ["presc_v"], f"SELECT {ROW}, Q2ndDose, Q3rdDose FROM parts",
        QUANTITY, FLAG, parts("previous"))
 select("daily_dose", ["presc_v"], f"SELECT {ROW}, DailyDose FROM daily", *doses())
+select("generic_name_medicines", ["presc_v"], f"""
+SELECT p.* EXCLUDE (SYSTEM_ID, DOC, DATEREC), arg_min(m.generic, m.priority) AS PREF
+FROM (SELECT * REPLACE (
+    [{', '.join(map(repr, q.MEDICINE_NAMES))}][CAST(LETTER % {len(q.MEDICINE_NAMES)} AS INT) + 1] AS NAME,
+    [{', '.join(map(repr, q.MEDICINE_CODES))}][CAST(SYSTEM_ID % {len(q.MEDICINE_CODES)} AS INT) + 1] AS CUI),
+    row_number() OVER () AS r FROM presc_v) p
+  LEFT JOIN (VALUES {rows([(*m, i) for i, m in enumerate(q.MEDICINES)])}) m(generic, col, value, priority)
+  ON (m.col = 'NAME' AND m.value = p.NAME) OR (m.col = 'CUI' AND m.value = p.CUI)
+GROUP BY ALL""".replace("p.* EXCLUDE (SYSTEM_ID, DOC, DATEREC)", f"{ROW}").replace(
+    "GROUP BY ALL", f"GROUP BY r, {ROW}"))
 for name in ("generic_name", "generic_name_table"):
     select(name, ["presc_v"], f"SELECT {ROW}, {PREF} FROM presc_v")
 select("daily_dose_clean", ["presc_v"], """
@@ -387,11 +402,21 @@ matched AS (SELECT a.*, b.NHS_NUMBER, b.ADDRESS_1, b.SYSTEM_ID, b.CREATE_DATE
 select("people_count", ["ident_v", "dx_v"], f"""
 SELECT CAST(count(DISTINCT NHS_No) AS BIGINT) AS people FROM (
   SELECT {clean_id('NHS_No')} AS NHS_No FROM ident_v UNION SELECT {clean_id('NHS_No')} FROM dx_v)""")
+select("people_count_three", ["ident_v", "dx_v", "trusted_v"], f"""
+SELECT CAST(count(DISTINCT NHS_No) AS BIGINT) AS people FROM (
+  SELECT {clean_id('NHS_No')} AS NHS_No FROM ident_v UNION SELECT {clean_id('NHS_No')} FROM dx_v
+  UNION SELECT {clean_id('NHS_NUMBER')} FROM trusted_v)""")
 select("individuals", ["ident_v"], "SELECT * FROM ind", ANNOTATED, IND)
 select("individuals_known", ["ident_v"], """
 SELECT DISTINCT NHS_No AS NHS1, Surname, FirstName, DoB, Gender, PostCode FROM ind
 WHERE NHS_No IS NOT NULL""", ANNOTATED, IND)
 select("identity_file", ["ident_v"], "SELECT * FROM file", ANNOTATED, IND, JOINED, FILE)
+select("identity_ids", ["ident_v"], """
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS ids, CAST(1 AS BIGINT) AS first,
+  CAST(count(*) AS BIGINT) AS last FROM plain""", ANNOTATED, IND, JOINED)
+select("linked_kinds", ["ident_v"], f"""
+SELECT [{', '.join(repr(k) for k in KINDS)}][CAST(Letter % {len(KINDS)} AS INT) + 1] AS kind,
+  Letter, NHS_NUMBER, ADDRESS_1, SYSTEM_ID FROM matched""", ANNOTATED, IND, JOINED, FILE, MATCHED)
 select("match_identity", ["ident_v"], """
 SELECT Letter, NHS_No, Surname, GENDER_CD, NHS_NUMBER, ADDRESS_1, SYSTEM_ID, CREATE_DATE FROM matched""",
        ANNOTATED, IND, JOINED, FILE, MATCHED)
@@ -440,13 +465,15 @@ SELECT *, NHS_NUMBER IN (SELECT NHS_NUMBER FROM trusted_v) AS matched FROM a""",
 select("matched_values", ["ident_v", "trusted_v"], """
 SELECT NHS_NUMBER FROM a WHERE NHS_NUMBER IN (SELECT NHS_NUMBER FROM trusted_v)""",
        ANNOTATED, EXTRACTED, NUMBERS)
-CODES_ASKED = "a AS (SELECT SYSTEM_ID, POSTCODE FROM extracted WHERE POSTCODE IS NOT NULL)"
-for name, text in {
-        "sql_count": "SELECT SYSTEM_ID, CAST(count(SYSTEM_ID) AS BIGINT) AS n FROM a GROUP BY SYSTEM_ID",
-        "sql_match": BY_ID.format(c="POSTCODE", t="PostCode"),
-        "sql_missed": """SELECT SYSTEM_ID FROM trusted_v
-          WHERE SYSTEM_ID NOT IN (SELECT SYSTEM_ID FROM a)"""}.items():
-    select(name, ["ident_v", "trusted_v"], text, ANNOTATED, EXTRACTED, CODES_ASKED)
+for short, (column, trusted) in q.CHECKED.items():
+    one = f"a AS (SELECT SYSTEM_ID, {column} FROM extracted WHERE {column} IS NOT NULL)"
+    for name, text in {
+            "sql_count": "SELECT SYSTEM_ID, CAST(count(SYSTEM_ID) AS BIGINT) AS n FROM a GROUP BY SYSTEM_ID",
+            "sql_match": BY_ID.format(c=column, t=trusted),
+            "sql_missed": """SELECT SYSTEM_ID FROM trusted_v
+              WHERE SYSTEM_ID NOT IN (SELECT SYSTEM_ID FROM a)"""}.items():
+        select(name if short == "postcode" else f"{name}_{short}", ["ident_v", "trusted_v"], text,
+               ANNOTATED, EXTRACTED, one)
 
 BOTH = """both_dates AS (SELECT coalesce(c.LETTER, l.LETTER) AS LETTER, c.Clinic_Date, l.LetDate
   FROM (SELECT * FROM dates_v WHERE Clinic_Date IS NOT NULL) c

@@ -1,15 +1,20 @@
 """One query per operator, over whole tables."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.adapters import load
 from letterflow.functions import scalars as sc
+from letterflow.functions.lookups import generic_names
 from letterflow.operators import dates, diagnosis, dose, frequency, identity, validation
 from letterflow.plans import frequency as frequency_plan
+from letterflow.plans import identity as identity_plan
 from letterflow.plans import prescriptions as prescription_plan
 from letterflow.plans import validation as validation_sql
 from letterflow.sources.scan import null_tokens
-from letterflow.sources.sink import keep
+from letterflow.sources.schemas import KINDS
+from letterflow.sources.sink import keep, new_folder
 
 # Lookup values for the test tables: generic names, top doses, groups and types.
 NAME_MAP = (
@@ -140,9 +145,9 @@ def letters_without_date(spark, d):
 
 @query
 def letters_without_date_by_doc(spark, d):
-    """Documents none of whose letters has both dates."""
+    """Documents none of whose letters has a row in the date table; one date is enough."""
     linked = dates.letter_dates(load(spark, d, "dates_v"), load(spark, d, "letters_v"))
-    return dates.letters_without_date(load(spark, d, "letters_v"), linked.na.drop(), "DOC")
+    return dates.letters_without_date(load(spark, d, "letters_v"), linked, "DOC")
 
 
 @query
@@ -197,6 +202,22 @@ def generic_name_table(spark, d):
     return dose.generic_name(load(spark, d, "presc_v"), table).select(*ROW, "PREF")
 
 
+# The library's own medicine map, entry by entry.
+MEDICINES = tuple(generic_names())
+MEDICINE_NAMES = tuple(value for _, column, value in MEDICINES if column == "NAME") + ("unknown",)
+MEDICINE_CODES = tuple(value for _, column, value in MEDICINES if column == "CUI") + ("C0",)
+
+
+@query
+def generic_name_medicines(spark, d):
+    """Real names and codes dealt over all prescriptions, through the library's map."""
+    pick = lambda values, key: F.element_at(
+        F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+    rows = load(spark, d, "presc_v").withColumns(
+        {"NAME": pick(MEDICINE_NAMES, "LETTER"), "CUI": pick(MEDICINE_CODES, "SYSTEM_ID")})
+    return dose.generic_name(rows).select(*ROW, "PREF")
+
+
 @query
 def daily_dose_clean(spark, d):
     return dose.daily_dose_clean(dose.generic_name(doses(spark, d), NAME_MAP))
@@ -305,11 +326,23 @@ def severity_basic(spark, d):
 
 
 def scored(spark, d):
-    return frequency_plan.scored_reports(load(spark, d, "sf_v"))
+    return frequency_plan.scored_reports(
+        load(spark, d, "sf_v"), path=new_folder(spark, "scores"))
 
 
 def grouped(spark, d):
-    return frequency_plan.grouped_severity(load(spark, d, "sf_v"), groups(spark))
+    return frequency_plan.grouped_severity(
+        load(spark, d, "sf_v"), groups(spark), path=new_folder(spark, "scores"))
+
+
+@query
+def dated_reports(spark, d):
+    """Reports by letter, dated from the whole date table."""
+    return frequency_plan.dated_reports(
+        load(spark, d, "sf_v").drop("DATEREC").withColumns(
+            {"Start": F.lit(0), "End": F.lit(5)} | {
+                c: F.lit(None).cast("double") for c in ("LNofS", "UNofTP")}),
+        load(spark, d, "dates_v").drop("SYSTEM_ID"))
 
 
 @query
@@ -346,7 +379,7 @@ def severity_norm(spark, d):
 
 @query
 def person_timeline(spark, d):
-    return frequency.person_timeline(ratios(spark, d), grouped(spark, d))
+    return frequency.person_timeline(ratios(spark, d), grouped(spark, d), unique=True)
 
 
 # --- diagnosis -----------------------------------------------------------------------------
@@ -412,11 +445,21 @@ def file(spark, d):
     return identity.identity_file(identity.individuals(nine_tables(spark, d)), AS_OF)
 
 
+def kept_file(spark, d):
+    return keep(file(spark, d), new_folder(spark, "identity"))
+
+
 @query
 def people_count(spark, d):
     return identity.people_count([load(spark, d, v) for v in ("ident_v", "dx_v")])
 
 
+@query
+def people_count_three(spark, d):
+    trusted = load(spark, d, "trusted_v").withColumnRenamed("NHS_NUMBER", "NHS_No")
+    return identity.people_count([load(spark, d, "ident_v"), load(spark, d, "dx_v"), trusted])
+
+
 @query
 def individuals(spark, d):
     return identity.individuals(nine_tables(spark, d))
@@ -434,17 +477,36 @@ def identity_file(spark, d):
 
 @query
 def match_identity(spark, d):
-    return identity.match_identity(annotated(spark, d), keep(file(spark, d))).select(
+    return identity.match_identity(annotated(spark, d), kept_file(spark, d)).select(
         "Letter", "NHS_No", "Surname", "GENDER_CD", "NHS_NUMBER", "ADDRESS_1", "SYSTEM_ID",
         "CREATE_DATE")
 
 
 @query
 def code_cohort(spark, d):
-    matched = identity.match_identity(annotated(spark, d), keep(file(spark, d)))
+    matched = identity.match_identity(annotated(spark, d), kept_file(spark, d))
     return identity.code_cohort(matched)
 
 
+@query
+def linked_kinds(spark, d):
+    """Nine kinds of annotations, all matched to one identity file."""
+    rows = load(spark, d, "ident_v")
+    kinds = {kind: rows.filter(F.col("Letter") % len(KINDS) == k) for k, kind in enumerate(KINDS)}
+    _, matched = identity_plan.link(kinds, AS_OF, new_folder(spark, "identity"))
+    parts = [df.select(F.lit(kind).alias("kind"), "Letter", "NHS_NUMBER", "ADDRESS_1", "SYSTEM_ID")
+             for kind, df in matched.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query
+def identity_ids(spark, d):
+    """Row ids by rule: one for each identity, from 1, without gaps."""
+    ids = file(spark, d)
+    return ids.agg(F.count("*").alias("rows"), F.count_distinct("SYSTEM_ID").alias("ids"),
+                   F.min("SYSTEM_ID").alias("first"), F.max("SYSTEM_ID").alias("last"))
+
+
 # --- validation ----------------------------------------------------------------------------
 
 # Extracted column, its trusted column.
@@ -510,15 +572,18 @@ def matched_values(spark, d):
                                      load(spark, d, "trusted_v"), "NHS_NUMBER")
 
 
-def asked(question):
+def asked(question, column, trusted):
     def run(spark, d):
-        return validation_sql.ask(spark, question, extracted(spark, d, "POSTCODE"),
-                                  load(spark, d, "trusted_v"), "POSTCODE", "PostCode")
+        return validation_sql.ask(spark, question, extracted(spark, d, column),
+                                  load(spark, d, "trusted_v"), column, trusted)
     return run
 
 
 for _question in validation_sql.QUESTIONS:
-    QUERIES[f"sql_{_question}"] = asked(_question)
+    for _short, (_column, _trusted) in CHECKED.items():
+        # The plain name asks for the post code.
+        _name = f"sql_{_question}" if _short == "postcode" else f"sql_{_question}_{_short}"
+        QUERIES[_name] = asked(_question, _column, _trusted)
 
 
 def two_date_tables(spark, d):
@@ -544,7 +609,7 @@ def dates_with_letters(spark, d):
 
 @query
 def duplicate_docs(spark, d):
-    return validation.duplicate_rows(keep(dates_and_docs(spark, d)), "DOC")
+    return validation.duplicate_rows(dates_and_docs(spark, d), "DOC")
 
 
 @query

@@ -6,10 +6,9 @@ from letterflow.functions.scalars import (
     date_from_parts, expand_birth_year, expand_visit_year, first_not_null, normalise_id,
     parse_dmy)
 from letterflow.operators.joins import join_null_safe
-from letterflow.operators.skew import HOT_ROWS
+from letterflow.sources.schemas import BIRTH_DAY_MONTH, DATES
 
-PARTS = ("DoBDD", "DoBMD", "DoBYD", "ClinicDD", "ClinicMD", "ClinicYD",
-         "LetDD", "LetMD", "LetYD")
+PARTS = tuple(name for name, _ in BIRTH_DAY_MONTH + DATES)
 EVENT_PARTS = ("YD", "MD", "DD")
 
 
@@ -44,19 +43,20 @@ def normalise_annotations(df, keep=(), birth_pivot=None, visit_pivot=None):
             .drop(*dropped, *years))
 
 
-def letter_dates(dates, letters, on="LETTER", hot_rows=HOT_ROWS):
+def letter_dates(dates, letters, on="LETTER", hot_rows=None, hot=None, right_hot=None):
     """Dates with the letter list's DOC; the list's own person id is left out."""
-    return join_null_safe(dates, letters.drop("SYSTEM_ID"), on, "left", hot_rows,
-                          right_hot_rows=hot_rows)
+    return join_null_safe(dates, letters.drop("SYSTEM_ID"), on, "left", hot_rows, hot=hot,
+                          right_hot_rows=hot_rows, right_hot=right_hot)
 
 
-def attach_record_date(df, dates, on="LETTER", keep=("DATEREC",), hot_rows=HOT_ROWS):
+def attach_record_date(df, dates, on="LETTER", keep=("DATEREC",), hot_rows=None, hot=None,
+                       right_hot=None):
     """Annotations with the record date of their letter (and what else `keep` names)."""
-    return join_null_safe(df, dates.select(on, *keep), on, "left", hot_rows,
-                          right_hot_rows=hot_rows)
+    return join_null_safe(df, dates.select(on, *keep), on, "left", hot_rows, hot=hot,
+                          right_hot_rows=hot_rows, right_hot=right_hot)
 
 
-def letters_without_date(letters, dates, on="DOC", hot_rows=HOT_ROWS):
+def letters_without_date(letters, dates, on="DOC", hot_rows=None):
     """Listed letters that have no row in the date table."""
     return join_null_safe(letters, dates.select(on).distinct(), on, "left_anti", hot_rows)
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from letterflow.functions.lookups import ONCE_DAILY_CODES, generic_names
 from letterflow.functions.scalars import round2, safe_divide
 from letterflow.operators.joins import lookup_join
-from letterflow.operators.skew import HOT_ROWS, LANE, in_lanes
+from letterflow.operators.skew import LANE, in_lanes
 
 # Order of the rows of a letter. The columns after END only settle ties.
 DOSE_ORDER = ("START", "CUI", "END", "FREQUENCY", "DOSE", "UNIT", "NAME")
@@ -35,10 +35,11 @@ def _window(doc, order):
     return Window.partitionBy(doc, *span, LANE).orderBy(*_ascending(order))
 
 
-def _in_lanes(df, doc, order, hot_rows):
+def _in_lanes(df, doc, order, hot_rows, hot=None):
     if order[0] != "START":
-        return df.withColumn(LANE, F.lit(0))
-    return in_lanes(df, [doc], [doc, *RUN], _ascending(order), REACH, hot_rows)
+        # Only letters' own rows can be interleaved; those of no letter are spread.
+        return in_lanes(df, [doc], [doc, *RUN], _ascending(order), REACH)
+    return in_lanes(df, [doc], [doc, *RUN], _ascending(order), REACH, hot_rows, hot)
 
 
 def _beside(df, w, offsets):
@@ -113,36 +114,39 @@ def _daily(df, doc, w, null_freq_codes):
     return _without(_beside(df, w, seen).withColumn("DailyDose", daily), seen)
 
 
-def split_dose_flag(df, doc="LETTER", order=DOSE_ORDER, hot_rows=HOT_ROWS):
+def split_dose_flag(df, doc="LETTER", order=DOSE_ORDER, hot_rows=None, hot=None):
     """`AnotherDose`: is this row the 2nd or 3rd part of a dose in the same span?
 
     An order not led by START is allowed for rows with interleaved spans; the
-    window then covers the whole letter.
+    window then covers the whole letter. `hot` names letters too common for one
+    task, as from `hot_keys` on a base table.
     """
-    return _flag(_in_lanes(df, doc, order, hot_rows), doc, _window(doc, order)).drop(LANE)
+    return _flag(_in_lanes(df, doc, order, hot_rows, hot), doc, _window(doc, order)).drop(LANE)
 
 
-def split_dose_qty(df, rule="matched", doc="LETTER", order=DOSE_ORDER, hot_rows=HOT_ROWS):
+def split_dose_qty(df, rule="matched", doc="LETTER", order=DOSE_ORDER, hot_rows=None,
+                   hot=None):
     """`Q2ndDose`, `Q3rdDose`: the other parts of the dose, on the 2nd part's row.
 
     "matched" takes the nearest of two rows back with the same span and code,
     "previous" always takes the row before.
     """
-    return _quantities(_in_lanes(df, doc, order, hot_rows), _window(doc, order), rule).drop(LANE)
+    rows = _in_lanes(df, doc, order, hot_rows, hot)
+    return _quantities(rows, _window(doc, order), rule).drop(LANE)
 
 
 def daily_dose(df, null_freq_codes=ONCE_DAILY_CODES, doc="LETTER", order=DOSE_ORDER,
-               hot_rows=HOT_ROWS):
+               hot_rows=None, hot=None):
     """`DailyDose` from the flag, the quantities and the following rows."""
-    rows = _in_lanes(df, doc, order, hot_rows)
+    rows = _in_lanes(df, doc, order, hot_rows, hot)
     return _daily(rows, doc, _window(doc, order), null_freq_codes).drop(LANE)
 
 
 def total_daily_dose(df, rule="matched", null_freq_codes=ONCE_DAILY_CODES, doc="LETTER",
-                     order=DOSE_ORDER, hot_rows=HOT_ROWS):
+                     order=DOSE_ORDER, hot_rows=None, hot=None):
     """Quantity, split doses and daily dose in one go: one shuffle, one sort."""
     w = _window(doc, order)
-    rows = _in_lanes(quantity_mg(df), doc, order, hot_rows)
+    rows = _in_lanes(quantity_mg(df), doc, order, hot_rows, hot)
     rows = _quantities(_flag(rows, doc, w), w, rule)
     return _daily(rows, doc, w, null_freq_codes).drop(LANE)
 

@@ -11,7 +11,7 @@ from letterflow.functions.lookups import (
     RATE_LOWEST, WEEKS_PER_MONTH)
 from letterflow.functions.scalars import date_from_parts, safe_divide
 from letterflow.operators.joins import join_null_safe, lookup_join
-from letterflow.operators.skew import HOT_ROWS, LANE, hot_keys, in_lanes
+from letterflow.operators.skew import LANE, hot_keys, in_lanes
 
 VARIANTS = ("basic", "expanded")
 # Rows looked back over for an earlier report of the same seizure type.
@@ -35,14 +35,14 @@ def _order(df):
     return [F.asc_nulls_last(c) for c in ORDER if c in df.columns]
 
 
-def _history(df, hot_rows):
+def _history(df, hot_rows=None, hot=None):
     """The rows in lanes, and the window over each person's rows in time order.
 
     Only the ends of a date's rows meet other dates, and a person has few dates,
     so lane 0 of a person is small whatever the number of rows.
     """
     order = _order(df)
-    rows = in_lanes(df, [PERSON], [PERSON, "DATEREC"], order, DEPTH, hot_rows)
+    rows = in_lanes(df, [PERSON], [PERSON, "DATEREC"], order, DEPTH, hot_rows, hot)
     return rows, Window.partitionBy(PERSON, LANE).orderBy(*order)
 
 
@@ -210,7 +210,7 @@ def _value_back(df, w, value, out, depth=DEPTH, only_if_null=None):
     return df.withColumn(out, found)
 
 
-def prev_record_date(df, distinct_dates=False, hot_rows=HOT_ROWS):
+def prev_record_date(df, distinct_dates=False, hot_rows=None, hot=None):
     """`PrevRecDate`: date of the person's row before, if earlier.
 
     Of several rows on one date only the first sees the date before, unless
@@ -218,32 +218,35 @@ def prev_record_date(df, distinct_dates=False, hot_rows=HOT_ROWS):
     """
     if distinct_dates:
         # Every row of a date gets the same answer, so it is found per date.
-        dates = _prev_record_date(*_history(df.select(PERSON, "DATEREC").distinct(), None))
+        dates = _prev_record_date(*_history(df.select(PERSON, "DATEREC").distinct()))
         dates = dates.drop(LANE)
         return join_null_safe(df, dates, [PERSON, "DATEREC"], "left", hot_rows)
-    return _prev_record_date(*_history(df, hot_rows)).drop(LANE)
+    return _prev_record_date(*_history(df, hot_rows, hot)).drop(LANE)
 
 
-def prev_same_code(df, value, out, depth=DEPTH, only_if_null=None, hot_rows=HOT_ROWS):
+def prev_same_code(df, value, out, depth=DEPTH, only_if_null=None, hot_rows=None, hot=None):
     """`value` of the nearest of `depth` rows back with the same code and an earlier date.
 
     The nearest such row decides, even where its value is NULL.
     """
     if depth > DEPTH:
         raise ValueError(f"depth is at most {DEPTH}")
-    rows, w = _history(df, hot_rows)
+    rows, w = _history(df, hot_rows, hot)
     rows = _value_back(_steps_back(rows, w, depth), w, value, out, depth, only_if_null)
     return rows.drop("_steps", LANE)
 
 
 # --- put together --------------------------------------------------------------------------
 
-def frequency_table(df, variant="expanded", hot_rows=HOT_ROWS):
-    """All columns from report to severity. One shuffle and one sort serve every look-back."""
+def frequency_table(df, variant="expanded", hot_rows=None, hot=None):
+    """All columns from report to severity. One shuffle and one sort serve every look-back.
+
+    `hot` names people too common for one task, as from `hot_keys` on a base table.
+    """
     expanded = _check(variant)
     rows = record_year(event_date(df))
     rows = stated_rate(period_days(period_count(event_count(rows, variant))), variant)
-    rows, w = _history(rows, hot_rows)
+    rows, w = _history(rows, hot_rows, hot)
     if expanded:
         rows = _prev_record_date(rows, w)
     rows = _value_back(_steps_back(rows, w), w, "DATEREC", "PrevRecCUI")
@@ -257,9 +260,9 @@ WORKING = ("PrevRecCUI", "PrevRecDate", "NumS", "NTP", "DailyRate", "DailyRate2"
            "PrevCUIFreq", "PrevRateCUI_Same6m")
 
 
-def severity_table(df, variant="expanded", hot_rows=HOT_ROWS):
+def severity_table(df, variant="expanded", hot_rows=None, hot=None):
     """The reports with event dates, days, final rate and severity."""
-    table = frequency_table(df, variant, hot_rows).drop(*WORKING)
+    table = frequency_table(df, variant, hot_rows, hot).drop(*WORKING)
     if variant == "basic":
         table = table.drop("TotalTPDays", "DATEREC_Year")
     return table
@@ -282,7 +285,7 @@ def rate_subsets(df):
     return df.filter(F.col("SeizureFree").isNotNull()), df.filter(F.col("DailyRateSF") > 0)
 
 
-def max_severity(df, keys=("DATEREC",), hot_rows=HOT_ROWS):
+def max_severity(df, keys=("DATEREC",), hot_rows=None):
     """Rows whose severity is the largest of their group, ties included."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     df = df.filter(F.col("FreqSeverity").isNotNull())
@@ -300,18 +303,25 @@ def min_max_norm(df, col="FreqSeverity", out="NV"):
     return df.withColumn(out, safe_divide(F.col(col) - low, high - low))
 
 
-def person_timeline(doses, grouped, person=None):
+def person_timeline(doses, grouped, person=None, unique=False):
     """Dose ratios and normalised severities as one long table.
 
-    Severities are scaled over all people, whoever is asked for.
+    Severities are scaled over all people, whoever is asked for. `unique` says that
+    dose ratios hold no repeated rows, as those of `dose_ratio` on largest doses.
+
+    A natural full join on all six columns: a key names at most one severity, so one
+    aggregate over both tables puts the two together.
     """
     keys = ["SYSTEM_ID", "LETTER", "DATEREC", "CUI", "Category", "NV"]
     scaled = min_max_norm(grouped).withColumnRenamed("Seizures", "Category")
     if person is not None:
         doses = doses.filter(F.col("SYSTEM_ID") == person)
         scaled = scaled.filter(F.col("SYSTEM_ID") == person)
-    series = (doses.distinct().withColumnsRenamed({"PREF": "Category", "DailyRate": "NV"})
-              .select(*keys))
-    # Without repeats on the right a key names one row there, so none is common.
-    return join_null_safe(series, scaled.distinct().select(*keys, "FreqSeverity"), keys, "full",
-                          hot_rows=None)
+    series = doses if unique else doses.distinct()
+    series = series.withColumnsRenamed({"PREF": "Category", "DailyRate": "NV"})
+    score = dict(grouped.dtypes)["FreqSeverity"]
+    both = series.select(*keys, F.lit(None).cast(score).alias("FreqSeverity"), F.lit(1).alias("_n")).unionByName(
+        scaled.select(*keys, "FreqSeverity", F.lit(0).alias("_n")))
+    joined = both.groupBy(*keys).agg(F.max("FreqSeverity").alias("FreqSeverity"), F.sum("_n").alias("_n"))
+    times = F.array_repeat(F.lit(0), F.greatest(F.col("_n"), F.lit(1)).cast("int"))
+    return joined.withColumn("_time", F.explode(times)).select(*keys, "FreqSeverity")

@@ -7,8 +7,6 @@ from pyspark.sql import Window, functions as F
 from letterflow.functions.lookups import DISSOCIATIVE_CODES
 from letterflow.functions.scalars import gender_code, normalise_id
 from letterflow.operators.joins import join_null_safe
-from letterflow.operators.skew import HOT_ROWS, hot_keys
-from letterflow.sources.sink import keep
 
 IDENTITY = ("NHS_No", "Surname", "FirstName", "DoB", "Gender", "PostCode", "Address")
 # Who a record is about, when the NHS number is not written.
@@ -68,33 +66,28 @@ def with_row_ids(df, out="SYSTEM_ID"):
             .select(*columns, out))
 
 
-def identity_file(ind, as_of, hot_rows=HOT_ROWS):
+def identity_file(ind, as_of):
     """One row per person, post code and NHS number, with a dense SYSTEM_ID.
 
     An identity without any known NHS number stays with NULL. The address is the
     first one, in text order, of the identity. `as_of` is the load date.
 
-    The distinct identities, far fewer than the annotations, are kept once by a
-    checkpoint, so that the annotation tables are read a single time.
+    One shuffle by the five person keys serves the first address, the count of known
+    numbers and the removal of repeats. Surname and date of birth are known, so no
+    such group is large.
     """
     known = ind.filter(F.col("DoB").isNotNull() & F.col("Surname").isNotNull())
     rows = known.withColumn("GENDER_CD", gender_code("Gender"))
-    numbers = keep(rows.groupBy(*PERSON_KEYS, "NHS_No").agg(F.min("Address").alias("Address")))
-    # Summarised once more per identity, then joined back instead of joining all
-    # addresses to all numbers.
-    summary = numbers.groupBy(*PERSON_KEYS).agg(
-        F.min("Address").alias("ADDRESS_1"), (F.count("NHS_No") == 0).alias("_unknown"),
-        F.count("*").alias("_rows"))
-    hot = None if hot_rows is None else hot_keys(summary, PERSON_KEYS, hot_rows, "_rows")
-    file = join_null_safe(numbers.drop("Address"), summary.drop("_rows"), PERSON_KEYS, "inner",
-                          hot_rows, hot=hot)
-    file = (file.filter(F.col("NHS_No").isNotNull() | F.col("_unknown"))
-            .select("NHS_No", *PERSON_KEYS, F.translate("ADDRESS_1", ",", "").alias("ADDRESS_1"))
+    person = Window.partitionBy(*PERSON_KEYS)
+    file = rows.withColumns({"ADDRESS_1": F.translate(F.min("Address").over(person), ",", ""),
+                             "_known": F.count("NHS_No").over(person)})
+    file = (file.filter(F.col("NHS_No").isNotNull() | (F.col("_known") == 0))
+            .select("NHS_No", *PERSON_KEYS, "ADDRESS_1").distinct()
             .withColumnsRenamed(FILE_NAMES))
     return with_row_ids(file).withColumn("CREATE_DATE", F.lit(as_of).cast("date"))
 
 
-def match_identity(df, identity, hot_rows=HOT_ROWS):
+def match_identity(df, identity, hot_rows=None, hot=None, right_hot=None):
     """Annotations with SYSTEM_ID, NHS number and address of their identity.
 
     All five keys must agree, NULL with NULL. An annotation is repeated if its
@@ -102,7 +95,8 @@ def match_identity(df, identity, hot_rows=HOT_ROWS):
     """
     rows = with_upper_surname(df).withColumn("GENDER_CD", gender_code("Gender"))
     keys = {k: FILE_NAMES.get(k, k) for k in PERSON_KEYS}
-    return join_null_safe(rows, identity, keys, "left", hot_rows, right_hot_rows=hot_rows)
+    return join_null_safe(rows, identity, keys, "left", hot_rows, hot=hot,
+                          right_hot_rows=hot_rows, right_hot=right_hot)
 
 
 def code_cohort(df, codes=DISSOCIATIVE_CODES, min_certainty=4):

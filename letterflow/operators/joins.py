@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from letterflow.operators.skew import HOT_ROWS, SALTS, hot_keys, null_safe, plain_equal, salted
+from letterflow.operators.skew import hot_keys, null_safe, plain_equal, renamed_hot, salted
 
 # Largest planned size of a lookup that is broadcast.
 LOOKUP_BYTES = 64 * 1024 * 1024
@@ -16,20 +16,31 @@ def _pairs(on):
     return dict(on) if isinstance(on, dict) else {k: k for k in on}
 
 
-def join_null_safe(left, right, on, how="left", hot_rows=HOT_ROWS, salts=SALTS,
-                   nulls_match=True, hot=None, right_hot_rows=None, also=None):
+def join_null_safe(left, right, on, how="left", hot_rows=None, salts=None,
+                   nulls_match=True, hot=None, right_hot_rows=None, also=None,
+                   right_hot=None, suffix=None):
     """Equi-join on `on` ({left: right}, a list or a name); left's key names are kept.
 
-    `how` is inner, left, full, left_semi or left_anti. Keys with more than
-    `hot_rows` rows on the left are spread over `salts` parts; None switches
-    that off for a left side whose keys are known to be spread. `hot` gives the
-    common keys, as from `hot_keys`, if they need not be counted. With
-    `right_hot_rows` the right's common keys are spread too. `also` is a further
+    `how` is inner, left, full, left_semi or left_anti. Each side is read once, and
+    common keys are left to adaptive execution, which splits them in all joins but
+    full ones. `hot` and `right_hot` name common keys of the two sides, as from
+    `hot_keys` on a base table with this side's key names; they are spread over as
+    many parts as their rows make, or over `salts`. `hot_rows` and `right_hot_rows`
+    have them counted on the side itself, which reads it twice. `also` is a further
     condition.
+
+    Columns that both sides have, keys apart, are an error unless `suffix` tells the
+    right's apart.
     """
     pairs = _pairs(on)
     keys = list(pairs)
     columns = left.columns
+    semi = how in ("left_semi", "left_anti")
+    shared = sorted(set(columns) & set(right.columns) - set(pairs.values()))
+    if shared and not semi:
+        if suffix is None:
+            raise ValueError(f"both sides have {', '.join(shared)}: drop, rename or give a suffix")
+        right = right.withColumnsRenamed({c: f"{c}{suffix}" for c in shared})
     right = right.withColumnsRenamed({r: f"_r_{k}" for k, r in pairs.items()})
     equal = null_safe if nulls_match else plain_equal
     match = equal([(k, f"_r_{k}") for k in keys])
@@ -38,13 +49,17 @@ def join_null_safe(left, right, on, how="left", hot_rows=HOT_ROWS, salts=SALTS,
             raise ValueError(f"a {how} join takes no further condition")
         match = match & also
     extra = [c for c in right.columns if not c.startswith("_r_")]
-    semi = how in ("left_semi", "left_anti")
-    if hot_rows is not None:
-        hot = hot_keys(left, keys, hot_rows) if hot is None else hot
+    if hot is None and hot_rows is not None:
+        hot = hot_keys(left, keys, hot_rows)
+    if semi:
         right_hot = None
-        if right_hot_rows is not None and not semi:
-            right_hot = hot_keys(right, [f"_r_{k}" for k in keys], right_hot_rows)
-            right_hot = right_hot.withColumnsRenamed({f"_h__r_{k}": f"_h_{k}" for k in keys})
+    elif right_hot is not None:
+        right_hot = renamed_hot(right_hot, {r: k for k, r in pairs.items()})
+    elif right_hot_rows is not None:
+        right_hot = renamed_hot(hot_keys(right, [f"_r_{k}" for k in keys], right_hot_rows),
+                                {f"_r_{k}": k for k in keys})
+    spread = hot is not None or right_hot is not None
+    if spread:
         left, right = salted(left, right, keys, hot, equal, salts, right_hot)
         match = match & (F.col("_salt") == F.col("_r__salt"))
     if semi:
@@ -54,7 +69,7 @@ def join_null_safe(left, right, on, how="left", hot_rows=HOT_ROWS, salts=SALTS,
         left = left.withColumn("_in_left", F.lit(True))
         right = right.withColumn("_in_right", F.lit(True))
     joined = left.join(right, match, how)
-    if how != "inner" and hot_rows is not None:
+    if how != "inner" and spread:
         # A row repeated for a common key has partners on the other side, so a
         # copy that found none only met an empty part.
         stray = F.col("_in_right").isNull() & F.col("_copy")
@@ -73,14 +88,14 @@ def planned_bytes(df):
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def lookup_join(left, lookup, on, how="left", max_bytes=LOOKUP_BYTES, hot_rows=HOT_ROWS):
+def lookup_join(left, lookup, on, how="left", max_bytes=LOOKUP_BYTES, hot_rows=None):
     """Join to a lookup: broadcast if its planned size allows, else spread by key."""
     if planned_bytes(lookup) <= max_bytes:
-        return join_null_safe(left, F.broadcast(lookup), on, how, hot_rows=None)
+        return join_null_safe(left, F.broadcast(lookup), on, how)
     return join_null_safe(left, lookup, on, how, hot_rows=hot_rows)
 
 
-def anti_join_sql(left, right, on, hot_rows=HOT_ROWS):
+def anti_join_sql(left, right, on, hot_rows=None):
     """`NOT IN` as meant: known left keys that are not among right's known keys."""
     pairs = _pairs(on)
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in pairs])
@@ -89,7 +104,7 @@ def anti_join_sql(left, right, on, hot_rows=HOT_ROWS):
                           nulls_match=False)
 
 
-def semi_flag(left, right, col, right_col=None, out="matched", hot_rows=HOT_ROWS):
+def semi_flag(left, right, col, right_col=None, out="matched", hot_rows=None):
     """Mark left rows whose value occurs on the right (NULL occurs if NULL does)."""
     right_col = right_col or col
     values = right.select(right_col).distinct().withColumn("_found", F.lit(True))

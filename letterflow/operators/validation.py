@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 from letterflow.functions.scalars import parse_dmy
 from letterflow.operators.joins import (
     LOOKUP_BYTES, anti_join_sql, join_null_safe, planned_bytes, semi_flag)
-from letterflow.operators.skew import HOT_ROWS, hot_keys
+from letterflow.operators.skew import hot_keys
 
 
-def membership(a, b, col, b_col=None, hot_rows=HOT_ROWS):
+def membership(a, b, col, b_col=None, hot_rows=None):
     """Rows of `a` with `matched`: does the value occur in `b`?"""
     return semi_flag(a, b, col, b_col, "matched", hot_rows)
 
 
-def matched_values(a, b, col, b_col=None, hot_rows=HOT_ROWS):
+def matched_values(a, b, col, b_col=None, hot_rows=None):
     """The values of `a` that occur in `b`, as often as in `a`."""
     keys = b.select(b_col or col).distinct()
     return join_null_safe(a.select(col), keys, {col: b_col or col}, "left_semi", hot_rows)
@@ -36,7 +36,7 @@ def value_overlap(a, b, col, b_col=None):
         count((F.col("in_a") == 0) & (F.col("in_b") == 1)).alias("only_b"))
 
 
-def value_match(a, b, col, b_col=None, id="SYSTEM_ID", out=None, hot_rows=HOT_ROWS):
+def value_match(a, b, col, b_col=None, id="SYSTEM_ID", out=None, hot_rows=None):
     """Each extracted value next to the equal trusted value.
 
     A value held by many trusted people is not written out once per pair:
@@ -49,7 +49,7 @@ def value_match(a, b, col, b_col=None, id="SYSTEM_ID", out=None, hot_rows=HOT_RO
     return joined.select(id, col, out, F.coalesce("n_trusted", F.lit(0)).alias("n_trusted"))
 
 
-def value_match_by_id(a, b, col, id="SYSTEM_ID", b_col=None, hot_rows=HOT_ROWS):
+def value_match_by_id(a, b, col, id="SYSTEM_ID", b_col=None, hot_rows=None):
     """One value per person, and whether any of the person's values is trusted."""
     b_col = b_col or col
     values = b.select(b_col).na.drop()
@@ -62,24 +62,28 @@ def annotations_per_id(df, key="SYSTEM_ID", out="n"):
     return df.groupBy(key).agg(F.count(key).alias(out))
 
 
-def missed_ids(trusted, extracted, id="SYSTEM_ID", hot_rows=HOT_ROWS):
+def missed_ids(trusted, extracted, id="SYSTEM_ID", hot_rows=None):
     """Trusted people without any extracted value."""
     return anti_join_sql(trusted.select(id), extracted, id, hot_rows)
 
 
-def clinic_letter_full(clinic, letter, on="LETTER", hot_rows=HOT_ROWS):
+def clinic_letter_full(clinic, letter, on="LETTER", hot_rows=None):
     """Clinic and letter dates side by side, keeping letters that have only one."""
     both = join_null_safe(clinic.select(on, "Clinic_Date"), letter.select(on, "LetDate"), on,
                           "full", hot_rows, right_hot_rows=hot_rows)
     return both.select(on, "Clinic_Date", "LetDate")
 
 
-def dates_with_letters(dates, letters, on="LETTER", hot_rows=HOT_ROWS):
-    """The date table next to the letter list, keeping what is in only one."""
-    return join_null_safe(dates, letters, on, "full", hot_rows, right_hot_rows=hot_rows)
+def dates_with_letters(dates, letters, on="LETTER", hot_rows=None, suffix=None):
+    """The date table next to the letter list, keeping what is in only one.
+
+    Both may have a person id: `suffix` tells the list's columns apart.
+    """
+    return join_null_safe(dates, letters, on, "full", hot_rows, right_hot_rows=hot_rows,
+                          suffix=suffix)
 
 
-def duplicate_rows(df, key="DOC", hot_rows=HOT_ROWS):
+def duplicate_rows(df, key="DOC", hot_rows=None):
     """Rows whose key occurs more than once (NULL is a key like any other)."""
     counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
     hot = None if hot_rows is None else hot_keys(counts, [key], hot_rows, "_rows")
@@ -87,7 +91,7 @@ def duplicate_rows(df, key="DOC", hot_rows=HOT_ROWS):
     return join_null_safe(df, repeated, key, "left_semi", hot_rows, hot=hot)
 
 
-def sample_dates(sample, dates, on="LETTER", max_bytes=LOOKUP_BYTES, hot_rows=HOT_ROWS):
+def sample_dates(sample, dates, on="LETTER", max_bytes=LOOKUP_BYTES, hot_rows=None):
     """The dates of a sample of letters."""
     if planned_bytes(sample) <= max_bytes:
         # A small sample first cuts the date table down, without a shuffle of it.

@@ -3,30 +3,32 @@
 from letterflow.operators.dates import attach_record_date, record_date
 from letterflow.operators.frequency import (
     severity_by_code, severity_grouped, severity_table)
+from letterflow.sources.schemas import TABLE_SCHEMAS
 from letterflow.sources.sink import keep
 
-ANNOTATION = ("Start", "End", "CUI", "FreqChange", "NofS", "LNofS", "UNofS", "TP", "NofTP",
-              "LNofTP", "UNofTP", "Sin_Dur", "YD", "MD", "DD", "PinT")
+# The columns of a report after person and letter.
+ANNOTATION = tuple(TABLE_SCHEMAS["seizure_frequency"].names[2:])
 
 
-def dated_reports(annotations, dates, by="LETTER"):
+def dated_reports(annotations, dates, by="LETTER", **options):
     """Seizure reports with record date, by LETTER or by the letter list's DOC."""
     if "Letter" in annotations.columns:
         annotations = annotations.withColumnRenamed("Letter", "LETTER")
     kept = ["DATEREC"] if by == "LETTER" else ["DATEREC", by]
-    dated = attach_record_date(annotations, record_date(dates), keep=kept)
+    dated = attach_record_date(annotations, record_date(dates), keep=kept, **options)
     return dated.select("SYSTEM_ID", "DATEREC", by, *ANNOTATION)
 
 
-def scored_reports(reports, variant="expanded", **options):
-    """Severities per person, date, letter and code, kept for the steps that follow.
+def scored_reports(reports, variant="expanded", path=None, **options):
+    """Severities per person, date, letter and code.
 
-    Grouping, maxima and scaling each read the scores more than once; the kept
-    copy is five narrow columns, against two shuffles of the full reports.
+    Grouping, maxima and scaling each read the scores more than once. With `path`
+    they are kept there: five narrow columns, against a shuffle of the full reports.
     """
-    return keep(severity_by_code(severity_table(reports, variant, **options)))
+    scores = severity_by_code(severity_table(reports, variant, **options))
+    return scores if path is None else keep(scores, path)
 
 
-def grouped_severity(reports, groups, variant="expanded", **options):
+def grouped_severity(reports, groups, variant="expanded", path=None, **options):
     """Distinct severities per person, date, letter, code and seizure group."""
-    return severity_grouped(scored_reports(reports, variant, **options), groups)
+    return severity_grouped(scored_reports(reports, variant, path, **options), groups)

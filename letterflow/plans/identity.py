@@ -5,15 +5,18 @@ from letterflow.operators.identity import identity_file, individuals, match_iden
 from letterflow.sources.sink import keep
 
 
-def link(tables, as_of, keep_identity=True):
+def link(tables, as_of, path=None, hot=None):
     """Normalise every table, build the identity file once and match all tables to it.
 
-    `tables` maps kinds to scanned annotations. The identity file is read once
-    per table, so it is kept unless told otherwise. Returns (identity file,
-    {kind: matched annotations}).
+    `tables` maps kinds to scanned annotations. The identity file is read once per
+    table, so it is best kept: in the new folder `path`, which all executors share.
+    `hot` maps kinds to their common identities, as from `hot_keys`. Returns
+    (identity file, {kind: matched annotations}).
     """
+    hot = hot or {}
     clean = {kind: normalise_annotations(df) for kind, df in tables.items()}
     identity = identity_file(individuals(clean), as_of)
-    if keep_identity:
-        identity = keep(identity)
-    return identity, {kind: match_identity(df, identity) for kind, df in clean.items()}
+    if path is not None:
+        identity = keep(identity, path)
+    return identity, {kind: match_identity(df, identity, hot=hot.get(kind))
+                      for kind, df in clean.items()}

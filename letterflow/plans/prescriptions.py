@@ -4,14 +4,16 @@ from letterflow.operators.dates import attach_record_date, record_date
 from letterflow.operators.dose import (
     CLEAN_KEYS, dose_ratio, generic_name, max_daily_dose, total_daily_dose)
 from letterflow.sources.scan import upper_names
+from letterflow.sources.schemas import TABLE_SCHEMAS
 
-ANNOTATION = ("START", "END", "CUI", "NAME", "DOSE", "UNIT", "FREQUENCY")
+# The columns of a prescription after person and letter.
+ANNOTATION = tuple(name.upper() for name in TABLE_SCHEMAS["prescriptions"].names[2:])
 
 
-def dated_prescriptions(annotations, dates, by="LETTER"):
+def dated_prescriptions(annotations, dates, by="LETTER", **options):
     """Prescriptions with record date, by LETTER or by the letter list's DOC."""
     kept = ["DATEREC"] if by == "LETTER" else ["DATEREC", by]
-    dated = attach_record_date(upper_names(annotations), record_date(dates), keep=kept)
+    dated = attach_record_date(upper_names(annotations), record_date(dates), keep=kept, **options)
     return dated.select("SYSTEM_ID", "DATEREC", by, *ANNOTATION)
 
 

@@ -1,6 +1,6 @@
 """Writing tables, and keeping a table that several later steps read."""
 
-import tempfile
+import uuid
 
 
 def save(df, path, fmt="parquet", mode="overwrite", partition_by=()):
@@ -13,20 +13,17 @@ def save(df, path, fmt="parquet", mode="overwrite", partition_by=()):
     writer.save(path)
 
 
-def keep(df):
-    """Cut the lineage of a table that is read many times.
+def keep(df, path):
+    """Save a table that several later steps read, and read it back.
 
-    The copy goes to the shared folder named by `spark.checkpoint.dir`, so it
-    survives the loss of an executor. A temporary folder is used only in local
-    mode when the session names none.
+    `path` is a new folder that all executors share. The copy is Parquet, so later
+    steps read only the columns and rows they need; it is the caller's to delete.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="letterflow-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    save(df, path, mode="error")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark, name):
+    """Name of a new folder below `spark.checkpoint.dir`, or else the session's warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/letterflow-{uuid.uuid4().hex}/{name}"

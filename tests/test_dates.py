@@ -37,3 +37,11 @@ def test_letters_and_dates(frame, hot_rows):
     assert rows_of(got, "START", "DATEREC") == [
         (1, date(2015, 2, 1)), (2, date(2015, 2, 1)), (3, None), (4, None)]
     assert dates.distinct_letters(annotations).count() == 3
+
+
+def test_one_date_is_enough_for_a_document(frame):
+    table = frame("LETTER int, Clinic_Date string, LetDate string",
+                  [(1, "01/02/2015", None), (3, None, "05/06/2016"), (5, "01/01/2010", "02/01/2010")])
+    letters = frame("LETTER int, DOC int", [(1, 10), (2, 10), (3, 11), (4, 12), (5, 13), (6, 14)])
+    linked = dates.letter_dates(table, letters)
+    assert rows_of(dates.letters_without_date(letters, linked, "DOC")) == [(4, 12), (6, 14)]

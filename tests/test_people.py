@@ -63,13 +63,13 @@ PEOPLE = [
 ] + [person(11, "n1")] * 30
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 0])
+@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 0])
 def test_identity_file_and_matching(frame, hot_rows):
     df = frame(PERSON, PEOPLE, 5)
     ind = identity.individuals([df.filter("Letter <= 5"), df.filter("Letter > 5")])
     assert ind.count() == ind.distinct().count() == 11
     assert identity.individuals_known(ind).count() == 7
-    file = identity.identity_file(ind, "2024-01-31", hot_rows)
+    file = identity.identity_file(ind, "2024-01-31")
     assert file.columns == ["NHS_NUMBER", "SURNAME", "FORENAME", "DATE_OF_BIRTH", "GENDER_CD",
                             "POSTCODE", "ADDRESS_1", "SYSTEM_ID", "CREATE_DATE"]
     assert rows_of(file, "NHS_NUMBER", "SURNAME", "POSTCODE", "GENDER_CD", "ADDRESS_1") == sorted([

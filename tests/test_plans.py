@@ -4,12 +4,24 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql, queries as all_queries
+from checks import adapters, queries as checks_queries
 from checks.compare import database, difference
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
+from conftest import rows_of
+from letterflow.operators import dates, frequency, identity, skew
+from letterflow.plans import prescriptions
+from work import work_done
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def queries():
+    """The library's own queries; those of the optional subpackage have tests of their own."""
+    return QUERIES
+
+
 def final_plan(df):
     df.write.format("noop").mode("overwrite").save()
     df.collect()
@@ -42,6 +54,69 @@ def test_doses_need_a_shuffle_for_the_window_and_one_for_the_maximum(spark):
     assert ops.count("Exchange") == 2 and ops.count("Window") == 2 and ops.count("Sort") == 1
 
 
+def rows_of_table(spark, name):
+    return spark.read.parquet(f"{SMALL}/{name}.parquet").count()
+
+
+def test_a_severity_reads_and_shuffles_each_report_once(spark):
+    reports = rows_of_table(spark, "orders")
+    done = work_done(queries()["severity"](spark, SMALL))
+    assert done == {"read": reports, "shuffled": reports}
+
+
+def test_common_people_cost_at_most_one_more_pass(spark):
+    """The common people are counted on the narrow table; the reports are then read twice."""
+    rows = adapters.load(spark, SMALL, "sf_v")
+    reports = rows_of_table(spark, "orders")
+    hot = skew.hot_keys(rows, ["SYSTEM_ID"], 12)
+    assert 0 < hot.count() < 300
+    done = work_done(frequency.severity_table(rows, hot=hot))
+    # The broadcast count stands in the plan once more for each pass.
+    assert done["read"] <= 4 * reports
+    plain = frequency.severity_table(rows)
+    assert rows_of(frequency.severity_table(rows, hot=hot)) == rows_of(plain)
+
+
+@pytest.mark.parametrize("name, tables", [
+    ("max_daily_dose", ["lineitem", "orders", "part"]),
+    ("attach_record_date", ["lineitem", "orders", "part", "orders"]),
+    ("dates_with_letters", ["orders", "orders", "orders"]),
+    ("dose_ratio", ["lineitem", "orders", "part"]),
+])
+def test_every_input_is_read_once(spark, name, tables):
+    done = work_done(queries()[name](spark, SMALL))
+    assert done["read"] <= sum(rows_of_table(spark, t) for t in tables)
+
+
+def static_names(df):
+    return names(df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_the_whole_dose_chain_scans_each_table_once(spark):
+    dates_v, letters_v, presc_v = (adapters.load(spark, SMALL, v) for v in ("dates_v", "letters_v", "presc_v"))
+    linked = dates.letter_dates(dates_v, letters_v)
+    dated = prescriptions.dated_prescriptions(presc_v.drop("DATEREC", "DOC"), linked)
+    ops = static_names(prescriptions.dose_ratios(dated, checks_queries.top_doses(spark), checks_queries.NAME_MAP))
+    # lineitem, orders and part for prescriptions, orders for dates and for letters
+    assert ops.count("FileScan") == 5
+    assert ops.count("Exchange") <= 10 and ops.count("SortMergeJoin") <= 4
+
+
+def test_scans_grow_with_the_number_of_joins(spark):
+    one = static_names(queries()["clinic_letter_full"](spark, SMALL))
+    two = static_names(queries()["dates_with_letters"](spark, SMALL))
+    assert one.count("FileScan") == 2 and two.count("FileScan") == 3
+
+
+def test_identity_file_in_one_pass(spark):
+    people = adapters.load(spark, SMALL, "ident_v")
+    ind = identity.individuals([dates.normalise_annotations(people)])
+    plan = final_plan(identity.identity_file(ind, "2024-01-31"))
+    ops = names(plan)
+    assert ops.count("Exchange") <= 5
+    assert "SortMergeJoin" not in ops
+
+
 def test_columns_and_filters_reach_the_scan(spark):
     plan = final_plan(queries()["people_with_epilepsy"](spark, SMALL))
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
@@ -52,7 +127,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= all_queries().items() and ORACLES.items() <= oracle_sql().items()
 
 
 @pytest.fixture(scope="module")
@@ -62,5 +138,5 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_equals_its_sql(spark, con, name):
-    problem, _ = difference(spark, con, queries()[name], oracle_sql()[name], SMALL)
+    problem, _ = difference(spark, con, queries()[name], ORACLES[name], SMALL)
     assert problem is None

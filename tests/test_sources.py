@@ -2,14 +2,19 @@ from datetime import date
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from checks.adapters import load
 from conftest import rows_of
 from letterflow.functions import scalars as sc
 from letterflow.operators.dates import normalise_annotations
 from letterflow.sources.scan import (
     null_tokens, register_views, scan_annotations, scan_table, upper_names)
-from letterflow.sources.schemas import ANNOTATION_SCHEMAS, KINDS, TABLE_SCHEMAS
+from letterflow.sources.schemas import ANNOTATION_SCHEMAS, KINDS, OLD_SEPARATOR, TABLE_SCHEMAS
 from letterflow.sources.sink import keep, save
 
+WHOLE = "/root/testdata/sf0.01"
+
 # Columns per file of the two generations.
 WIDTHS = {"SeizureFrequency": (42, 37), "Diagnosis": (26, 22), "BirthHistory": (26, 21),
           "EpilepsyCause": (26, 21), "Investigations": (31, 25), "Onset": (38, 33),
@@ -76,6 +81,51 @@ def test_table_with_header_and_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parts")).count() == 2
 
 
+def as_text(df):
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+
+
+@pytest.mark.parametrize("sep", [":", ","])
+def test_saved_tables_scan_back_with_a_header(spark, tmp_path, sep):
+    """Every row of a view goes to a file with a header and comes back, typed and cleaned."""
+    schema = TABLE_SCHEMAS["seizure_frequency"]
+    view = load(spark, WHOLE, "sf_v").withColumnRenamed("LETTER", "Letter").withColumns(
+        {"Start": F.lit(3), "End": F.lit(9), "LNofS": F.lit(None).cast("double"), "UNofTP": F.lit(1.5)})
+    rows = view.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    path = str(tmp_path / "table")
+    as_text(rows).write.option("header", True).option("sep", sep).csv(path)
+    back = scan_table(spark, path, schema, sep)
+    assert back.schema.names == schema.names
+    assert back.count() == rows.count() > 10_000
+    assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
+
+
+@pytest.mark.parametrize("generation", ["new", "old"])
+@pytest.mark.parametrize("kind", KINDS)
+def test_headerless_files_scan_back_by_position(spark, tmp_path, kind, generation):
+    schema = ANNOTATION_SCHEMAS[kind, generation]
+    view = load(spark, WHOLE, "ident_v").withColumn("Address", F.translate("Address", ",", " "))
+    rows = view.select(*[
+        (F.col(f.name) if f.name in view.columns else F.when(F.col("Letter") % 3 == 0, F.col("Letter") % 50))
+        .cast(f.dataType).alias(f.name) for f in schema])
+    sep = OLD_SEPARATOR.get(kind, ",") if generation == "old" else ","
+    path = str(tmp_path / "annotations")
+    as_text(rows).write.option("sep", sep).csv(path)
+    back = scan_annotations(spark, path, kind, generation)
+    want = null_tokens(rows).drop("Last")
+    assert back.columns == want.columns and back.count() == rows.count()
+    assert back.exceptAll(want).count() == 0
+
+
+def test_saved_formats(spark, tmp_path):
+    rows = load(spark, WHOLE, "letters_v")
+    for fmt in ("csv", "parquet"):
+        save(rows, str(tmp_path / fmt), fmt)
+    text = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert text.columns == rows.columns and text.count() == rows.count()
+    assert spark.read.parquet(str(tmp_path / "parquet")).exceptAll(rows).count() == 0
+
+
 def test_null_tokens_only_whole_fields(frame):
     df = frame("a string, b string, n int", [(" null", "nullify", 1), ("NA ", " x ", 2)])
     assert rows_of(null_tokens(df)) == [(None, "nullify", 1), (None, "x", 2)]
@@ -83,9 +133,11 @@ def test_null_tokens_only_whole_fields(frame):
         (" null", "nullify", 1), ("NA ", None, 2)]
 
 
-def test_kept_table_and_views(spark, frame):
-    df = keep(frame("a int", [(1,), (2,)]))
-    assert "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+def test_kept_table_and_views(spark, frame, tmp_path):
+    df = keep(frame("a int, b int", [(1, 5), (2, 6)]), str(tmp_path / "kept"))
+    assert "ReadSchema: struct<a:int>" in df.select("a")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="already exists"):
+        keep(df, str(tmp_path / "kept"))
     register_views(kept=df)
     assert spark.sql("SELECT sum(a) FROM kept").head()[0] == 3
 
