@@ -25,8 +25,9 @@ END = KINDS
 BLOCK_CHARS, CHUNK = 1 << 23, 512
 #: Bands of bits and bits in each, drawn at random once and for all.
 BANDS, BAND_BITS = 40, 14
-#: Documents of a partition, of which one travels twice.
-PART_DOCS = 1024
+#: Documents of a part, of which one travels twice, while there are no more parts than the driver
+#: keeps bounds of; beyond that parts are longer, which tasks don't mind as documents pass one by one.
+PART_DOCS, PARTS = 1024, 1 << 16
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -235,14 +236,15 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     doc_id, after the last the first; rows with equal doc_id stand in order of text, those without
     come last. A null text is empty. One row for each row; an empty table gives none.
 
-    Documents are dealt into ranges of doc_id with about PART_DOCS rows; the first document of each
-    range goes to the range before it as well, so each text is moved once.
+    Documents are dealt into ranges of doc_id with about PART_DOCS rows, of which there are at most
+    PARTS; the first document of each range goes to the range before it as well, so each text is
+    moved once.
     """
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("order"))
-    parts = max(1, texts.count() // PART_DOCS)
+    parts = min(max(1, texts.count() // PART_DOCS), PARTS)
     bounds = np.unique(np.array(
         texts.approxQuantile("order", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else [], float)
     ).astype(np.int64)

@@ -103,7 +103,8 @@ def _fit(batches):
     w = model.weights(index)
     w[-1] -= _cut(np.array([w[x].sum() + w[-1] for x in rows]), np.array(labels))
     kept = (w != 0) | (index == 1 << BITS)
-    yield pa.RecordBatch.from_arrays([pa.array(index[kept]), pa.array(w[kept])], names=["i", "w"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([index[kept].astype(np.int32).tobytes()]), pa.array([w[kept].tobytes()])], names=["i", "w"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -111,13 +112,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
     docs: doc_id, text. labels: doc_id, label (0 or 1); rows without label are left out. At most
     `sample` labelled texts, those with the smallest hashes of doc_id, are learnt from in one task;
-    at most 2 ** BITS + 1 weights come back. Without rows all weights are 0: every score is a half.
+    at most 2 ** BITS + 1 weights come back, packed into one row. Without rows all weights are 0: every score is a half.
     """
     rows = (bounded_sample(docs, labels, sample).repartition(1)
             .sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
-            .mapInArrow(_fit, "i long, w double").collect())
-    rows.sort(key=lambda r: r["i"])
-    return np.array([r["i"] for r in rows], np.int64), np.array([r["w"] for r in rows])
+            .mapInArrow(_fit, "i binary, w binary").collect())
+    if not rows:
+        return np.array([1 << BITS]), np.zeros(1)
+    return np.frombuffer(rows[0]["i"], np.int32).astype(np.int64), np.frombuffer(rows[0]["w"], float)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
