@@ -41,5 +41,5 @@ def test_identity_ids_are_dense_and_repeatable(spark):
     ids = [r[0] for r in rows_of(file, "SYSTEM_ID")]
     assert sorted(ids) == list(range(1, len(ids) + 1))
     other = identity.identity_file(
-        identity.individuals([t.repartition(5) for t in reversed(tables)]), AS_OF, hot_rows=1)
+        identity.individuals([t.repartition(5) for t in reversed(tables)]), AS_OF)
     assert rows_of(other.select(file.columns)) == rows_of(file)
