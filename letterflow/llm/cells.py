@@ -126,7 +126,7 @@ def grouped(space: Workspace, shared: DataFrame, contents: DataFrame, kind) -> D
 def buckets(banded: DataFrame) -> DataFrame:
     """(bucket, id, hub) of the buckets with more than one row; the hub is chosen by hash.
 
-    banded: (bucket, id), each pair once.
+    banded: (bucket, id). A pair may stand there more than once.
     """
     hubs = banded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "bucket"), "id")).alias("hub")

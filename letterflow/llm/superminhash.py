@@ -130,21 +130,21 @@ def near_duplicates(docs: DataFrame, space: Workspace | None = None) -> DataFram
 
     Null, empty or white-space texts have the empty set and are linked with nothing. Rows without
     doc_id are not linked: component_id is null, kept is true. Repeated rows give repeated rows.
-    An empty table gives no rows.
+    A doc_id names one text: of rows with one doc_id and several texts, the least set stands for all
+    when candidates are verified. An empty table gives no rows.
     """
     space = space or Workspace(docs.sparkSession, "near-duplicates")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = space.keep(texts.mapInArrow(
         _signed, "doc_id long, n_shingles long, digest string, bands array<long>"), "signed")
+    # rows of a class have equal sets, so equal bands
     classes = space.keep(signed.filter("doc_id is not null and n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("id")), "classes")
-    banded = signed.withColumnRenamed("digest", "own").join(
-        classes, (F.col("own") == F.col("digest")) & (F.col("doc_id") == F.col("id"))).select(
-        F.explode("bands").alias("bucket"), "id").distinct()
-    shared = space.keep(buckets(banded), "shared")
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
+    shared = space.keep(buckets(classes.select(F.explode("bands").alias("bucket"), "id")), "shared")
+    classes = classes.drop("bands")
     sets = space.keep(
         texts.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .mapInArrow(_sets, "id long, content binary").dropDuplicates(["id"]), "sets")
+        .mapInArrow(_sets, "id long, content binary").groupBy("id").agg(F.min("content").alias("content")), "sets")
     roots = grouped(space, shared, sets, Sets)
     return signed.join(classes, "digest", "left").join(roots, F.col("id") == F.col("node"), "left").select(
         "doc_id", "n_shingles",
