@@ -22,8 +22,8 @@ GOLDEN, CIRCLE = 2654435769, 1 << 32
 SLOTS = 1 << 31
 #: The circle in cells, for finding the source of a point by equality.
 CELLS = 1 << 16
-#: Rows summed in order by one task.
-PART_ROWS = 1 << 16
+#: Rows summed in order by one task: a source is dealt into as many parts as its rows make.
+PART_ROWS = 1 << 11
 
 
 def _counted(batches):
@@ -114,7 +114,10 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
         "doc_id", F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("_rid"),
         F.col("text").cast("string").alias("text"))
     rows = space.keep(rows.mapInArrow(_counted, widened(rows.drop("text"), size="long")), "sizes")
-    plan = space.keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn(
+    sources = rows.groupBy(F.col("source").alias("name")).agg(
+        F.sum("size").alias("source_size"), F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    plan = space.keep(targets(sources.select(F.col("name").alias("source"), "source_size")).join(
+        sources.select("name", "parts"), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn(
         "blocks", F.greatest(F.floor(F.col("source_size") / block_words), F.lit(1)).cast("long")).withColumn(
         "share", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size"))
         .otherwise(F.lit(0.0))), "plan")
@@ -124,9 +127,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
         raise ValueError(f"more than {SLOTS} slots: take larger blocks")
     known = rows.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop(
         "_source", "share")
-    parts = -(-rows.count() // PART_ROWS) or 1
     known = known.withColumn("_hash", F.xxhash64(F.coalesce(F.col("doc_id"), F.col("_rid")))).withColumn(
-        "_part", F.pmod("_hash", F.lit(parts)))
+        "_part", F.pmod("_hash", "parts")).drop("parts")
     known = space.keep(running_total(
         known, "size", ["sid"], "_part", [F.col("_hash"), F.col("doc_id"), F.col("_rid")], "begin"), "streams")
     uses = schedule(plan.select("sid", "share", "blocks"), slots)
