@@ -93,7 +93,7 @@ def kd_shards(docs: DataFrame, size: Column, dimensions: list[Column], shards: i
     open_ = [(0, shards)] if shards > 1 else []
     level = 0
     while open_:
-        placed = space.keep(placed, f"level-{level}") if level else placed
+        placed = space.keep(placed, f"level-{level}")
         nodes = _widest(placed, names, open_, places)
         _find_medians(placed, names, nodes, stats["size"] / shards, places)
         placed = _split(placed, names, nodes, places)
