@@ -14,6 +14,10 @@ from letterflow.llm.textcols import U64, blocks, utf8
 Q = 8
 #: Bytes of a pattern: an item up to this long is one; a longer one is cut into such, each half over the last.
 WINDOW = 128
+#: Bytes of a passage: of a longer item, passages that begin every STRIDE bytes, and the last one, are patterns, too.
+PASSAGE, STRIDE = 64, 8
+#: A verbatim excerpt of so many normalised bytes of an item is always found: it holds a whole passage.
+SURELY = PASSAGE + STRIDE - 1
 #: A pattern of so many bytes may have one edit for each.
 BYTES_PER_EDIT = 12
 #: Diagonals of a band; bands overlap by half, which holds all diagonals of one match.
@@ -69,6 +73,17 @@ def _inside(at: np.ndarray) -> np.ndarray:
     return ok
 
 
+def patterns(size: int) -> list[tuple[int, int]]:
+    """Begin and length of each part of an item of so many bytes that makes it found."""
+    if size < Q:
+        return []
+    starts = [0] if size <= WINDOW else {*range(0, size - WINDOW, WINDOW // 2), size - WINDOW}
+    out = {(s, min(size, WINDOW)) for s in starts}
+    if size > PASSAGE:
+        out.update((s, PASSAGE) for s in (*range(0, size - PASSAGE, STRIDE), size - PASSAGE))
+    return sorted(out)
+
+
 class Index:
     """Q-grams and patterns of a bounded set of items."""
 
@@ -82,8 +97,7 @@ class Index:
         self.at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
         self.patterns = []
         for size in np.diff(self.at):
-            starts = [0] if size <= WINDOW else sorted({*range(0, size - WINDOW, WINDOW // 2), size - WINDOW})
-            self.patterns.append([(int(s), int(min(size, WINDOW))) for s in starts] if size >= Q else [])
+            self.patterns.append(patterns(int(size)))
         lengths = np.array([min((n for _, n in p), default=0) for p in self.patterns])
         self.least = np.where(lengths > 0, np.maximum(least_shared(lengths), 1), 1 << 60)
         where = np.flatnonzero(_inside(self.at))
@@ -146,13 +160,14 @@ class Index:
         return self._verified(candidates, text, begin, keep, at)
 
     def _verified(self, candidates, text, begin, keep, at):
-        matched: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
+        matched: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int, int]]] = {}
         for low in range(0, len(candidates), 512):
-            for (r, i, start, *_), (edits, b, e) in zip(
+            for (r, i, start, length, _), (edits, b, e) in zip(
                     candidates[low:low + 512], self._align(candidates[low:low + 512], text, begin)):
                 if edits is not None:
                     best = matched.setdefault((r, i), {})
-                    best[start] = min(best.get(start, (edits, b, e)), (edits, b, e))
+                    part = start, length
+                    best[part] = min(best.get(part, (edits, b, e)), (edits, b, e))
         if not matched:
             return []
         back = np.flatnonzero(keep)
@@ -211,8 +226,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Returns doc_id, item_id,
     windows (patterns of the item found), edits (theirs together), begin and end (code points of the
-    text, end left out). An item is found if one of its patterns, WINDOW bytes or the whole of a
-    shorter item, lies in the normalised text with at most one edit for every BYTES_PER_EDIT bytes.
+    text, end left out). An item is found if one of its patterns lies in the normalised text with at
+    most one edit for every BYTES_PER_EDIT bytes. Patterns overlap: WINDOW bytes, or the whole of a
+    shorter item, and the passages of PASSAGE bytes at every STRIDE of an item that is longer than
+    one. So any verbatim excerpt of SURELY normalised bytes is found wherever it begins, and a
+    shorter one of PASSAGE bytes or more if a passage begins early enough in it; an item of up to
+    PASSAGE bytes is found as a whole only.
 
     The benchmark is the query set: it is read in sets of at most about ITEM_BYTES, and all documents
     are searched for each. No match within the budget is lost: it shares at least `least_shared`

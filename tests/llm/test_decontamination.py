@@ -122,3 +122,35 @@ def test_empty_tables(spark):
 def test_lemma_bound_is_positive_where_items_count():
     assert all(dc.least_shared(n) >= 1 for n in range(24, dc.WINDOW + 1))
     assert np.all(np.array([dc.budget(n) for n in range(dc.WINDOW + 1)]) < dc.BAND // 2)
+
+
+def test_partial_quotes_are_found_at_all_offsets():
+    rng = random.Random(21)
+    items = [prose(rng, n) for n in (12, 17, 40)]
+    index = dc.Index(list(range(len(items))), items)
+    assert np.diff(index.at)[0] <= dc.WINDOW < np.diff(index.at)[1]
+    before, after = prose(rng, 12) + " ", " " + prose(rng, 12)
+    for i in range(len(items)):
+        own = index.text[index.at[i]:index.at[i + 1]].tobytes().decode()
+        quotes = [own[k:k + dc.SURELY] for k in range(len(own) - dc.SURELY + 1)]
+        quotes += [own[:dc.PASSAGE], own[-dc.PASSAGE:]]
+        raw, at = textcols.utf8(pa.array([before + q + after for q in quotes] + [before + after]))
+        assert {r for r, k, *_ in index.search(raw, at) if k == i} == set(range(len(quotes)))
+
+
+def test_quotes_in_tables(spark):
+    rng = random.Random(22)
+    items = [(k, prose(rng, n), "c") for k, n in enumerate((14, 30, 55))]
+    docs = [(k, prose(rng, 40), "c", 0) for k in range(5)]
+    docs += [(100 + k, prose(rng, 9) + " " + text[11 * k:11 * k + 76] + " " + prose(rng, 9), "c", 0)
+             for k, text, _ in items]
+    table, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.find(table, bench).collect()) == [
+        (100, 0), (101, 1), (102, 2)]
+    assert sorted(r["doc_id"] for r in dc.remove(table, bench).collect()) == list(range(5))
+
+
+def test_patterns_keep_whole_items_and_windows():
+    assert dc.patterns(7) == [] and dc.patterns(40) == [(0, 40)] and dc.patterns(64) == [(0, 64)]
+    assert dc.patterns(100) == [(0, 64), (0, 100), (8, 64), (16, 64), (24, 64), (32, 64), (36, 64)]
+    assert {(0, 128), (64, 128), (72, 128)} <= set(dc.patterns(200))
