@@ -17,13 +17,15 @@ from letterflow.llm.textcols import U64, mix, stream
 #: Bits of a fingerprint; those from the upper half of the steps, from the quarter below, and so on.
 BITS = 256
 SHARES = (128, 64, 32, 16, 8, 4, 2)
+#: Further bits of a fingerprint, which hold the walk's steps until its text ends.
+REACH_BITS = 48
 #: Steps after which the walk's random choices repeat, and kinds of characters they know.
 PERIOD, KINDS = 4096, 256
 #: The symbol of a step after the end of the text.
 END = KINDS
 #: Characters walked over at once, and steps of a text between two looks at the samples.
 BLOCK_CHARS, CHUNK = 1 << 23, 512
-#: Bands of bits and bits in each, drawn at random once and for all.
+#: Bands of bits and bits in each that lie before the texts' ends, drawn at random once and for all.
 BANDS, BAND_BITS = 40, 14
 #: Documents of a part, of which one travels twice, while there are no more parts than the driver
 #: keeps bounds of; beyond that parts are longer, which tasks don't mind as documents pass one by one.
@@ -86,7 +88,12 @@ def _kinds(text: str) -> np.ndarray:
 
 
 def sampled_symbols(texts: list[np.ndarray]) -> np.ndarray:
-    """What stands at the sampled steps of each text's embedding, texts x BITS, by slot.
+    """What stands at the sampled steps of each text's embedding, texts x BITS, by slot."""
+    return _walked(texts)[0]
+
+
+def _walked(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled symbols of each text, and the steps its whole walk takes.
 
     All texts walk side by side: at a step the walk writes the character it stands on, and the shared
     random choice for that step and character says whether it moves on.
@@ -133,45 +140,85 @@ def sampled_symbols(texts: list[np.ndarray]) -> np.ndarray:
             w = np.searchsorted(row_key, who * reach + steps[pick], "right") - 1 - who * (last + 1)
             out[order[who], slot[pick]] = seen[w, who]
         step[:going] = passed[:, -1]
-    return out
+    reach = np.empty(len(texts), np.int64)
+    reach[order] = step
+    return out, reach
 
 
 def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Scale of each text and its bits: one for each sampled step, a random function of what stands there."""
+    """Scale of each text and its bits.
+
+    One for each sampled step, a random function of what stands there; then REACH_BITS with the steps of
+    the walk, which tell the samples behind the text's end.
+    """
     kinds = [_kinds(t) for t in texts]
     scales = np.array([scale_of(len(k)) for k in kinds], np.int64)
-    symbols = sampled_symbols(kinds)
-    bits = np.zeros((len(texts), BITS), np.uint8)
+    symbols, reach = _walked(kinds)
+    bits = np.zeros((len(texts), BITS + REACH_BITS), np.uint8)
+    bits[:, BITS:] = np.unpackbits(reach.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, -REACH_BITS:]
     for s in np.unique(scales):
-        names = np.empty(BITS, np.int64)
-        _, slot, name = _samples(int(s))
-        names[slot] = name
         own = scales == s
-        coin = mix(names.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(9))
-        bits[own] = (mix(coin + symbols[own].astype(U64) * U64(0xD1342543DE82EF95)) >> U64(17)).astype(np.uint8) & 1
+        bits[own, :BITS] = _coins(int(s), symbols[own])
     return scales, bits
 
 
+def _coins(scale: int, symbols: np.ndarray) -> np.ndarray:
+    """The bit of each slot of a scale for what stands there."""
+    names = np.empty(BITS, np.int64)
+    _, slot, name = _samples(scale)
+    names[slot] = name
+    coin = mix(names.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(9))
+    return (mix(coin + symbols.astype(U64) * U64(0xD1342543DE82EF95)) >> U64(17)).astype(np.uint8) & 1
+
+
+def _steps(scale: int) -> np.ndarray:
+    """Sampled step of each slot of a scale."""
+    steps, slot, _ = _samples(scale)
+    out = np.empty(BITS, np.int64)
+    out[slot] = steps
+    return out
+
+
+def _reach(bits: np.ndarray) -> np.ndarray:
+    return bits[:, BITS:].astype(np.int64) @ (np.int64(1) << np.arange(REACH_BITS - 1, -1, -1))
+
+
+def _shared_slots(gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of a scale, and of one that is larger by `gap`, which sample the same steps."""
+    if gap == 0:
+        return np.arange(BITS), np.arange(BITS)
+    begin = np.concatenate([[0], np.cumsum(SHARES)])
+    low = [begin[d - gap] + np.arange(SHARES[d]) for d in range(gap, len(SHARES))]
+    return (np.concatenate([np.zeros(0, np.int64), *low]),
+            np.arange(begin[min(gap, len(SHARES))], begin[-1]))
+
+
 def likeness(scale_a, bits_a, scale_b, bits_b) -> np.ndarray:
     """How alike fingerprints are, 0 to 1, row by row: bits that agree beyond chance.
 
-    Texts of other scales share the steps of the octaves both have; the other bits count as chance.
+    Only steps that at least one of the texts reaches count; where just one does, they differ. A text of
+    a smaller scale has half of the other's samples within its octaves; above them its walk has
+    ended, and the few steps that it still takes there unsampled don't count. Two empty texts are alike.
     """
     out = np.zeros(len(bits_a))
-    for gap in np.unique(scale_b - scale_a):
-        own = scale_b - scale_a == gap
-        a, b = (bits_a[own], bits_b[own]) if gap >= 0 else (bits_b[own], bits_a[own])
-        agree, common, begin = np.zeros(own.sum(), np.int64), 0, np.concatenate([[0], np.cumsum(SHARES)])
-        gap = abs(int(gap))
-        if gap == 0:
-            agree, common = (a == b).sum(axis=1), BITS
-        else:
-            for depth in range(gap, len(SHARES)):
-                share = SHARES[depth]
-                low, high = begin[depth - gap], begin[depth]
-                agree += (a[:, low:low + share] == b[:, high:high + share]).sum(axis=1)
-                common += share
-        out[own] = np.clip((2 * agree - common) / BITS, 0, 1)
+    scale_a, scale_b = np.asarray(scale_a), np.asarray(scale_b)
+    reach_a, reach_b = _reach(bits_a), _reach(bits_b)
+    for low, high in np.unique(np.sort(np.stack([scale_a, scale_b], axis=1), axis=1), axis=0).tolist():
+        slots, others = _shared_slots(high - low)
+        steps = _steps(high)
+        for turned in (False, True) if low < high else (False,):
+            own = np.flatnonzero((scale_a == (high if turned else low)) & (scale_b == (low if turned else high)))
+            a, b, ra, rb = bits_a[own], bits_b[own], reach_a[own, None], reach_b[own, None]
+            if turned:
+                a, b, ra, rb = b, a, rb, ra
+            in_a, in_b = steps[others] < ra, steps[others] < rb
+            both = in_a & in_b
+            agree = (both & (a[:, slots] == b[:, others])).sum(axis=1)
+            count = (in_a | in_b).sum(axis=1)
+            above = steps[:others[0] if len(others) else sum(SHARES)]
+            count += ((above < ra) != (above < rb)).sum(axis=1)
+            empty = (ra[:, 0] == 0) & (rb[:, 0] == 0)
+            out[own] = np.where(empty, 1, np.clip((2 * agree - both.sum(axis=1)) / np.maximum(count, 1), 0, 1))
     return out
 
 
@@ -291,43 +338,95 @@ def _unpacked(contents: list[bytes]):
     return rows[:, 0].astype(np.int64), np.unpackbits(rows[:, 1:], axis=1)
 
 
-def _banded(batches):
-    """Fingerprint and bands of each text: the same random choices of bits for all texts of a scale."""
-    choice = np.argsort(stream(43, BANDS * BITS).reshape(BANDS, BITS), axis=1)[:, :BAND_BITS]
-    weight = np.int64(1) << np.arange(BAND_BITS)
-    for batch in batches:
-        texts, names, contents, keys = batch.column("text").to_pylist(), [], [], []
-        first, held = 0, 0
-        for k, text in enumerate(texts):
-            held += len(text)
-            if held >= BLOCK_CHARS or k == len(texts) - 1:
-                scales, bits = fingerprints(texts[first:k + 1])
-                first, held = k + 1, 0
-                names += as_text(scales, bits)
-                value = bits[:, choice].astype(np.int64) @ weight
-                key = mix((scales.astype(U64) * U64(BANDS) + np.arange(BANDS, dtype=U64)[:, None]).T
-                          * U64(1 << 20) + value.astype(U64))
-                keys += key.view(np.int64).tolist()
-        contents = [bytes.fromhex(name) for name in names]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(contents, pa.binary()),
-             pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fingerprint", "content", "bands"])
+def _least_reach(scale: int) -> int:
+    """Steps that the walk of any text of a scale takes at least: two a character, less what chance allows."""
+    n = (1 << scale >> 1) + 1 if scale else 1
+    return max(n, int(1.9 * n - 7 * n ** 0.5))
+
+
+def _choices(least: float, ratio: float) -> int:
+    """Random choices that miss a pair alike by `least` no more often than BANDS of BAND_BITS bits would.
+
+    A choice has up to BAND_BITS / ratio bits before the end of the longer text of a pair.
+    """
+    agree = (1 + min(max(least, 0.0), 0.99)) / 2
+    wanted, got = np.log1p(-agree ** BAND_BITS), np.log1p(-agree ** (BAND_BITS / ratio))
+    return int(min(np.ceil(BANDS * wanted / got), 8 * BANDS))
+
+
+def _band_keys(scales: np.ndarray, bits: np.ndarray, least: float) -> list[list[int]]:
+    """Bands of each text: texts alike by `least` or more have all bits of one of some random choices in common.
+
+    A text has them at its own scale and at larger ones of which a text may be so like it. Behind the
+    ends of both texts bits agree anyway, so a choice is the longer the fewer samples lie before the
+    end. It depends on the class of their share; as the shares of two such texts are within `least`
+    of each other, a text has the choices of its class and of the next.
+    """
+    ratio = min(max(least, 0.05), 0.9)
+    sampled = sum(SHARES)
+    bands = _choices(least, ratio)
+    order = np.argsort(stream(43, bands * sampled).reshape(bands, sampled), axis=1)
+    factor = stream(47, bands * sampled).reshape(bands, sampled) | U64(1)
+    reach, keys = _reach(bits), [[] for _ in range(len(bits))]
+    for scale in np.unique(scales).tolist():
+        for up in range(len(SHARES)):
+            steps, (slots, others) = _steps(scale + up)[:sampled], _shared_slots(up)
+            own = np.flatnonzero(scales == scale)
+            before = (steps < reach[own, None]).sum(axis=1)
+            near = (before > 0) & ((up == 0) | (before >= least * (steps < _least_reach(scale + up)).sum()))
+            if not near.any():
+                break
+            own, before = own[near], before[near]
+            view = np.repeat(_coins(scale + up, np.full((1, BITS), END)), len(own), axis=0)
+            view[:, others] = bits[own][:, slots]
+            view = view[:, :sampled].astype(U64)
+            kind = np.floor(np.log(before / sampled) / np.log(ratio) + 1e-9).astype(np.int64)
+            for k in np.unique([kind, kind + 1]).tolist():
+                rows = np.flatnonzero((kind == k) | (kind + 1 == k))
+                size = min(int(BAND_BITS / min(1, ratio ** k)), sampled)
+                weight = np.zeros((sampled, bands), U64)
+                np.put_along_axis(weight, order[:, :size].T, factor[:, :size].T, axis=0)
+                tag = mix(U64((scale + up) * 4096 + k) * U64(1 << 16) + np.arange(bands, dtype=U64))
+                made = mix(mix(view[rows] @ weight) + tag).view(np.int64)
+                for r, row in zip(own[rows].tolist(), made.tolist()):
+                    keys[r] += row
+    return keys
+
+
+def _banded(least: float):
+    def banded(batches):
+        for batch in batches:
+            texts, names, contents, keys = batch.column("text").to_pylist(), [], [], []
+            first, held = 0, 0
+            for k, text in enumerate(texts):
+                held += len(text)
+                if held >= BLOCK_CHARS or k == len(texts) - 1:
+                    scales, bits = fingerprints(texts[first:k + 1])
+                    first, held = k + 1, 0
+                    names += as_text(scales, bits)
+                    keys += _band_keys(scales, bits, least)
+            contents = [bytes.fromhex(name) for name in names]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(contents, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fingerprint", "content", "bands"])
+
+    return banded
 
 
 def alike(docs: DataFrame, least: float = 0.8, space: Workspace | None = None) -> DataFrame:
     """doc_id, fingerprint, group_id: smallest doc_id reachable over fingerprints alike by `least` or more.
 
     docs: doc_id, text; other columns are ignored. Documents with equal fingerprints are one class; of the
-    others, those that agree in all bits of one of BANDS random choices are verified. Documents of
-    other scales (lengths on two sides of a power of two) are not compared. At 0.9 likeness a pair
-    shares no band with probability 1e-11, at 0.8 with 3e-5. Null texts are empty; empty texts form
+    others, those that agree in all bits of one of some random choices are verified, also if their
+    lengths lie on two sides of a power of two. With `least` 0.8 a pair at 0.9 likeness shares no
+    band with probability 1e-11, at 0.8 with 3e-5; below 0.6 misses grow. Null texts are empty; empty texts form
     one class. Rows without doc_id have no group. Repeated rows stay; an empty table gives no rows.
     """
     space = space or Workspace(docs.sparkSession, "edit-fingerprints")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = space.keep(texts.mapInArrow(
-        _banded, "doc_id long, fingerprint string, content binary, bands array<long>"), "signed")
+        _banded(least), "doc_id long, fingerprint string, content binary, bands array<long>"), "signed")
     classes = signed.filter("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
     first = signed.withColumnRenamed("fingerprint", "own").join(
         classes, (F.col("own") == F.col("fingerprint")) & (F.col("doc_id") == F.col("id")))

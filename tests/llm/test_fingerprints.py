@@ -119,3 +119,63 @@ def test_alike_groups(spark):
         spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA), 0.7).collect()}
     assert got == {4: 2, 2: 2, 7: 2, 9: 9, None: None, 11: 10, 10: 10}
     assert ef.alike(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def near(x, y):
+    (a, b), bits = ef.fingerprints([x, y])
+    got = [float(ef.likeness(np.array([s]), bits[i:i + 1], np.array([t]), bits[j:j + 1])[0])
+           for s, i, t, j in ((a, 0, b, 1), (b, 1, a, 0))]
+    assert got[0] == got[1]
+    return got[0]
+
+
+def noise(rng, n):
+    return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+
+def test_a_power_of_two_between_near_copies_changes_little():
+    rng = random.Random(31)
+    for n in (256, 1024, 4096):
+        got = [near(base, base[:k] + "q" + base[k:]) for base in (noise(rng, n) for _ in range(6))
+               for k in (n // 3, n - 9, n)]
+        assert np.mean(got) > 0.8 and np.median(got) > 0.9, got
+        cut = [near(base, base[:n * 3 // 4]) for base in (noise(rng, n + n // 8) for _ in range(6))]
+        assert 0.5 < np.mean(cut) < 0.8, cut
+
+
+def test_unrelated_texts_are_not_alike_whatever_their_length():
+    rng = random.Random(32)
+    for n in (1030, 1100, 1280, 1500, 2040):
+        got = [near(noise(rng, n), noise(rng, n + 3)) for _ in range(12)]
+        assert np.mean(got) < 0.25 and max(got) < 0.45, (n, got)
+    assert near("", "") == 1 and near("", "abc") == 0 and near("a", "") == 0 and near("abc", "abc") == 1
+
+
+def test_bands_meet_across_scales_and_rarely_by_chance():
+    rng = random.Random(33)
+    bases = [noise(rng, n) for n in (1016, 1020, 1024, 1026, 1060, 1100) * 8]
+    copies = [b[:200] + "q" + b[203:] + "abcdefgh"[:rng.randrange(9)] for b in bases]
+    cut = [b[:len(b) * 9 // 10] for b in bases]
+    scales, bits = ef.fingerprints(bases + copies + cut)
+    keys = [set(k) for k in ef._band_keys(scales, bits, 0.8)]
+    n = len(bases)
+    crossed = 0
+    for i in range(n):
+        for j in (i + n, i + 2 * n):
+            if ef.likeness(scales[i:i + 1], bits[i:i + 1], scales[j:j + 1], bits[j:j + 1])[0] >= 0.8:
+                crossed += scales[i] != scales[j]
+                assert keys[i] & keys[j]
+    assert crossed > 10
+    chance = [bool(keys[i] & keys[j]) for i in range(n) for j in range(i)]
+    assert np.mean(chance) < 0.25
+
+
+def test_alike_groups_across_a_power_of_two(spark):
+    rng = random.Random(34)
+    rows = []
+    for k, n in enumerate((512, 1024, 2048)):
+        base = noise(rng, n)
+        rows += [(10 * k + 1, base), (10 * k + 2, base + "q"), (10 * k + 3, noise(rng, n + 20))]
+    got = {r["doc_id"]: r["group_id"] for r in ef.alike(
+        spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA), 0.8).collect()}
+    assert got == {10 * k + i: 10 * k + (3 if i == 3 else 1) for k in range(3) for i in (1, 2, 3)}
