@@ -14,8 +14,8 @@ from letterflow.llm.textcols import _IS_SPACE, blocks, utf8
 WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words, and how often a source's words may be used.
 BUDGET, MOST = 1.5, 2
-#: Words of a block.
-BLOCK_WORDS = 128
+#: Words of a block, and blocks that a small source has at least, as far as it has words.
+BLOCK_WORDS, LEAST_BLOCKS = 128, 64
 #: The golden ratio's fraction in units of 2 ** -32: slot k stands at k * GOLDEN modulo 2 ** 32.
 GOLDEN, CIRCLE = 2654435769, 1 << 32
 #: Slots a schedule can have, so that slot * GOLDEN fits a long.
@@ -71,29 +71,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
             F.least("bound", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def schedule(plan: DataFrame, slots: int) -> DataFrame:
+def schedule(plan: DataFrame, slots: int, settled: bool = False) -> DataFrame:
     """sid, block, uses: how often the slots of the schedule take each block of a source.
 
     plan: sid, share (slots wanted), blocks. Slot k stands at the fraction of k times the golden ratio;
     the sources' cumulative shares part the circle, so every run of slots holds each source in
     proportion. The r-th slot of a source takes its block r modulo blocks. Slots beyond MOST rounds
-    of a source's blocks, of which rounding can leave one or two, stay empty.
+    of a source's blocks, of which rounding can leave one or two, stay empty. If settled, each source has
+    as many slots as its share rounded (MOST rounds at most): the last ones go, or some follow.
     """
     spark = plan.sparkSession
     order = Window.orderBy("sid")
     every = F.sum("share").over(Window.partitionBy())
     edge = lambda total: F.floor(total / every * F.lit(float(CIRCLE))).cast("long")
     upto = F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    arcs = plan.filter("share > 0").select("sid", "blocks", edge(upto).alias("end")).withColumn(
+    most = F.col("blocks") * MOST
+    if settled:
+        most = F.least(F.round("share").cast("long"), most)
+    plan = plan.withColumn("most", most)
+    arcs = plan.filter("share > 0").select("sid", "blocks", "most", edge(upto).alias("end")).withColumn(
         "begin", F.coalesce(F.lag("end").over(order), F.lit(0).cast("long"))).filter("begin < end")
     cells = arcs.withColumn("cell", F.explode(F.sequence(
         F.floor(F.col("begin") / (CIRCLE // CELLS)), F.floor((F.col("end") - 1) / (CIRCLE // CELLS)))))
     points = spark.range(slots).select("id", (F.col("id") * F.lit(GOLDEN) % F.lit(CIRCLE)).alias("point"))
     taken = points.withColumn("cell", F.floor(F.col("point") / (CIRCLE // CELLS))).join(cells, "cell").filter(
         "point >= begin and point < end").select(
-        "sid", "blocks", "id", F.floor(F.col("id") / PART_ROWS).alias("part"), F.lit(1).cast("long").alias("one"))
+        "sid", "blocks", "most", "id", F.floor(F.col("id") / PART_ROWS).alias("part"), F.lit(1).cast("long").alias("one"))
     ranked = running_total(taken, "one", ["sid"], "part", [F.col("id")], "rank")
-    return ranked.filter(F.col("rank") < F.col("blocks") * MOST).groupBy(
+    ranked = ranked.filter("rank < most").select("sid", "blocks", "rank")
+    if settled:
+        got = ranked.groupBy(F.col("sid").alias("_sid")).agg((F.max("rank") + 1).alias("got"))
+        short = plan.join(got, F.col("sid") == F.col("_sid"), "left").withColumn("got", F.coalesce("got", F.lit(0)))
+        ranked = ranked.unionAll(short.filter("got < most").select(
+            "sid", "blocks", F.explode(F.sequence(F.col("got"), F.col("most") - 1)).alias("rank")))
+    return ranked.groupBy(
         "sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
 
 
@@ -101,9 +112,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
     """doc_id, size, source, source_size, target, taken of every document, and its row's number.
 
     docs: doc_id, text, source. Words are `[^\\x20\\x09-\\x0D]+`. A source's documents, shuffled by the
-    hash of doc_id, make one stream of words, cut into blocks of `block_words` (the last one longer);
-    `taken` is what the schedule's slots take of a document's words, repeats counted: at most MOST times
-    each. A source's taken words differ from its target by a few blocks.
+    hash of doc_id, make one stream of words, cut into blocks of `block_words` (the last one longer), or
+    of a LEAST_BLOCKS-th of a smaller source, one word at least; `taken` is what the schedule's slots take of a document's words, repeats counted: at most MOST times
+    each. A source's taken words differ from its target by less than two of its blocks.
 
     Null texts and texts without words have size 0 and taken 0. A null source is one of its own. Rows
     without doc_id are shuffled by their place in the table; repeated rows are rows of their own. An
@@ -118,7 +129,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
         F.sum("size").alias("source_size"), F.ceil(F.count("*") / PART_ROWS).alias("parts"))
     plan = space.keep(targets(sources.select(F.col("name").alias("source"), "source_size")).join(
         sources.select("name", "parts"), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn(
-        "blocks", F.greatest(F.floor(F.col("source_size") / block_words), F.lit(1)).cast("long")).withColumn(
+        "block_words", F.greatest(F.least(F.floor(F.col("source_size") / LEAST_BLOCKS), F.lit(block_words)), F.lit(1))
+        .cast("long")).withColumn(
+        "blocks", F.greatest(F.floor(F.col("source_size") / F.col("block_words")), F.lit(1)).cast("long")).withColumn(
         "share", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size"))
         .otherwise(F.lit(0.0))), "plan")
     total = plan.agg(F.sum("share").alias("slots")).first()["slots"]
@@ -131,14 +144,14 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
         "_part", F.pmod("_hash", "parts")).drop("parts")
     known = space.keep(running_total(
         known, "size", ["sid"], "_part", [F.col("_hash"), F.col("doc_id"), F.col("_rid")], "begin"), "streams")
-    uses = schedule(plan.select("sid", "share", "blocks"), slots)
+    uses = schedule(plan.select("sid", "share", "blocks"), slots, settled=True)
     end = F.col("begin") + F.col("size")
-    block = lambda word: F.least(F.floor(word / block_words), F.col("blocks") - 1)
+    block = lambda word: F.least(F.floor(word / F.col("block_words")), F.col("blocks") - 1)
     pieces = known.filter("size > 0").select(
-        "_rid", "sid", "blocks", "begin", end.alias("end"), "source_size",
+        "_rid", "sid", "blocks", "block_words", "begin", end.alias("end"), "source_size",
         F.explode(F.sequence(block(F.col("begin")), block(end - 1))).alias("block"))
     words = F.least("end", F.when(F.col("block") == F.col("blocks") - 1, F.col("source_size")).otherwise(
-        (F.col("block") + 1) * block_words)) - F.greatest("begin", F.col("block") * block_words)
+        (F.col("block") + 1) * F.col("block_words"))) - F.greatest("begin", F.col("block") * F.col("block_words"))
     taken = pieces.select("_rid", "sid", "block", words.alias("words")).join(uses, ["sid", "block"]).groupBy(
         F.col("_rid").alias("_row")).agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     return known.join(taken, F.col("_rid") == F.col("_row"), "left").select(

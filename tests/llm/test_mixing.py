@@ -108,3 +108,21 @@ def test_empty_and_wordless_tables(spark):
     blank = spark.createDataFrame([(1, None, None, None, None, None), (2, "", "a", None, None, None)], SCHEMA)
     assert sorted((r["doc_id"], r["size"], r["target"], r["taken"]) for r in mixing.mix(blank).collect()) == [
         (1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_small_sources_get_their_targets(spark):
+    sizes = {f"s{k:02}": n for k, n in enumerate((20_000, 1, 2, 3, 7, 30, 64, 100, 150, 200, 255, 300, 700, 5000, 9000))}
+    rng, rows = random.Random(12), []
+    for source, n in sizes.items():
+        while n:
+            part = min(n, rng.randrange(1, 40))
+            rows.append((len(rows), "w " * part, source, None, None, None))
+            n -= part
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3)).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    want = poured(sizes)
+    assert len(got) == len(sizes)
+    for r in got:
+        n = sizes[r["source"]]
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 * want[r["source"]]
+        assert abs(r["taken"] - r["target"]) <= 2 * min(128, max(1, n // 64)), (n, r)
