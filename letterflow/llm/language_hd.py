@@ -173,7 +173,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], known_only: bool
 
     Text without a letter, null text, or no prototype at all give `und` with score 0. Equal cosines
     go to the first language in order. Columns named like the new ones are replaced. With known_only,
-    rows with score 0 go.
+    rows that are `und` go.
     """
     names = list(prototypes)
     table = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIM)
@@ -195,16 +195,17 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], known_only: bool
             out = pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(score)],
                 names=[*batch.schema.names, "lang_pred", "score"])
-            yield out.filter(pa.array(score > 0)) if known_only else out
+            yield out.filter(pa.array([lang != UNKNOWN for lang in langs], pa.bool_())) if known_only else out
 
     return docs.mapInArrow(scored, widened(docs, lang_pred="string", score="double"))
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The documents whose text has a letter and resembles a language; all their columns.
+    """The documents whose text has a letter; all their columns.
 
-    Learnt from the documents with lang. Only texts without any letter, and those whose cosine with
-    every prototype is 0 or less, are rejected; with no lang at all, only texts without letters.
+    Learnt from the documents with lang. Only what `predict` calls `und` is rejected: texts without
+    any letter. A cosine of 0 or less rejects none: of short texts and languages not learnt it is
+    noise around 0. With no lang at all, texts without letters are rejected, too.
     """
     prototypes = learn(docs)
     if not prototypes:

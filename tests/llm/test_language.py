@@ -84,6 +84,18 @@ def test_recognised_keeps_every_column_and_clean_row(spark):
     assert sorted(map(tuple, kept.collect())) == sorted(rows())
 
 
+def test_recognised_rejects_only_what_is_und(spark):
+    prototypes = language_hd.learn(spark.createDataFrame(rows(), SCHEMA))
+    alphabet = "bdfjkqvwxyzаежиор"
+    odd = [(200 + k, f"{x}{y}", None, None) for k, (x, y) in enumerate((x, y) for x in alphabet for y in alphabet)]
+    docs = spark.createDataFrame(rows() + odd + [(9, "12", None, None)], SCHEMA)
+    said = {r["doc_id"]: r for r in language_hd.predict(docs.filter("doc_id >= 200 or doc_id = 9"), prototypes).collect()}
+    assert [d for d, r in said.items() if r["lang_pred"] == "und"] == [9]
+    assert any(r["score"] == 0 for d, r in said.items() if d != 9)
+    kept = [r["doc_id"] for r in language_hd.recognised(docs).collect()]
+    assert sorted(d for d in kept if d >= 200) == [d for d, *_ in odd] and 9 not in {r[0] for r in odd}
+
+
 def test_empty_tables_and_no_labels(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert language_hd.learn(none) == {}
