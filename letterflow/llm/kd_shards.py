@@ -62,20 +62,23 @@ def kd_shards(docs: DataFrame, size: Column, dimensions: list[Column], shards: i
     value. Columns named size, shard or slot are replaced. An empty table has no rows.
     """
     space = space or Workspace(docs.sparkSession, "kd-shards")
-    names = [f"_d{k}" for k in range(len(dimensions))]
+    lead = "_"
+    while any(c.lower().startswith(lead) for c in docs.columns):
+        lead += "_"
+    names, rid, at = [f"{lead}d{k}" for k in range(len(dimensions))], f"{lead}rid", f"{lead}place"
+    own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
     base = docs.select(
-        *[docs[c] for c in docs.columns if c not in ("size", "shard", "slot")], size.cast("long").alias("size"),
+        *[docs[c] for c in own], size.cast("long").alias("size"),
         *[d.cast("long").alias(n) for d, n in zip(dimensions, names)],
-        F.monotonically_increasing_id().alias("_rid"))
+        F.monotonically_increasing_id().alias(rid))
     base = space.keep(base, "rows")
-    part, row = F.shiftright("_rid", 33), F.col("_rid").bitwiseAND((1 << 33) - 1)
+    part, row = F.shiftright(rid, 33), F.col(rid).bitwiseAND((1 << 33) - 1)
     stats = base.agg(
         F.sum("size").alias("size"), F.max(part).alias("parts"), F.max(row).alias("rows"),
         *[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)]).first()
     if stats["size"] is None:
         none = F.lit(None).cast("int")
-        return base.select(*[c for c in base.columns if not c.startswith("_")], none.alias("shard"),
-                           none.cast("long").alias("slot"))
+        return base.select(*own, "size", none.alias("shard"), none.cast("long").alias("slot"))
     shards = shards or max(1, -(-stats["size"] // target_bytes))
     if shards > LEAVES:
         raise ValueError(f"more than {LEAVES} shards")
@@ -89,7 +92,7 @@ def kd_shards(docs: DataFrame, size: Column, dimensions: list[Column], shards: i
         share = (F.coalesce(F.col(n), F.lit(low)) - F.lit(low)).cast("double") / float(high - low)
         return F.floor(share * (GRID - 1)).cast("long")
 
-    placed = base.select("_rid", "size", place, *[cell(n).alias(n) for n in names], F.lit(0).alias("node"))
+    placed = base.select(rid, "size", place, *[cell(n).alias(n) for n in names], F.lit(0).alias("node"))
     open_ = [(0, shards)] if shards > 1 else []
     level = 0
     while open_:
@@ -100,12 +103,11 @@ def kd_shards(docs: DataFrame, size: Column, dimensions: list[Column], shards: i
         open_ = [x for n in nodes for x in (
             (n.first, n.leaves // 2), (n.first + n.leaves // 2, n.leaves - n.leaves // 2)) if x[1] > 1]
         level += 1
-    leaf = space.keep(placed.select("_rid", F.col("node").cast("int").alias("shard")), "leaves")
+    leaf = space.keep(placed.select(rid, F.col("node").cast("int").alias("shard")), "leaves")
     slots = running_total(
         leaf.withColumn("_part", part).withColumn("_one", F.lit(1).cast("long")), "_one", ["shard"], "_part",
-        [F.col("_rid")], "slot").select(F.col("_rid").alias("_place"), "shard", "slot")
-    kept = [c for c in base.columns if not c.startswith("_d") and c != "_rid"]
-    return base.join(slots, F.col("_rid") == F.col("_place")).select(*kept, "shard", "slot")
+        [F.col(rid)], "slot").select(F.col(rid).alias(at), "shard", "slot")
+    return base.join(slots, F.col(rid) == F.col(at)).select(*own, "size", "shard", "slot")
 
 
 def _table(placed: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -167,7 +169,7 @@ def _split(placed: DataFrame, names: list[str], nodes: list[_Node], places: int)
     edges = _table(placed, [(n.first, n.dim, n.edge, n.first + n.leaves // 2) for n in nodes],
                    "node int, dim int, edge long, right int")
     return placed.join(edges, "node", "left").select(
-        "_rid", "size", "place", *names,
+        *[c for c in placed.columns if c != "node"],
         F.when(_key(names, places) >= F.col("edge"), F.col("right")).otherwise(F.col("node")).alias("node"))
 
 

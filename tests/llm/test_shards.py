@@ -73,3 +73,15 @@ def test_reruns_agree(spark):
     key = lambda r: (str(r["doc_id"]), str(r["text"]), r["shard"], r["slot"])
     assert sorted(map(key, kd_shards.document_shards(docs, 6).collect())) == sorted(
         map(key, kd_shards.document_shards(docs, 6).collect()))
+
+
+def test_columns_like_helpers_stay(spark):
+    names = ["doc_id", "text", "lang", "source", "_date", "_Domain", "__d0", "_rid", "_place"]
+    rows = [(k, "x" * (k % 50), "en", "s", f"d{k}", "m", k, -k, "p") for k in range(200)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, (
+        "long", "string", "string", "string", "string", "string", "long", "long", "string"))))
+    out = kd_shards.document_shards(docs, shards=4)
+    assert out.columns == [*names, "size", "shard", "slot"] or out.columns == [*names, "shard", "slot"]
+    assert sorted(tuple(r[n] for n in names) for r in out.collect()) == sorted(rows)
+    none = kd_shards.document_shards(docs.limit(0), shards=4)
+    assert none.columns == out.columns and none.collect() == []
