@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from letterflow.llm import (
-    chat_events, decontaminate, edit_fingerprint, kd_shards, language_hd, mixing, quality_crf, superminhash,
+    chat_events, decontaminate, edit_fingerprint, kd_shards, language_hd, merkle, mixing, quality_crf, superminhash,
     token_cache, toxicity_ftrl)
 from letterflow.llm.tables import Workspace
 
@@ -114,6 +114,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh checksum of an id stands for a row that was tampered with: one more in n_chars."""
+    docs = _table(spark, sf_dir, "documents")
+    changed = [F.try_add("n_chars", F.lit(1).cast("long")) if c == "n_chars" else F.col(c)
+               for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    return merkle.audited(docs, F.when(_remainder(7) == 0, merkle.digest_of(changed)))
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op2_edit_fingerprint": op2_edit_fingerprint,
@@ -125,6 +133,7 @@ QUERIES = {
     "op8_kd_shards": op8_kd_shards,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
     "op10_mixing": op10_mixing,
+    "op12_merkle_log": op12_merkle_log,
 }
 ORACLES: dict[str, str] = {
     "op3_chat_events": r"""
@@ -143,4 +152,60 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
            AS loss_sha256,
        sum(length(lead) + length(body) + 20)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op12_merkle_log": r"""
+WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY i) AS crc FROM (
+    SELECT i, (SELECT list_reduce([i::BIGINT] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+        CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS v FROM range(256) t(i))),
+rows_ AS (
+    SELECT doc_id, lang, n_chars,
+        CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END
+        || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+        || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS lead,
+        CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+        xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+            lambda a, b: xor(a // 256, crc[xor(a % 256, b) + 1])), 4294967295) AS sum_
+    FROM documents, crc_table),
+leaves AS (
+    SELECT doc_id, lang, sha256(lead || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+        CASE WHEN sum_ % 7 = 0 THEN
+            sha256(lead || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS claimed
+    FROM rows_),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at_,
+        count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes(lang, h, at_, n, d) AS (
+    SELECT lang, 0, at_, n, leaf FROM placed
+    UNION ALL
+    SELECT lang, h + 1, at_ // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY at_)) FROM nodes
+    WHERE n > 1 GROUP BY lang, h, at_ // 2, n),
+subroots AS (
+    SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at_, count(*) OVER () AS n
+    FROM nodes WHERE n = 1),
+tops(h, at_, n, d) AS (
+    SELECT 0, at_, n, subroot FROM subroots
+    UNION ALL SELECT h + 1, at_ // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY at_)) FROM tops
+    WHERE n > 1 GROUP BY h, at_ // 2, n),
+steps AS (
+    SELECT p.doc_id, p.lang, p.at_ AS row_, p.leaf, coalesce(p.claimed, p.leaf) AS first_, o.h, (p.at_ >> o.h) % 2 AS side, s.d
+    FROM placed p
+    JOIN (SELECT DISTINCT lang, h, n FROM nodes WHERE n > 1) o ON o.lang IS NOT DISTINCT FROM p.lang
+    LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.h = o.h AND s.at_ = xor(p.at_ >> o.h, 1)
+    UNION ALL
+    SELECT p.doc_id, p.lang, p.at_, p.leaf, coalesce(p.claimed, p.leaf), 1000 + o.h, (r.at_ >> o.h) % 2, s.d
+    FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang
+    CROSS JOIN (SELECT DISTINCT h FROM tops WHERE n > 1) o
+    LEFT JOIN tops s ON s.h = o.h AND s.at_ = xor(r.at_ >> o.h, 1)),
+proofs AS (
+    SELECT p.doc_id, p.lang, p.at_ AS row_, p.leaf, coalesce(p.claimed, p.leaf) AS first_,
+        coalesce(list({'side': s.side, 'd': s.d} ORDER BY s.h) FILTER (s.h IS NOT NULL), []) AS path
+    FROM placed p LEFT JOIN steps s ON s.lang IS NOT DISTINCT FROM p.lang AND s.row_ = p.at_
+    GROUP BY ALL),
+checked AS (
+    SELECT *, sha256(coalesce(list_aggregate(list_transform(list_filter(path, lambda s: s.d IS NOT NULL), lambda s: s.d),
+            'string_agg', ''), '')) AS proof_sha256,
+        list_reduce([{'side': 0, 'd': first_}] || path, lambda a, s: {'side': 0, 'd': sha256(
+            CASE WHEN s.d IS NULL THEN a.d WHEN s.side = 1 THEN s.d || a.d ELSE a.d || s.d END)}).d AS folded_root
+    FROM proofs)
+SELECT c.doc_id, c.leaf, r.subroot, t.d AS root, c.proof_sha256, c.folded_root, c.folded_root = t.d AS verified
+FROM checked c JOIN subroots r ON r.lang IS NOT DISTINCT FROM c.lang CROSS JOIN (SELECT d FROM tops WHERE n = 1) t""",
 }

@@ -76,3 +76,33 @@ def widened(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of df with columns of these types after its own."""
     return T.StructType(df.schema.fields + [
         T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items()])
+
+
+#: Rows of a range of an ordered table.
+RANGE_ROWS = 1 << 18
+
+
+def numbered(space: Workspace, df: DataFrame, group: str | None, order: list[str], name: str,
+             count: str = "n") -> DataFrame:
+    """df in order, with `rank` (from 0, without gaps in its group) and the group's number of rows.
+
+    df must be a kept table. It is written in ranges of (group, order); equal rows are told apart by
+    their place in df, so a common group or row is spread, too. Nulls come first. A row's rank is its
+    place in its range and the rows of its group in the ranges before, summed over one row for each.
+    """
+    keys = ([group] if group else []) + order
+    parts = max(1, -(-df.count() // RANGE_ROWS))
+    at = df.withColumn("_tie", F.monotonically_increasing_id())
+    at = at.repartitionByRange(parts, *[F.col(c) for c in (*keys, "_tie")]).sortWithinPartitions(*keys, "_tie")
+    place = F.monotonically_increasing_id()
+    at = space.keep(at.drop("_tie").withColumns({
+        "_part": F.shiftright(place, 33), "_at": place.bitwiseAND((1 << 33) - 1)}), name)
+    own = F.col(group) if group else F.lit(0)
+    ranges = at.groupBy(own.alias("_group"), F.col("_part").alias("_range")).agg(
+        F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    upto = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(upto), F.lit(0))).withColumn(
+        count, F.sum("_rows").over(Window.partitionBy("_group")))
+    return at.join(ranges, (F.col("_part") == F.col("_range")) & own.eqNullSafe(F.col("_group"))).withColumn(
+        "rank", F.col("_at") - F.col("_first") + F.col("_before")).drop(
+        "_part", "_at", "_group", "_range", "_first", "_rows", "_before")
