@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from letterflow.llm import (
-    chat_events, decontaminate, edit_fingerprint, kd_shards, language_hd, merkle, mixing, quality_crf, superminhash,
-    token_cache, toxicity_ftrl)
+    chat_events, cross_polytope, decontaminate, edit_fingerprint, kd_shards, language_hd, merkle, mixing,
+    quality_crf, superminhash, token_cache, toxicity_ftrl)
 from letterflow.llm.tables import Workspace
 
 
@@ -122,6 +122,10 @@ def op12_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(docs, F.when(_remainder(7) == 0, merkle.digest_of(changed)))
 
 
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op2_edit_fingerprint": op2_edit_fingerprint,
@@ -134,6 +138,7 @@ QUERIES = {
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
     "op10_mixing": op10_mixing,
     "op12_merkle_log": op12_merkle_log,
+    "op13_cross_polytope": op13_cross_polytope,
 }
 ORACLES: dict[str, str] = {
     "op3_chat_events": r"""
@@ -208,4 +213,18 @@ checked AS (
     FROM proofs)
 SELECT c.doc_id, c.leaf, r.subroot, t.d AS root, c.proof_sha256, c.folded_root, c.folded_root = t.d AS verified
 FROM checked c JOIN subroots r ON r.lang IS NOT DISTINCT FROM c.lang CROSS JOIN (SELECT d FROM tops WHERE n = 1) t""",
+    "op13_cross_polytope": r"""
+WITH RECURSIVE known AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM known a JOIN known b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+direct AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id,
+    e.vec_id <= coalesce(l.b, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN direct d ON d.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id""",
 }
