@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from letterflow.llm import (
-    chat_events, cross_polytope, decontaminate, edit_fingerprint, kd_shards, language_hd, merkle, mixing,
+    chat_events, cross_polytope, debruijn, decontaminate, edit_fingerprint, kd_shards, language_hd, merkle, mixing,
     quality_crf, superminhash, token_cache, toxicity_ftrl)
 from letterflow.llm.tables import Workspace
 
@@ -114,6 +114,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh checksum of an id stands for a row that was tampered with: one more in n_chars."""
     docs = _table(spark, sf_dir, "documents")
@@ -137,6 +141,7 @@ QUERIES = {
     "op8_kd_shards": op8_kd_shards,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
     "op10_mixing": op10_mixing,
+    "op11_debruijn": op11_debruijn,
     "op12_merkle_log": op12_merkle_log,
     "op13_cross_polytope": op13_cross_polytope,
 }
@@ -157,6 +162,38 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
            AS loss_sha256,
        sum(length(lead) + length(body) + 20)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op11_debruijn": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+    FROM documents WHERE text IS NOT NULL),
+split AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS ws FROM pieces),
+grams AS (
+    SELECT lang, k, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*)::HUGEINT AS n FROM (
+        SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g
+        FROM split CROSS JOIN (SELECT unnest([1, 2, 3]) AS k))
+    GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, g, n AS a FROM grams WHERE k > 1 AND n >= 10),
+cuts AS (
+    SELECT c.*, l.n AS l, r.n AS r, 1000000 * a * a // (l.n * r.n) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
+    JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.g[1:c.j], ' ')
+    JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.g[c.j + 1:c.k], ' ')),
+scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (
+    SELECT DISTINCT s.lang, s.phrase FROM candidates s JOIN (
+        SELECT lang, a, unnest([array_to_string(g[1:2], ' '), array_to_string(g[2:3], ' ')]) AS part
+        FROM candidates WHERE k = 3) t ON t.lang = s.lang AND t.part = s.phrase AND 100 * t.a >= 50 * s.a),
+ranked AS (
+    SELECT s.*, row_number() OVER (
+        PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+    FROM scored s ANTI JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase)
+SELECT r.lang, r.rank, r.phrase, r.a::BIGINT AS a, r.l::BIGINT AS l, r.r::BIGINT AS r, t.n, r.score::BIGINT AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000""",
     "op12_merkle_log": r"""
 WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY i) AS crc FROM (
     SELECT i, (SELECT list_reduce([i::BIGINT] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda a, b:

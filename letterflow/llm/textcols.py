@@ -73,13 +73,19 @@ def blocks(at: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]
         first = last
 
 
-def words(raw: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER_AZ):
+def byte_values(seed: int) -> np.ndarray:
+    """A random odd number for each byte."""
+    return stream(11 + seed, 256) | U64(1)
+
+
+def words(raw: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER_AZ, space: np.ndarray = _IS_SPACE,
+          value: np.ndarray = _BYTE_VALUE):
     """Words of a block: hash, begin, end (byte positions), and where each row's words begin."""
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, U64), none, none, np.zeros(len(at), np.int64)
-    inside = ~_IS_SPACE[raw]
+    inside = ~space[raw]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     before = np.empty(n, bool)
@@ -91,7 +97,7 @@ def words(raw: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER_AZ):
     forth, back = _power(n + 1)
     total = np.empty(n + 1, U64)
     total[0] = 0
-    np.cumsum(_BYTE_VALUE[fold[raw]] * forth[:n], out=total[1:])
+    np.cumsum(value[fold[raw]] * forth[:n], out=total[1:])
     hashed = mix((total[ends] - total[begins]) * back[begins] + (ends - begins).astype(U64))
     return hashed, begins, ends, np.searchsorted(begins, at)
 

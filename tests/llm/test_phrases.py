@@ -1,0 +1,157 @@
+"""Phrases against counts of all word sequences."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from letterflow.llm import debruijn as db
+from letterflow.llm.tables import Workspace
+
+SCHEMA = "doc_id long, text string, lang string, n long, w1 string, score int, phrase string"
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def counts(rows, longest):
+    out = defaultdict(Counter)
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(FOLD)):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            for k in range(1, longest + 1):
+                out["und" if lang is None else lang].update(tuple(ws[i:i + k]) for i in range(len(ws) - k + 1))
+    return out
+
+
+def brute(rows, longest=3, least=10, covered=50, top=2000):
+    out = []
+    for lang, f in counts(rows, longest).items():
+        n = sum(c for g, c in f.items() if len(g) == 1)
+        found = {g: c for g, c in f.items() if len(g) > 1 and c >= least}
+        gone = {g[i:j] for g in found for i in range(len(g)) for j in range(i + 2, len(g) + 1)
+                if j - i < len(g) and 100 * found[g] >= covered * f[g[i:j]]}
+        scored = []
+        for g, a in found.items():
+            score, _, left, right = min(
+                (10 ** 6 * a * a // (f[g[:k]] * f[g[k:]]), k, f[g[:k]], f[g[k:]]) for k in range(1, len(g)))
+            if g not in gone:
+                scored.append((-score, -a, " ".join(g).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return sorted(out)
+
+
+def table(spark, rows, parts=3):
+    return spark.createDataFrame([(k, t, g, 1, "x", 2, "y") for k, (t, g) in enumerate(rows)], SCHEMA).repartition(parts)
+
+
+def found(spark, rows, **options):
+    got = db.collocations(table(spark, rows), **options)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    return sorted(map(tuple, got.collect()))
+
+
+def corpus(seed=3, size=200, kinds=14):
+    rng = random.Random(seed)
+    vocabulary = ["the", "The", "é", "Zürich", "a-b", "x" * 90, "x" * 89 + "y", "日本"] + [f"w{k}" for k in range(kinds)]
+    weights = [9] + [1] * (len(vocabulary) - 1)
+    passage = " ".join(f"p{k}" for k in range(70))
+    rows = []
+    for k in range(size):
+        words = rng.choices(vocabulary, weights, k=rng.randrange(0, 60))
+        text = "".join(w + rng.choice([" ", "  ", "\t", " ", " ", " ", ". ", ",", "\n", "! "]) for w in words)
+        rows.append((text + (passage if k % 15 == 0 else ""), rng.choice(["en", "de", None, "und"])))
+    return rows
+
+
+@pytest.mark.parametrize("longest, least, covered, top", [(3, 10, 50, 2000), (2, 3, 50, 20), (4, 4, 80, 50), (5, 2, 10, 2000)])
+def test_equals_all_sequences(spark, monkeypatch, longest, least, covered, top):
+    monkeypatch.setattr(db, "RANKED", 40)
+    monkeypatch.setattr(db, "MERGED", 3)
+    rows = corpus()
+    options = dict(longest=longest, least=least, covered=covered, top=top)
+    assert found(spark, rows, **options) == brute(rows, **options)
+
+
+def test_many_small_flushes_and_hot_pairs(spark, monkeypatch):
+    """A pair that begins a third of all edges, with other words after it each time."""
+    monkeypatch.setattr(db, "FLUSH", 50)
+    monkeypatch.setattr(db, "HOT", 4)
+    rng = random.Random(1)
+    rows = [(" ".join(f"so it s{rng.randrange(30)}" for _ in range(rng.randrange(1, 30))), "en") for _ in range(60)]
+    rows += corpus(5, 40)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_pairs_that_begin_many_edges_are_found(spark):
+    rows = [("so it goes on so it ends so it was", "en")] * 30
+    space = Workspace(spark, "test-phrases")
+    survey = space.keep(table(spark, rows).select("lang", "text").mapInArrow(
+        db._surveyed(0), "id long, word string, lang long, w1 long, w2 long, n long"), "survey")
+    ids = {r["word"]: r["id"] for r in survey.filter("id is not null").collect()}
+    pair = db._mixed([np.array([x], np.int64) for x in (ids["en"], ids["so"], ids["it"])])
+    assert pair[0] in db._hot_pairs(survey)
+
+
+def test_nulls_empty_texts_and_languages(spark):
+    rows = [(None, "en"), ("", None), (" \t.,", "de"), ("one two. one two", "en"), ("one two", None), ("One TWO", "und")] * 10
+    assert found(spark, rows) == brute(rows)
+    assert found(spark, []) == []
+
+
+def test_very_long_text_and_words(spark):
+    rows = [("again and " * 60_000, "en"), ("y" * 300_000 + " z " + "y" * 300_000, "en"), ("ha " * 50_000, "fr")]
+    assert found(spark, rows, least=1) == brute(rows, least=1)
+
+
+def test_two_words_with_one_number_are_numbered_anew(spark, monkeypatch):
+    plain, seeds = db.tokens, []
+
+    def clashing(raw, at, seed):
+        out = plain(raw, at, seed)
+        if seed == 0:
+            out[0][:] = out[0] % 3 + 5
+        return out
+
+    monkeypatch.setattr(db, "tokens", clashing)
+    monkeypatch.setattr(db, "_digest", lambda raw, seed, own=db._digest: seeds.append(seed) or own(raw, seed))
+    rows = corpus(9, 30)
+    assert found(spark, rows, least=3) == brute(rows, least=3)
+
+
+def paths_of(spark, rows, least, monkeypatch=None):
+    graph = db.Graph(Workspace(spark, "test-paths"), table(spark, rows), 3, least)
+    names = {r["id"]: r["word"] for r in graph.names.collect()}
+    out = []
+    for r in graph.paths().collect():
+        begin = [names[r["begin"][c]] for c in ("w1", "w2")]
+        out.append((" ".join(begin + [names[s["word"]] for s in r["steps"]]), [s["weight"] for s in r["steps"]]))
+    return sorted(out)
+
+
+def test_unary_paths_are_compacted(spark, monkeypatch):
+    rows = [("a b c d e f g", "en")] * 3 + [("x c d e y", "en")] * 2
+    # d e has two edges out, c d two in: paths end there
+    assert paths_of(spark, rows, 1) == sorted([
+        ("a b c d", [3, 3]), ("c d e", [5]), ("d e f g", [3, 3]), ("x c d", [2]), ("d e y", [2])])
+    long = " ".join(f"v{k}" for k in range(300))
+    assert paths_of(spark, [(long, "en")] * 2, 2) == [(long, [2] * 298)]
+    monkeypatch.setattr(db, "PATH_ROW", 100)
+    assert [len(w) for _, w in paths_of(spark, [(long, "en")] * 2, 2)] == [100, 100, 98]
+
+
+def test_rings_stay_single(spark):
+    rows = [("ha ha ha ha ha", "en"), ("to and fro to and fro to and", "en"), ("p q r s t u", "en")]
+    assert paths_of(spark, rows, 1) == sorted([
+        ("ha ha ha", [3]), ("to and fro", [2]), ("and fro to", [2]), ("fro to and", [2]), ("p q r s t u", [1] * 4)])
+    assert found(spark, rows, least=1) == brute(rows, least=1)
+
+
+def test_query_equals_its_sql(spark):
+    from checks.compare import database, difference
+    from letterflow.llm.queries import ORACLES, QUERIES
+
+    path = "/root/testdata/sf0.001"
+    for name in ("op11_debruijn", "op13_cross_polytope"):
+        assert difference(spark, database(path), QUERIES[name], ORACLES[name], path)[0] is None
