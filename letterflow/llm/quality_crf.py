@@ -7,12 +7,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from letterflow.llm.tables import bounded_sample, widened
+from letterflow.llm.tables import Workspace, bounded_sample, widened
 from letterflow.llm.textcols import IDENTITY, blocks, rows_of, utf8, words
 
 #: Labelled texts to learn from, at most: those with the smallest hashes of their id.
 SAMPLE = 2_500
+#: Lines of these texts together, at most: each takes about a kilobyte of the driver while it learns.
+LINES = 1 << 18
 STEPS = 60
 RATE = 0.1
 DECAY = 1e-3
@@ -229,13 +232,18 @@ def _featured(batches):
             names=["x", "length", "label"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES,
+        space: Workspace | None = None) -> Crf | None:
     """Learn from docs (doc_id, text) and labels (doc_id, label: 0 or 1); rows without label are left out.
 
-    The features of at most `sample` labelled texts, those with the smallest hashes of doc_id, come
-    to the driver: about 200 bytes a line. None if there is no text of one of the labels.
+    The features of at most `sample` labelled texts with at most `lines` lines together, those with the
+    smallest hashes of doc_id, come to the driver: about 200 bytes a line, and a kilobyte in all while it
+    learns. A text of more than an eighth of `lines` is not learnt from. Repeated rows and ids count
+    each. None if there is no text of one of the labels.
     """
-    rows = (bounded_sample(docs, labels, sample)
+    space = space or Workspace(docs.sparkSession, "quality")
+    ends = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\n\r]", "")) + 1
+    rows = (bounded_sample(docs, labels, sample, ends, lines, space)
             .mapInArrow(_featured, "x binary, length binary, label int").collect())
     label = np.array([r["label"] for r in rows])
     if len(set(label)) < 2:

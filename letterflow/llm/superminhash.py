@@ -6,11 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterflow.llm.cells import buckets, grouped
-from letterflow.llm.tables import Workspace
+from letterflow.llm.tables import Workspace, unused
 from letterflow.llm.textcols import U64, blocks, distinct, mix, rows_of, shingles, utf8, words
 
 SLOTS = 128
@@ -77,12 +77,12 @@ def _signed(batches):
         n = len(batch)
         bands = np.concatenate(keys) if keys else np.zeros((0, SLOTS // ROWS), np.int64)
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"),
+            *[batch.column(c) for c in ("doc_id", "rid", "key")],
             pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)),
             pa.array(digests, pa.string()),
             pa.ListArray.from_arrays(
                 pa.array(np.arange(n + 1) * bands.shape[1], pa.int32()), pa.array(bands.ravel()))],
-            names=["doc_id", "n_shingles", "digest", "bands"])
+            names=["doc_id", "rid", "key", "n_shingles", "digest", "bands"])
 
 
 def _sets(batches):
@@ -95,7 +95,7 @@ def _sets(batches):
             elements, begin = distinct(*shingles(hashed, begin))
             packed += [elements[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(packed, pa.binary())], names=["id", "content"])
+            [batch.column("key"), pa.array(packed, pa.binary())], names=["key", "content"])
 
 
 class Sets:
@@ -117,48 +117,78 @@ class Sets:
         return 100 * shared >= PERCENT * (self.sizes + len(x) - shared)
 
 
+def _row_key() -> Column:
+    """doc_id and digest of the text: rows with equal ones are the same document."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(
+        F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+
+
+def _grouped(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, digest) of every row, and of each class of equal sets: digest, component_id and keeper.
+
+    A row's place in the signed table tells it from all others, whatever its doc_id; doc_ids only name
+    components. keeper is the key of the row that stays for a component.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"),
+                        _row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    signed = space.keep(texts.mapInArrow(
+        _signed, "doc_id long, rid long, key string, n_shingles long, digest string, bands array<long>"), "signed")
+    # rows of a class have equal sets, so equal bands; a row with a doc_id stands for it if there is one
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key"))
+    classes = space.keep(signed.filter("n_shingles > 0").groupBy("digest").agg(
+        F.min("rid").alias("id"), first.alias("first"), F.first("bands").alias("bands")), "classes")
+    shared = space.keep(buckets(classes.select(F.explode("bands").alias("bucket"), "id")), "shared")
+    classes = classes.drop("bands")
+    wanted = classes.join(shared.select("id").distinct(), "id", "left_semi").select(F.col("first.key").alias("key"), "id")
+    sets = space.keep(
+        texts.join(wanted.select("key"), "key", "left_semi")
+        .mapInArrow(_sets, "key string, content binary").groupBy("key").agg(F.first("content").alias("content"))
+        .join(wanted, "key").select("id", "content"), "sets")
+    roots = grouped(space, shared, sets, Sets)
+    placed = space.keep(classes.join(roots, F.col("id") == F.col("node"), "left").select(
+        "digest", "first", F.coalesce("root", "id").alias("root")), "placed")
+    names = placed.groupBy("root").agg(F.min("first").alias("least"))
+    return signed.select("doc_id", "n_shingles", "digest"), placed.join(names, "root").select(
+        F.col("digest").alias("_digest"), F.col("least.doc_id").alias("name"), F.col("least.key").alias("keeper"))
+
+
 def near_duplicates(docs: DataFrame, space: Workspace | None = None) -> DataFrame:
     """Near-duplicate group of every document, by doc_id and text; other columns are ignored.
 
     Texts are linked if 100 * shared >= 75 * united of their distinct five-word shingles. Returns
     doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
-    * Equal sets form a class, represented by its smallest doc_id; only classes are compared.
+    * Equal sets form a class; only classes are compared.
     * Classes that share a band of their signatures are candidates, and verified on whole sets as
       `cells.grouped` says.
     * A link at exactly 0.75 shares none of the 32 bands with probability 5e-6; at 0.8, 5e-8.
 
-    Null, empty or white-space texts have the empty set and are linked with nothing. Rows without
-    doc_id are not linked: component_id is null, kept is true. Repeated rows give repeated rows.
-    A doc_id names one text: of rows with one doc_id and several texts, the least set stands for all
-    when candidates are verified. An empty table gives no rows.
+    Null, empty or white-space texts have the empty set and are linked with nothing. Rows are told apart
+    by their place, so several texts may have one doc_id, and each is linked by itself. Rows without
+    doc_id are linked like others but name no component: component_id is null if no row there has a doc_id, and such
+    rows are kept only then. Repeated rows give repeated rows. An empty table gives no rows.
     """
     space = space or Workspace(docs.sparkSession, "near-duplicates")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = space.keep(texts.mapInArrow(
-        _signed, "doc_id long, n_shingles long, digest string, bands array<long>"), "signed")
-    # rows of a class have equal sets, so equal bands
-    classes = space.keep(signed.filter("doc_id is not null and n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
-    shared = space.keep(buckets(classes.select(F.explode("bands").alias("bucket"), "id")), "shared")
-    classes = classes.drop("bands")
-    sets = space.keep(
-        texts.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .mapInArrow(_sets, "id long, content binary").groupBy("id").agg(F.min("content").alias("content")), "sets")
-    roots = grouped(space, shared, sets, Sets)
-    return signed.join(classes, "digest", "left").join(roots, F.col("id") == F.col("node"), "left").select(
+    signed, classes = _grouped(docs, space)
+    return signed.join(classes, F.col("digest") == F.col("_digest"), "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNull(), None).otherwise(
-            F.coalesce("root", "id", "doc_id")).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        F.when(F.col("_digest").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near duplicates: of each group the one with the smallest doc_id.
+def keep_one(docs: DataFrame, space: Workspace | None = None) -> DataFrame:
+    """The documents without near duplicates: of each group one, that with the smallest doc_id, with all its columns.
 
-    All columns stay. Rows without doc_id stay; of several rows with the same kept doc_id one stays.
+    Of rows with the same doc_id and different texts all are documents of their own; of a group's rows
+    with the smallest doc_id the one with the least digest stays, of rows equal in doc_id and text any
+    one. Groups in which no row has a doc_id keep one row, too. Texts without words are no duplicates and all stay. An
+    empty table gives no rows.
     """
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    once = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept")).dropDuplicates(["_kept"])
-    return once.drop("_kept").unionAll(docs.filter("doc_id is null"))
+    space = space or Workspace(docs.sparkSession, "keep-one")
+    _, classes = _grouped(docs, space)
+    key, keeper = unused(docs, "key", "keeper")
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = classes.select(F.col("keeper").alias(keeper)).distinct()
+    once = docs.filter(worded).withColumn(key, _row_key()).join(
+        kept, F.col(key) == F.col(keeper)).drop(keeper).dropDuplicates([key]).drop(key)
+    return once.unionAll(docs.filter(~worded))

@@ -32,6 +32,14 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names with as many underscores before them as keep them from all columns of df, whatever their case."""
+    lead = "_"
+    while any(c.lower().startswith(lead) for c in df.columns):
+        lead += "_"
+    return [lead + name for name in names]
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
@@ -64,12 +72,27 @@ def running_total(df: DataFrame, value: str, groups: list[str], part: str,
         "_at", "_offset", *[f"_{g}" for g in groups])
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most `most` labelled documents, those with the smallest hashes of doc_id."""
+def bounded_sample(docs: DataFrame, labels: DataFrame, most: int, cost: Column, budget: int,
+                   space: Workspace) -> DataFrame:
+    """(doc_id, text, label) of at most `most` labelled texts, which cost no more than `budget` together.
+
+    Labels are taken in the order of the hashes of their doc_id, then the texts with these ids, repeated
+    rows and ids included, while there are no more than `most` and their summed `cost` (a column over
+    text) keeps within the budget. Texts that cost over an eighth of it are left out, so one text never
+    uses it up. Texts are whole. What is counted and ordered are ids and costs, not texts.
+    """
     ids = labels.filter("label is not null").select("doc_id", F.col("label").cast("int").alias("label")).orderBy(
         F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    return (docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(ids), F.col("_id") == F.col("doc_id")).select("doc_id", "text", "label"))
+    texts = space.keep(
+        docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+        .join(F.broadcast(ids), F.col("_id") == F.col("doc_id")).select(
+            "doc_id", "text", "label", cost.cast("long").alias("cost"), F.monotonically_increasing_id().alias("row")),
+        "labelled")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.col("cost"), F.col("row")]
+    first = texts.drop("text").filter(F.col("cost") <= budget // 8).orderBy(*order).limit(most)
+    upto = F.sum("cost").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    taken = first.withColumn("upto", upto).filter(F.col("upto") <= budget).select(F.col("row").alias("_row"))
+    return texts.join(F.broadcast(taken), F.col("row") == F.col("_row")).select("doc_id", "text", "label")
 
 
 def widened(df: DataFrame, **columns: str) -> T.StructType:

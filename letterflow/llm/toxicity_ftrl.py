@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterflow.llm.tables import bounded_sample, widened
+from letterflow.llm.tables import Workspace, bounded_sample, utf8_bytes, widened
 from letterflow.llm.textcols import LOWER_AZ, U64, blocks, mix, rows_of, utf8, words
 
 #: Weights there can be; a feature's hash picks one.
 BITS = 21
 #: Labelled texts to learn from, at most: those with the smallest hashes of their id.
 SAMPLE = 20_000
+#: Bytes of these texts together, at most; a task holds up to eight bytes of features for each.
+SAMPLE_BYTES = 1 << 26
 PASSES = 3
 ALPHA, BETA, L2 = 1.0, 1.0, 0.01
 #: L1 is this many times the square root of the number of rows learnt from, as chance counts grow so.
@@ -107,14 +109,18 @@ def _fit(batches):
         [pa.array([index[kept].astype(np.int32).tobytes()]), pa.array([w[kept].tobytes()])], names=["i", "w"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES,
+        space: Workspace | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights that are not zero, by index; the last one is the bias.
 
     docs: doc_id, text. labels: doc_id, label (0 or 1); rows without label are left out. At most
-    `sample` labelled texts, those with the smallest hashes of doc_id, are learnt from in one task;
-    at most 2 ** BITS + 1 weights come back, packed into one row. Without rows all weights are 0: every score is a half.
+    `sample` labelled texts of at most `sample_bytes` bytes together, those with the smallest hashes of
+    doc_id, are learnt from in one task; a text of more than an eighth of that is not. Repeated rows and ids
+    count each. At most 2 ** BITS + 1 weights come back, packed into one row. Without rows all weights
+    are 0: every score is a half.
     """
-    rows = (bounded_sample(docs, labels, sample).repartition(1)
+    space = space or Workspace(docs.sparkSession, "toxicity")
+    rows = (bounded_sample(docs, labels, sample, utf8_bytes(F.col("text")), sample_bytes, space).repartition(1)
             .sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
             .mapInArrow(_fit, "i binary, w binary").collect())
     if not rows:

@@ -70,10 +70,38 @@ def test_nulls_and_repeated_rows(spark):
          (4, text, None, None, None, None), (9, None, None, None, None, None)], SCHEMA)
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"], r["kept"])
                  for r in superminhash.near_duplicates(docs).collect())
-    assert got == [(-1, 2, None, True), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (9, 0, 9, True)]
+    # a row without doc_id is linked like others and names no component
+    assert got == [(-1, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (9, 0, 9, True)]
     kept = superminhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 9]
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [3, 9]
+
+
+def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    near = b.replace("b20", "x")
+    rows = [(1, a), (1, b), (1, b), (2, near), (None, c), (None, c), (None, c + " end"), (5, a), (6, ""), (6, ""), (None, " ")]
+    docs = spark.createDataFrame([(d, t, "s", "clash", 1, 2) for d, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in superminhash.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(1, 1, True)] * 3 + [(2, 1, False), (5, 1, False)] + [(None, None, True)] * 4 + [(6, 6, True)] * 2, key=repr)
+    kept = sorted(((r["doc_id"], r["text"]) for r in superminhash.keep_one(docs).collect()), key=repr)
+    assert len([t for _, t in kept if t and t.startswith("c0")]) == 1
+    assert [r for r in kept if not (r[1] or "").startswith("c0")] == sorted(
+        [(1, a), (1, b), (6, ""), (6, ""), (None, " ")], key=repr)
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    text = "one two three four five six"
+    docs = spark.createDataFrame([(1, text, 7, 8, 9), (2, text, 7, 8, 9)],
+                                 "doc_id long, text string, _kept int, _key int, __KEY int")
+    assert [tuple(r) for r in superminhash.keep_one(docs).collect()] == [(1, text, 7, 8, 9)]
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{k}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "ha " * 300_000)], "doc_id long, text string")
+    got = sorted(map(tuple, superminhash.near_duplicates(docs).collect()))
+    assert got == [(1, 199_996, 1, True), (2, 199_997, 1, False), (3, 1, 3, True)]
 
 
 def test_empty_table(spark):

@@ -77,11 +77,17 @@ def test_language_query_on_held_out_documents(spark):
     assert all(r["lang_pred"] in {*langs.values(), language_hd.UNKNOWN} for r in got)
 
 
-@pytest.mark.parametrize("name, label, least", [("op1_quality_crf", "quality", 0.9), ("op9_toxicity_ftrl", "toxic", 0.85)])
-def test_classifier_queries_on_held_out_labels(spark, name, label, least):
-    path = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("name, label, value, cut, precision, recall", [
+    ("op1_quality_crf", "quality", 1, 0.3, 0.95, 0.95), ("op9_toxicity_ftrl", "toxic", 1, 0.5, 0.9, 0.8)])
+def test_classifier_queries_on_held_out_labels(spark, name, label, value, cut, precision, recall):
+    """Precision and recall where there are enough of either label; a constant answer fails."""
+    path = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
     got = QUERIES[name](spark, path).collect()
+    assert len(got) == 10_000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= cut) for r in got)
     held = [r for r in got if r["held_out"] and r["doc_id"] in labels]
-    assert len(got) == 1000 and all(0 <= r["score"] <= 1 for r in got)
-    assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= least * len(held)
+    said = [r for r in held if r["predicted"] == value]
+    true = [r for r in held if labels[r["doc_id"]] == value]
+    hits = [r for r in true if r["predicted"] == value]
+    assert min(len(true), len(held) - len(true)) >= 50
+    assert len(hits) >= precision * len(said) and len(hits) >= recall * len(true)

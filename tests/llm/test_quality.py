@@ -6,8 +6,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from letterflow.llm import quality_crf, textcols
+from letterflow.llm.tables import Workspace, bounded_sample
 
 SCHEMA = "doc_id long, text string, score string, label int"
 
@@ -96,5 +98,16 @@ def test_empty_tables_and_one_label(spark):
 
 
 def test_sample_is_a_bound(spark, learnt):
-    docs = spark.createDataFrame(learnt[0], SCHEMA)
-    assert quality_crf.bounded_sample(docs, docs.select("doc_id", "label"), 20).count() == 20
+    """On rows and on cost, with repeated rows, repeated ids and a text beyond it."""
+    space = Workspace(spark, "test-sample")
+    many = learnt[0] + [(k, "again " * 9, None, 1) for k in (4, 7)] * 100 + [(5, "long " * 4000, None, 1)]
+    docs = spark.createDataFrame(many, SCHEMA).repartition(3)
+    labels = docs.select("doc_id", "label").distinct()
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    whole = {r[1] for r in many}
+    for k, (most, budget) in enumerate([(20, 10 ** 9), (10 ** 6, 5000), (10 ** 6, 10 ** 9)]):
+        got = bounded_sample(docs, labels, most, size, budget, Workspace(spark, f"test-sample-{k}")).collect()
+        assert len(got) <= most and sum(len(r["text"]) for r in got) <= budget
+        assert all(r["text"] in whole for r in got) and {r["label"] for r in got} == {0, 1}
+    assert len(got) == len(many)
+    assert not any(len(r["text"]) > 10_000 for r in bounded_sample(docs, labels, 10 ** 6, size, 60_000, space).collect())
