@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterflow.llm.tables import Workspace, running_total, widened
+from letterflow.llm.tables import Workspace, running_total, unused, widened
 from letterflow.llm.textcols import _IS_SPACE, blocks, utf8
 
 #: Weights of the sources in order of code points (null last), over and over.
@@ -18,7 +18,7 @@ BUDGET, MOST = 1.5, 2
 BLOCK_WORDS, LEAST_BLOCKS = 128, 64
 #: The golden ratio's fraction in units of 2 ** -32: slot k stands at k * GOLDEN modulo 2 ** 32.
 GOLDEN, CIRCLE = 2654435769, 1 << 32
-#: Slots a schedule can have, so that slot * GOLDEN fits a long.
+#: Slots that a mix has, about, at most: beyond, blocks grow with the corpus.
 SLOTS = 1 << 31
 #: The circle in cells, for finding the source of a point by equality.
 CELLS = 1 << 16
@@ -93,7 +93,9 @@ def schedule(plan: DataFrame, slots: int, settled: bool = False) -> DataFrame:
         "begin", F.coalesce(F.lag("end").over(order), F.lit(0).cast("long"))).filter("begin < end")
     cells = arcs.withColumn("cell", F.explode(F.sequence(
         F.floor(F.col("begin") / (CIRCLE // CELLS)), F.floor((F.col("end") - 1) / (CIRCLE // CELLS)))))
-    points = spark.range(slots).select("id", (F.col("id") * F.lit(GOLDEN) % F.lit(CIRCLE)).alias("point"))
+    # id * GOLDEN modulo CIRCLE in halves, so that any number of slots fits a long
+    half = lambda shift: F.shiftright("id", shift).bitwiseAND(0xFFFF) * F.lit(GOLDEN) % F.lit(CIRCLE)
+    points = spark.range(slots).select("id", ((half(0) + half(16) * 65536) % F.lit(CIRCLE)).alias("point"))
     taken = points.withColumn("cell", F.floor(F.col("point") / (CIRCLE // CELLS))).join(cells, "cell").filter(
         "point >= begin and point < end").select(
         "sid", "blocks", "most", "id", F.floor(F.col("id") / PART_ROWS).alias("part"), F.lit(1).cast("long").alias("one"))
@@ -113,8 +115,10 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
 
     docs: doc_id, text, source. Words are `[^\\x20\\x09-\\x0D]+`. A source's documents, shuffled by the
     hash of doc_id, make one stream of words, cut into blocks of `block_words` (the last one longer), or
-    of a LEAST_BLOCKS-th of a smaller source, one word at least; `taken` is what the schedule's slots take of a document's words, repeats counted: at most MOST times
-    each. A source's taken words differ from its target by less than two of its blocks.
+    of a LEAST_BLOCKS-th of a smaller source, one word at least; `taken` is what the schedule's slots
+    take of a document's words, repeats counted: at most MOST times each. A source's taken words
+    differ from its target by less than two of its blocks. Of a corpus with more than SLOTS blocks in the
+    mix, blocks are as many words longer, so a schedule has about SLOTS slots whatever its size.
 
     Null texts and texts without words have size 0 and taken 0. A null source is one of its own. Rows
     without doc_id are shuffled by their place in the table; repeated rows are rows of their own. An
@@ -127,6 +131,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
     rows = space.keep(rows.mapInArrow(_counted, widened(rows.drop("text"), size="long")), "sizes")
     sources = rows.groupBy(F.col("source").alias("name")).agg(
         F.sum("size").alias("source_size"), F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    words = sources.agg(F.sum("source_size").alias("n")).first()["n"] or 0
+    block_words = max(block_words, -(-round(words * BUDGET) // SLOTS))
     plan = space.keep(targets(sources.select(F.col("name").alias("source"), "source_size")).join(
         sources.select("name", "parts"), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn(
         "block_words", F.greatest(F.least(F.floor(F.col("source_size") / LEAST_BLOCKS), F.lit(block_words)), F.lit(1))
@@ -136,8 +142,6 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
         .otherwise(F.lit(0.0))), "plan")
     total = plan.agg(F.sum("share").alias("slots")).first()["slots"]
     slots = round(total or 0)
-    if slots > SLOTS:
-        raise ValueError(f"more than {SLOTS} slots: take larger blocks")
     known = rows.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop(
         "_source", "share")
     known = known.withColumn("_hash", F.xxhash64(F.coalesce(F.col("doc_id"), F.col("_rid")))).withColumn(
@@ -150,9 +154,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
     pieces = known.filter("size > 0").select(
         "_rid", "sid", "blocks", "block_words", "begin", end.alias("end"), "source_size",
         F.explode(F.sequence(block(F.col("begin")), block(end - 1))).alias("block"))
-    words = F.least("end", F.when(F.col("block") == F.col("blocks") - 1, F.col("source_size")).otherwise(
+    held = F.least("end", F.when(F.col("block") == F.col("blocks") - 1, F.col("source_size")).otherwise(
         (F.col("block") + 1) * F.col("block_words"))) - F.greatest("begin", F.col("block") * F.col("block_words"))
-    taken = pieces.select("_rid", "sid", "block", words.alias("words")).join(uses, ["sid", "block"]).groupBy(
+    taken = pieces.select("_rid", "sid", "block", held.alias("words")).join(uses, ["sid", "block"]).groupBy(
         F.col("_rid").alias("_row")).agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     return known.join(taken, F.col("_rid") == F.col("_row"), "left").select(
         "doc_id", "size", "source", "source_size", "target",
@@ -162,12 +166,15 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, space: Workspace | None
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix with all their columns: each as often as its taken words go into its words.
 
-    The share is rounded, so a document is there up to MOST times or not at all; one without words stays.
+    The share is rounded, so a document is there up to MOST times or not at all; one without words, its text
+    null or empty, stays. Rows are told apart by their place, whatever their doc_id; repeated rows are
+    rows of their own. No column is lost or replaced. An empty table gives no rows.
     """
     space = Workspace(docs.sparkSession, "mixed")
-    rows = space.keep(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "rows")
-    part = mix(rows.select(F.col("_mix_row").alias("doc_id"), "text", "source"), space=space).select(
-        F.col("doc_id").alias("_mix_id"),
-        F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("_mix_n"))
-    return rows.join(part, F.col("_mix_row") == F.col("_mix_id")).filter("_mix_n > 0").withColumn(
-        "_mix_k", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(docs.columns)
+    row, own, times, turn = unused(docs, "mix_row", "mix_id", "mix_n", "mix_k")
+    rows = space.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    part = mix(rows.select(F.col(row).alias("doc_id"), "text", "source"), space=space).select(
+        F.col("doc_id").alias(own),
+        F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias(times))
+    return rows.join(part, F.col(row) == F.col(own)).filter(F.col(times) > 0).withColumn(
+        turn, F.explode(F.sequence(F.lit(1), times))).drop(row, own, times, turn)

@@ -102,6 +102,39 @@ def test_mixed_rows_keep_their_columns(spark):
     assert out.filter(blank).count() == docs.filter(blank).count()
 
 
+def test_mixed_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(k, "some words here", "a", 7, 8, 9) for k in range(200)],
+                                 "doc_id long, text string, source string, _mix_row int, _MIX_N int, __mix_k int")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r)[3:] for r in out.collect()} == {(7, 8, 9)}
+
+
+@pytest.mark.parametrize("slots", [40, 700])
+def test_blocks_grow_with_the_corpus(spark, monkeypatch, slots):
+    """More words than slots of the usual blocks: a whole mix near its targets, in longer blocks."""
+    monkeypatch.setattr(mixing, "SLOTS", slots)
+    rng, rows = random.Random(2), []
+    for k in range(3000):
+        rows.append((k, "w " * rng.randrange(1, 120), rng.choice("aaaaab"), None, None, None))
+    sizes = {s: sum(r[1].count("w") for r in rows if r[2] == s) for s in "ab"}
+    words = -(-round(sum(sizes.values()) * 1.5) // slots)
+    assert words > 128
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows)
+    for source, want in poured(sizes).items():
+        taken = sum(r["taken"] for r in got if r["source"] == source)
+        assert abs(taken - want) <= 2 * min(words, max(128, sizes[source] // 64))
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_slots_beyond_the_circle(spark):
+    ids = [0, 1, 65_535, 65_536, (1 << 31) - 1, 1 << 31, (1 << 40) + 12_345]
+    half = lambda n, shift: (n >> shift & 0xFFFF) * mixing.GOLDEN % mixing.CIRCLE
+    for n in ids:
+        assert (half(n, 0) + half(n, 16) * 65536) % mixing.CIRCLE == n * mixing.GOLDEN % mixing.CIRCLE
+
+
 def test_empty_and_wordless_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(none).collect() == [] and mixing.mixed(none).collect() == []
