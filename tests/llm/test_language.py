@@ -1,5 +1,7 @@
 """Trigram vectors, prototypes and predicted languages."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -96,6 +98,32 @@ def test_recognised_rejects_only_what_is_und(spark):
     assert sorted(d for d in kept if d >= 200) == [d for d, *_ in odd] and 9 not in {r[0] for r in odd}
 
 
+def test_recognised_rejects_long_texts_in_no_language_learnt(spark):
+    learnt = rows()
+    alien = "бабушка печёт пирожки в деревне у реки и поёт песни "
+    noise = "".join(random.Random(3).choices("0123456789abcdef", k=900))
+    short = [(300, "бабушка печёт", None, None), (301, "x", None, None)]
+    docs = spark.createDataFrame(learnt + [(302, alien * 5, None, None), (303, noise, None, None)] + short, SCHEMA)
+    kept = [r["doc_id"] for r in language_hd.recognised(docs).collect()]
+    assert sorted(kept) == sorted([r[0] for r in learnt] + [300, 301])
+
+
+def test_recognised_keeps_short_clean_texts_in_every_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 300")
+    cut = docs.selectExpr("doc_id", "substring(text, 1, 160) as text", "lang", "source", "n_chars").filter(
+        "size(array_distinct(split(text, ' '))) > 12")  # not one word over and over
+    learnt = docs.unionAll(cut.selectExpr("doc_id + 1000000", "text", "cast(null as string)", "source", "n_chars"))
+    assert language_hd.recognised(learnt).count() == learnt.count()
+
+
+def test_recognised_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(d, t, lang, 5, 6, 7, "t") for d, t, lang, _ in rows()],
+                                 "doc_id long, text string, lang string, Score int, _score_ int, lang_pred int, _text string")
+    kept = language_hd.recognised(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows())
+    assert {(r["Score"], r["_score_"], r["lang_pred"], r["_text"]) for r in kept.collect()} == {(5, 6, 7, "t")}
+
+
 def test_empty_tables_and_no_labels(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert language_hd.learn(none) == {}
