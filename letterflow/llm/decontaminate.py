@@ -22,6 +22,11 @@ SURELY = PASSAGE + STRIDE - 1
 BYTES_PER_EDIT = 12
 #: Diagonals of a band; bands overlap by half, which holds all diagonals of one match.
 BAND = 32
+#: Texts are searched in windows that begin every STEP bytes and share OVERLAP, more than a match is long;
+#: equal windows are searched once, so texts that repeat themselves or each other cost no more.
+STEP, OVERLAP = 1792, 256
+#: Pairs of a place in a text and one in an item that are held at once.
+PAIRS = 1 << 21
 #: Bytes of items searched in one pass over the documents.
 ITEM_BYTES = 1 << 20
 HITS = "doc_id long, item_id long, windows int, edits int, begin int, end int"
@@ -34,8 +39,8 @@ _COST = 1 << 20
 
 
 def budget(length):
-    """Edits a pattern may have."""
-    return length // BYTES_PER_EDIT
+    """Edits a pattern may have: one for BYTES_PER_EDIT bytes, as far as they leave one of its q-grams whole."""
+    return np.minimum(length // BYTES_PER_EDIT, np.maximum(length - Q, 0) // Q)
 
 
 def least_shared(length):
@@ -99,14 +104,15 @@ class Index:
         for size in np.diff(self.at):
             self.patterns.append(patterns(int(size)))
         lengths = np.array([min((n for _, n in p), default=0) for p in self.patterns])
-        self.least = np.where(lengths > 0, np.maximum(least_shared(lengths), 1), 1 << 60)
+        self.least = np.where(lengths > 0, least_shared(lengths), 1 << 60)
         where = np.flatnonzero(_inside(self.at))
         grams = _grams(self.text)[where]
         order = np.argsort(grams, kind="stable")
         self.grams, first = np.unique(grams[order], return_index=True)
         self.first = np.append(first, len(grams))
-        item = np.searchsorted(self.at, where, "right") - 1
-        self.item, self.place = item[order], (where - self.at[item])[order]
+        self.place = where[order].astype(np.int32)
+        self.item = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.at))
+        self.longest = int(np.diff(self.at).max()) if len(rows) else 0
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.grams * _FACTOR) >> U64(64 - _BITS)] = True
 
@@ -115,70 +121,94 @@ class Index:
         text, begin, keep = normalise(raw, at)
         if not len(self.grams) or not len(text):
             return []
-        grams = _grams(text)
-        where = np.flatnonzero(self.seen[(grams * _FACTOR) >> U64(64 - _BITS)])
-        row = np.searchsorted(begin, where, "right") - 1
-        fits = where + Q <= begin[row + 1]
-        where, row = where[fits], row[fits]
-        gram = np.searchsorted(self.grams, grams[where])
-        found = self.grams[np.minimum(gram, len(self.grams) - 1)] == grams[where]
-        where, row, gram = where[found], row[found], gram[found]
-        count = self.first[gram + 1] - self.first[gram]
-        each = np.repeat(np.arange(len(where)), count)
-        if not len(each):
+        windows: dict[bytes, list[tuple[int, int]]] = {}
+        for r, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
+            for start in range(a, max(a + 1, b - OVERLAP), STEP):
+                windows.setdefault(text[start:min(start + STEP + OVERLAP, b)].tobytes(), []).append((r, start))
+        found = self._found(list(windows))
+        best: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int, int]]] = {}
+        for (w, i), parts in found.items():
+            for r, start in windows[w]:
+                own = best.setdefault((r, i), {})
+                for part, (edits, b, e) in parts.items():
+                    here = edits, start + b, start + e
+                    own[part] = min(own.get(part, here), here)
+        if not best:
             return []
-        posting = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + self.first[gram][each]
-        item, place = self.item[posting], self.place[posting]
-        offset = int(np.diff(self.at).max())
-        diagonal = (where - begin[row])[each] - place + offset
-        pair = row[each] * len(self.ids) + item
+        back = np.flatnonzero(keep)
+        out = []
+        for (r, i), parts in sorted(best.items()):
+            b, e = min(p[1] for p in parts.values()), max(p[2] for p in parts.values())
+            first = back[min(max(b, begin[r]), begin[r + 1] - 1)] - at[r]
+            last = back[min(max(e, b + 1), begin[r + 1]) - 1] + 1 - at[r]
+            out.append((r, i, len(parts), int(sum(p[0] for p in parts.values())), int(first), int(last)))
+        return out
+
+    def _found(self, windows: list[bytes]) -> dict[tuple[bytes, int], dict[tuple[int, int], tuple[int, int, int]]]:
+        """Of each window and item found in it: fewest edits, begin and end of each pattern that is there."""
+        text = np.frombuffer(b"".join(windows), np.uint8)
+        begin = np.concatenate([[0], np.cumsum([len(w) for w in windows])]).astype(np.int64)
+        hits, span = self._hits(text, begin)
+        if not len(hits):
+            return {}
+        # distinct places of items that a half-band of diagonals holds, by window, item and half-band
+        band, place = hits // len(self.text), hits % len(self.text)
+        item = self.item[place]
+        key = (band // span * len(self.ids) + item) * span + band % span
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], (place - self.at[item])[order]
+        halves, first, n = np.unique(key, return_index=True, return_counts=True)
+        first = np.append(first, len(key))
         # bands k and k + 1 of half their width both hold the half-band k + 1
-        half = diagonal // (BAND // 2)
-        span = int(half.max()) + 2
-        key = pair * span + half
-        halves, n = np.unique(key, return_counts=True)
         total = n.copy()
-        follows = np.flatnonzero((halves[1:] == halves[:-1] + 1) & (halves[1:] % span != 0))
-        total[follows] += n[follows + 1]
-        # the band that ends with a half-band holds what began before it, too
-        alone = n >= self.least[halves // span % len(self.ids)]
-        chosen = halves[(total >= self.least[halves // span % len(self.ids)]) | alone]
-        if not len(chosen):
-            return []
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
+        follows = (halves[1:] == halves[:-1] + 1) & (halves[1:] % span != 0)
+        total[:-1][follows] += n[1:][follows]
+        follows = np.append(follows, False)
         candidates = []
-        for k in chosen:
-            a, b = np.searchsorted(key, [k, k + 2])
-            own = np.unique(place[a:b])
-            pair_, band = divmod(int(k), span)
-            r, i = divmod(pair_, len(self.ids))
+        for h in np.flatnonzero(total >= self.least[halves // span % len(self.ids)]).tolist():
+            own = np.unique(place[first[h]:first[h + 2 if follows[h] else h + 1]])
+            pair, half = divmod(int(halves[h]), span)
+            w, i = divmod(pair, len(self.ids))
             for start, length in self.patterns[i]:
                 shared = np.searchsorted(own, start + length - Q + 1) - np.searchsorted(own, start)
-                if shared >= max(1, least_shared(length)):
-                    candidates.append((r, i, start, length, band * (BAND // 2) - offset))
-        return self._verified(candidates, text, begin, keep, at)
-
-    def _verified(self, candidates, text, begin, keep, at):
-        matched: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int, int]]] = {}
+                if shared >= least_shared(length):
+                    candidates.append((w, i, start, length, half * (BAND // 2) - self.longest))
+        out: dict[tuple[bytes, int], dict[tuple[int, int], tuple[int, int, int]]] = {}
         for low in range(0, len(candidates), 512):
-            for (r, i, start, length, _), (edits, b, e) in zip(
-                    candidates[low:low + 512], self._align(candidates[low:low + 512], text, begin)):
+            some = candidates[low:low + 512]
+            for (w, i, start, length, _), (edits, b, e) in zip(some, self._align(some, text, begin)):
                 if edits is not None:
-                    best = matched.setdefault((r, i), {})
-                    part = start, length
-                    best[part] = min(best.get(part, (edits, b, e)), (edits, b, e))
-        if not matched:
-            return []
-        back = np.flatnonzero(keep)
-        out = []
-        for (r, i), windows in sorted(matched.items()):
-            b, e = min(w[1] for w in windows.values()), max(w[2] for w in windows.values())
-            first = back[min(max(b, begin[r]), begin[r + 1] - 1)] - at[r]
-            last = back[min(max(e, b + 1), begin[r + 1]) - 1] + 1 - at[r]
-            out.append((r, i, len(windows), sum(w[0] for w in windows.values()), int(first), int(last)))
+                    parts, here = out.setdefault((windows[w], i), {}), (edits, b - int(begin[w]), e - int(begin[w]))
+                    parts[start, length] = min(parts.get((start, length), here), here)
         return out
 
+    def _hits(self, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, int]:
+        """Distinct (window, half-band of diagonals, place in the items) that share a q-gram, and half-bands of a window.
+
+        Places are joined PAIRS at a time, of which only distinct ones are kept.
+        """
+        span = (STEP + OVERLAP + self.longest) // (BAND // 2) + 2
+        grams = _grams(text)
+        where = np.flatnonzero(self.seen[(grams * _FACTOR) >> U64(64 - _BITS)])
+        row = np.searchsorted(begin, where, "right") - 1
+        fits = where + Q <= begin[row + 1]
+        where, row = where[fits], row[fits]
+        gram = np.searchsorted(self.grams, grams[where])
+        known = self.grams[np.minimum(gram, len(self.grams) - 1)] == grams[where]
+        where, row, gram = where[known], row[known], gram[known]
+        count = self.first[gram + 1] - self.first[gram]
+        upto, out, low = np.cumsum(count), [np.zeros(0, np.int64)], 0
+        while low < len(where):
+            before = upto[low] - count[low]
+            high = max(low + 1, int(np.searchsorted(upto, before + PAIRS, "right")))
+            each = np.repeat(np.arange(low, high), count[low:high])
+            posting = np.arange(len(each)) - (upto - count)[each] + before + self.first[gram[each]]
+            place = self.place[posting].astype(np.int64)
+            diagonal = where[each] - begin[row[each]] - (place - self.at[self.item[place]]) + self.longest
+            out.append(np.unique((row[each] * span + diagonal // (BAND // 2)) * len(self.text) + place))
+            low = high
+        return (np.unique(np.concatenate(out)) if len(out) > 2 else out[-1]), span
+
     def _align(self, candidates, text, begin):
         """Fewest edits of each pattern anywhere in its band, with begin and end in the text, or None."""
         n = len(candidates)
@@ -231,14 +261,15 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shorter item, and the passages of PASSAGE bytes at every STRIDE of an item that is longer than
     one. So any verbatim excerpt of SURELY normalised bytes is found wherever it begins, and a
     shorter one of PASSAGE bytes or more if a passage begins early enough in it; an item of up to
-    PASSAGE bytes is found as a whole only.
+    PASSAGE bytes is found as a whole only, and one of fewer than 2 * Q bytes without any edit.
 
     The benchmark is the query set: it is read in sets of at most about ITEM_BYTES, and all documents
     are searched for each. No match within the budget is lost: it shares at least `least_shared`
     q-grams with its pattern, on diagonals that lie in one band, and only bands with as many are
-    aligned. Null and empty texts have no matches; items with equal texts are one, by the smallest
-    item_id (-1 if that is null); items of fewer than Q bytes can't be found. Repeated rows give
-    repeated rows. Empty tables give no rows.
+    aligned. Very long texts are searched in windows, and memory doesn't grow with how often a text
+    or item repeats a q-gram. Null and empty texts have no matches; items with equal texts are one, by
+    the smallest item_id (-1 if that is null); items of fewer than Q bytes can't be found. Repeated
+    rows give repeated rows. Empty tables give no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], HITS)
@@ -272,7 +303,11 @@ def _finder(ids: list[int], items: list[str]):
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found, with all their columns; no row is moved."""
+    """The documents in which no benchmark item is found, with all their columns; no row is moved.
+
+    Null and empty texts stay. Repeated rows stay or go together. Without items all rows stay; an empty
+    table gives none.
+    """
     for ids, items in indexes(benchmark):
         docs = docs.mapInArrow(_remover(ids, items), docs.schema)
     return docs
