@@ -388,9 +388,7 @@ firsts AS (SELECT b.NHS1 AS NHS_NUMBER, a.Surname AS SURNAME, a.FirstName AS FOR
 plain AS (SELECT * EXCLUDE (first_address), replace(first_address, ',', '') AS ADDRESS_1 FROM firsts)"""
 FILE_COLUMNS = ("NHS_NUMBER", "SURNAME", "FORENAME", "DATE_OF_BIRTH", "GENDER_CD", "POSTCODE",
                 "ADDRESS_1")
-BUCKET = "substr(md5(concat_ws('|', " + ", ".join(
-    f"coalesce(CAST({c} AS VARCHAR), '~')" for c in FILE_COLUMNS) + ")), 1, 4)"
-FILE = f"""file AS (SELECT *, row_number() OVER (ORDER BY {BUCKET}, {', '.join(
+FILE = f"""file AS (SELECT *, row_number() OVER (ORDER BY {', '.join(
     c + ' NULLS LAST' for c in FILE_COLUMNS)}) AS SYSTEM_ID,
     CAST('{q.AS_OF}' AS DATE) AS CREATE_DATE FROM plain)"""
 MATCHED = f"""people AS (SELECT * REPLACE (upper(Surname) AS Surname), {GENDER} AS GENDER_CD FROM annotated),
@@ -491,3 +489,8 @@ select("without_clinic_date", ["dates_v"], "SELECT * FROM dates_v WHERE Clinic_D
 select("date_order_check", ["dates_v"], f"""
 SELECT LETTER, SYSTEM_ID, {text_date('Clinic_Date')} AS Clinic_Date, {text_date('LetDate')} AS LetDate
 FROM dates_v WHERE {text_date('Clinic_Date')} > {text_date('LetDate')}""")
+
+# --- the same results by way of ranges -------------------------------------------------------
+
+for _name in ("severity", "severity_basic", "prev_record", "prev_same_code_rate", "split_dose_qty", "daily_dose"):
+    ORACLES[f"{_name}_ranged"] = ORACLES[_name]

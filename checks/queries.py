@@ -14,7 +14,7 @@ from letterflow.plans import prescriptions as prescription_plan
 from letterflow.plans import validation as validation_sql
 from letterflow.sources.scan import null_tokens
 from letterflow.sources.schemas import KINDS
-from letterflow.sources.sink import keep, new_folder
+from letterflow.sources.sink import new_folder
 
 # Lookup values for the test tables: generic names, top doses, groups and types.
 NAME_MAP = (
@@ -190,6 +190,18 @@ def daily_dose(spark, d):
     return doses(spark, d).select(*ROW, "DailyDose")
 
 
+@query
+def split_dose_qty_ranged(spark, d):
+    """Split doses across ranges that cut any letter."""
+    return doses(spark, d, path=new_folder(spark, "doses")).select(
+        *ROW, "Quantity_mg", "AnotherDose", "Q2ndDose", "Q3rdDose")
+
+
+@query
+def daily_dose_ranged(spark, d):
+    return doses(spark, d, path=new_folder(spark, "doses")).select(*ROW, "DailyDose")
+
+
 @query
 def generic_name(spark, d):
     return dose.generic_name(load(spark, d, "presc_v"), NAME_MAP).select(*ROW, "PREF")
@@ -325,6 +337,29 @@ def severity_basic(spark, d):
     return frequency.severity_table(load(spark, d, "sf_v"), "basic")
 
 
+@query
+def severity_ranged(spark, d):
+    """Look-backs across ranges that cut any person."""
+    return frequency.severity_table(load(spark, d, "sf_v"), path=new_folder(spark, "reports"))
+
+
+@query
+def severity_basic_ranged(spark, d):
+    return frequency.severity_table(load(spark, d, "sf_v"), "basic", path=new_folder(spark, "reports"))
+
+
+@query
+def prev_record_ranged(spark, d):
+    return frequency.frequency_table(load(spark, d, "sf_v"), path=new_folder(spark, "reports")).select(
+        "LETTER", "SYSTEM_ID", "DATEREC", "PrevRecDate")
+
+
+@query
+def prev_same_code_rate_ranged(spark, d):
+    return frequency.frequency_table(load(spark, d, "sf_v"), path=new_folder(spark, "reports")).select(
+        "LETTER", "DailyRateF", "PrevCUIFreq")
+
+
 def scored(spark, d):
     return frequency_plan.scored_reports(
         load(spark, d, "sf_v"), path=new_folder(spark, "scores"))
@@ -446,7 +481,7 @@ def file(spark, d):
 
 
 def kept_file(spark, d):
-    return keep(file(spark, d), new_folder(spark, "identity"))
+    return identity.bucketed_identity(file(spark, d), new_folder(spark, "bucketed-identity"))
 
 
 @query

@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from letterflow.functions.lookups import ONCE_DAILY_CODES, generic_names
 from letterflow.functions.scalars import round2, safe_divide
 from letterflow.operators.joins import lookup_join
+from letterflow.operators.ranges import (
+    AT, PART, AcrossRanges, InWindow, ends, ranged, with_halos, without_halos)
 from letterflow.operators.skew import LANE, in_lanes
 
 # Order of the rows of a letter. The columns after END only settle ties.
@@ -24,27 +26,32 @@ def _ascending(columns):
     return [F.asc_nulls_last(c) for c in columns]
 
 
-def _window(doc, order):
-    """Neighbours within a letter.
+def _group(doc, order):
+    """What neighbours share.
 
     All rules compare START, so under an order led by START the span is part of
-    the partition; rows of other spans are then seen as absent, which reads the
+    the group; rows of other spans are then seen as absent, which reads the
     same as a different START.
     """
-    span = ("START",) if order[0] == "START" else ()
-    return Window.partitionBy(doc, *span, LANE).orderBy(*_ascending(order))
+    return [doc, "START"] if order[0] == "START" else [doc]
+
+
+def _near(doc, order):
+    """Neighbours within a letter."""
+    return InWindow(Window.partitionBy(*_group(doc, order), LANE).orderBy(*_ascending(order)))
 
 
 def _in_lanes(df, doc, order, hot_rows, hot=None):
     if order[0] != "START":
-        # Only letters' own rows can be interleaved; those of no letter are spread.
+        # Only letters' own rows can be interleaved; those of no letter are spread. A common
+        # letter is cut only by `total_daily_dose` with a path.
         return in_lanes(df, [doc], [doc, *RUN], _ascending(order), REACH)
     return in_lanes(df, [doc], [doc, *RUN], _ascending(order), REACH, hot_rows, hot)
 
 
-def _beside(df, w, offsets):
+def _beside(df, near, offsets):
     """Columns `_<name><k>`: the value k rows on (back if negative), for {name: [k, ...]}."""
-    return df.withColumns({_at(name, k): F.lead(name, k).over(w)
+    return df.withColumns({_at(name, k): near.at(name, k)
                            for name, ks in offsets.items() for k in ks})
 
 
@@ -56,7 +63,7 @@ def _without(df, offsets):
     return df.drop(*[_at(name, k) for name, ks in offsets.items() for k in ks])
 
 
-def _flag(df, doc, w):
+def _flag(df, doc, near):
     seen = {"START": (-1, -2), "CUI": (-1, -2), "FREQUENCY": (-1, -2)}
     start = {k: F.col(_at("START", k)) for k in (-1, -2)}
     same_start = {k: F.col("START") == start[k] for k in start}
@@ -71,11 +78,11 @@ def _flag(df, doc, w):
     inner = F.when(F.col("START").isNotNull() & F.col("CUI").isNotNull()
                    & (F.col("FREQUENCY") == 1), "3rd")
     flag = F.when(F.col(LANE) == 0, neighbours).otherwise(inner)
-    rows = _beside(df, w, seen).withColumn("AnotherDose", F.when(F.col(doc).isNotNull(), flag))
+    rows = _beside(df, near, seen).withColumn("AnotherDose", F.when(F.col(doc).isNotNull(), flag))
     return _without(rows, seen)
 
 
-def _quantities(df, w, rule):
+def _quantities(df, near, rule):
     seen = {"START": (-1, -2), "CUI": (-1, -2), "Quantity_mg": (-1, -2, 1), "AnotherDose": (1,)}
     second = F.col("AnotherDose") == "2nd"
     if rule == "previous":
@@ -89,10 +96,10 @@ def _quantities(df, w, rule):
         raise ValueError(f"unknown rule {rule!r}")
     third = F.col(_at("AnotherDose", 1)) == "3rd"
     q3 = F.when(second & third, F.col(_at("Quantity_mg", 1)))
-    return _without(_beside(df, w, seen).withColumns({"Q2ndDose": q2, "Q3rdDose": q3}), seen)
+    return _without(_beside(df, near, seen).withColumns({"Q2ndDose": q2, "Q3rdDose": q3}), seen)
 
 
-def _daily(df, doc, w, null_freq_codes):
+def _daily(df, doc, near, null_freq_codes):
     seen = {"START": (1, 2)}
     quantity, frequency = F.col("Quantity_mg"), F.col("FREQUENCY")
     second = F.col("AnotherDose") == "2nd"
@@ -111,7 +118,7 @@ def _daily(df, doc, w, null_freq_codes):
         .when(unflagged & F.col("Q2ndDose").isNull() & F.col("Q3rdDose").isNull()
               & alone & (frequency == 1), quantity)
         .when(frequency.isNull() & unflagged & F.col("CUI").isin(*null_freq_codes), quantity))
-    return _without(_beside(df, w, seen).withColumn("DailyDose", daily), seen)
+    return _without(_beside(df, near, seen).withColumn("DailyDose", daily), seen)
 
 
 def split_dose_flag(df, doc="LETTER", order=DOSE_ORDER, hot_rows=None, hot=None):
@@ -121,7 +128,7 @@ def split_dose_flag(df, doc="LETTER", order=DOSE_ORDER, hot_rows=None, hot=None)
     window then covers the whole letter. `hot` names letters too common for one
     task, as from `hot_keys` on a base table.
     """
-    return _flag(_in_lanes(df, doc, order, hot_rows, hot), doc, _window(doc, order)).drop(LANE)
+    return _flag(_in_lanes(df, doc, order, hot_rows, hot), doc, _near(doc, order)).drop(LANE)
 
 
 def split_dose_qty(df, rule="matched", doc="LETTER", order=DOSE_ORDER, hot_rows=None,
@@ -132,23 +139,41 @@ def split_dose_qty(df, rule="matched", doc="LETTER", order=DOSE_ORDER, hot_rows=
     "previous" always takes the row before.
     """
     rows = _in_lanes(df, doc, order, hot_rows, hot)
-    return _quantities(rows, _window(doc, order), rule).drop(LANE)
+    return _quantities(rows, _near(doc, order), rule).drop(LANE)
 
 
 def daily_dose(df, null_freq_codes=ONCE_DAILY_CODES, doc="LETTER", order=DOSE_ORDER,
                hot_rows=None, hot=None):
     """`DailyDose` from the flag, the quantities and the following rows."""
     rows = _in_lanes(df, doc, order, hot_rows, hot)
-    return _daily(rows, doc, _window(doc, order), null_freq_codes).drop(LANE)
+    return _daily(rows, doc, _near(doc, order), null_freq_codes).drop(LANE)
 
 
 def total_daily_dose(df, rule="matched", null_freq_codes=ONCE_DAILY_CODES, doc="LETTER",
-                     order=DOSE_ORDER, hot_rows=None, hot=None):
-    """Quantity, split doses and daily dose in one go: one shuffle, one sort."""
-    w = _window(doc, order)
-    rows = _in_lanes(quantity_mg(df), doc, order, hot_rows, hot)
-    rows = _quantities(_flag(rows, doc, w), w, rule)
-    return _daily(rows, doc, w, null_freq_codes).drop(LANE)
+                     order=DOSE_ORDER, hot_rows=None, hot=None, path=None):
+    """Quantity, split doses and daily dose in one go: one shuffle, one sort.
+
+    A letter's rows (under an order led by START, a span's) meet in one task. `hot` names
+    letters too common for that. With `path`, a new folder, no list is needed, and any
+    order will do: the rows are kept there in order, in ranges that cut any letter, and
+    neighbours are found across the ranges' ends. Results are the same.
+    """
+    rows = quantity_mg(df)
+    if path is None:
+        near = _near(doc, order)
+        rows = _in_lanes(rows, doc, order, hot_rows, hot)
+        rows = _quantities(_flag(rows, doc, near), near, rule)
+        return _daily(rows, doc, near, null_freq_codes).drop(LANE)
+    group = _group(doc, order)
+    rows = ranged(rows, [doc, *order], path).withColumn(LANE, F.lit(0))
+    beside = InWindow(Window.partitionBy(*group).orderBy(PART, AT))
+    # The flag of the next row follows from rows up to two before it.
+    known = _flag(ends(rows, 2 * REACH), doc, beside)
+    fields = [*group, "START", "CUI", "FREQUENCY", "Quantity_mg", "AnotherDose"]
+    rows = with_halos(rows, known, list(dict.fromkeys(fields)), back=REACH - 1, ahead=REACH - 1)
+    near = AcrossRanges(group)
+    rows = _quantities(_flag(rows, doc, near), near, rule)
+    return without_halos(_daily(rows, doc, near, null_freq_codes).drop(LANE))
 
 
 def generic_name(df, name_map=None, out="PREF"):

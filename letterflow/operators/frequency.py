@@ -11,6 +11,8 @@ from letterflow.functions.lookups import (
     RATE_LOWEST, WEEKS_PER_MONTH)
 from letterflow.functions.scalars import date_from_parts, safe_divide
 from letterflow.operators.joins import join_null_safe, lookup_join
+from letterflow.operators.ranges import (
+    AT, PART, AcrossRanges, InWindow, ends, ranged, with_halos, without_halos)
 from letterflow.operators.skew import LANE, hot_keys, in_lanes
 
 VARIANTS = ("basic", "expanded")
@@ -36,14 +38,14 @@ def _order(df):
 
 
 def _history(df, hot_rows=None, hot=None):
-    """The rows in lanes, and the window over each person's rows in time order.
+    """The rows in lanes, and what stands beside a row of a person in time order.
 
     Only the ends of a date's rows meet other dates, and a person has few dates,
     so lane 0 of a person is small whatever the number of rows.
     """
     order = _order(df)
     rows = in_lanes(df, [PERSON], [PERSON, "DATEREC"], order, DEPTH, hot_rows, hot)
-    return rows, Window.partitionBy(PERSON, LANE).orderBy(*order)
+    return rows, InWindow(Window.partitionBy(PERSON, LANE).orderBy(*order))
 
 
 # --- row by row ------------------------------------------------------------------------
@@ -179,17 +181,16 @@ def severity(df, free_below=FREE_DAYS_BELOW, rate_above=RATE_ABOVE):
 
 # --- looking back ------------------------------------------------------------------------
 
-def _prev_record_date(df, w):
-    before = F.lag("DATEREC", 1).over(w)
+def _prev_record_date(df, near):
+    before = near.at("DATEREC", -1)
     usable = (F.col(LANE) == 0) & F.col(PERSON).isNotNull()
     return df.withColumn("PrevRecDate", F.when(usable & (F.col("DATEREC") > before), before))
 
 
-def _steps_back(df, w, depth=DEPTH):
+def _steps_back(df, near, depth=DEPTH):
     """`_steps`: how many rows back the same code stands with an earlier date."""
     steps = range(1, depth + 1)
-    rows = df.withColumns({f"_{c}{k}": F.lag(c, k).over(w)
-                           for k in steps for c in ("CUI", "DATEREC")})
+    rows = df.withColumns({f"_{c}{k}": near.at(c, -k) for k in steps for c in ("CUI", "DATEREC")})
     found = F.lit(None).cast("int")
     for k in reversed(steps):
         same = (F.col("CUI") == F.col(f"_CUI{k}")) & (F.col("DATEREC") > F.col(f"_DATEREC{k}"))
@@ -199,14 +200,14 @@ def _steps_back(df, w, depth=DEPTH):
         *[f"_{c}{k}" for k in steps for c in ("CUI", "DATEREC")])
 
 
-def _value_back(df, w, value, out, depth=DEPTH, only_if_null=None):
+def _value_back(df, near, value, out, depth=DEPTH, only_if_null=None):
     """The value `_steps` rows back, NULL or not."""
     steps = F.col("_steps")
     if only_if_null is not None:
         steps = F.when(F.col(only_if_null).isNull(), steps)
-    found = F.when(steps == 1, F.lag(value, 1).over(w))
+    found = F.when(steps == 1, near.at(value, -1))
     for k in range(2, depth + 1):
-        found = found.when(steps == k, F.lag(value, k).over(w))
+        found = found.when(steps == k, near.at(value, -k))
     return df.withColumn(out, found)
 
 
@@ -231,38 +232,62 @@ def prev_same_code(df, value, out, depth=DEPTH, only_if_null=None, hot_rows=None
     """
     if depth > DEPTH:
         raise ValueError(f"depth is at most {DEPTH}")
-    rows, w = _history(df, hot_rows, hot)
-    rows = _value_back(_steps_back(rows, w, depth), w, value, out, depth, only_if_null)
+    rows, near = _history(df, hot_rows, hot)
+    rows = _value_back(_steps_back(rows, near, depth), near, value, out, depth, only_if_null)
     return rows.drop("_steps", LANE)
 
 
 # --- put together --------------------------------------------------------------------------
 
-def frequency_table(df, variant="expanded", hot_rows=None, hot=None):
+def _row_rules(df, variant):
+    rows = record_year(event_date(df))
+    return stated_rate(period_days(period_count(event_count(rows, variant))), variant)
+
+
+def _dated_rates(rows, near, variant):
+    """Look-backs for dates, and the rates that follow from them."""
+    if _check(variant):
+        rows = _prev_record_date(rows, near)
+    rows = _value_back(_steps_back(rows, near), near, "DATEREC", "PrevRecCUI")
+    return seizure_free_days(since_rate(days_diff(rows, variant), variant))
+
+
+def _carried_rates(rows, near, variant):
+    """The look-back for rates, and what is left to do after it."""
+    rows = _value_back(rows, near, "DailyRateF", "PrevCUIFreq", only_if_null="DailyRateF")
+    return severity(final_rate(carry_forward_same(rows, variant))).drop("_steps", LANE)
+
+
+def frequency_table(df, variant="expanded", hot_rows=None, hot=None, path=None):
     """All columns from report to severity. One shuffle and one sort serve every look-back.
 
-    `hot` names people too common for one task, as from `hot_keys` on a base table.
+    A person's rows meet in one task. `hot` names people too common for that, as from
+    `hot_keys` on a base table. With `path`, a new folder, no list is needed: the reports
+    are kept there in order, in ranges that cut any person, and looked back over
+    across the ranges' ends. Results are the same.
     """
-    expanded = _check(variant)
-    rows = record_year(event_date(df))
-    rows = stated_rate(period_days(period_count(event_count(rows, variant))), variant)
-    rows, w = _history(rows, hot_rows, hot)
-    if expanded:
-        rows = _prev_record_date(rows, w)
-    rows = _value_back(_steps_back(rows, w), w, "DATEREC", "PrevRecCUI")
-    rows = seizure_free_days(since_rate(days_diff(rows, variant), variant))
-    rows = _value_back(rows, w, "DailyRateF", "PrevCUIFreq", only_if_null="DailyRateF")
-    rows = final_rate(carry_forward_same(rows, variant))
-    return severity(rows).drop("_steps", LANE)
+    rows = _row_rules(df, variant)
+    if path is None:
+        rows, near = _history(rows, hot_rows, hot)
+        return _carried_rates(_dated_rates(rows, near, variant), near, variant)
+    order = [PERSON, *[c for c in ORDER if c in rows.columns]]
+    rows = ranged(rows, order, path).withColumn(LANE, F.lit(0))
+    # A rate looked back for follows from rows up to DEPTH further back.
+    known = ends(rows, 2 * DEPTH)
+    beside = InWindow(Window.partitionBy(PERSON).orderBy(PART, AT))
+    known = _dated_rates(known, beside, variant)
+    rows = with_halos(rows, known, [PERSON, "DATEREC", "CUI", "DailyRateF"], back=DEPTH)
+    near = AcrossRanges([PERSON])
+    return without_halos(_carried_rates(_dated_rates(rows, near, variant), near, variant))
 
 
 WORKING = ("PrevRecCUI", "PrevRecDate", "NumS", "NTP", "DailyRate", "DailyRate2", "DailyRateF",
            "PrevCUIFreq", "PrevRateCUI_Same6m")
 
 
-def severity_table(df, variant="expanded", hot_rows=None, hot=None):
+def severity_table(df, variant="expanded", hot_rows=None, hot=None, path=None):
     """The reports with event dates, days, final rate and severity."""
-    table = frequency_table(df, variant, hot_rows, hot).drop(*WORKING)
+    table = frequency_table(df, variant, hot_rows, hot, path).drop(*WORKING)
     if variant == "basic":
         table = table.drop("TotalTPDays", "DATEREC_Year")
     return table

@@ -7,6 +7,8 @@ from pyspark.sql import Window, functions as F
 from letterflow.functions.lookups import DISSOCIATIVE_CODES
 from letterflow.functions.scalars import gender_code, normalise_id
 from letterflow.operators.joins import join_null_safe
+from letterflow.operators.ranges import AT, PART, SIZE, ranged, sizes
+from letterflow.sources.sink import keep, keep_bucketed, new_folder
 
 IDENTITY = ("NHS_No", "Surname", "FirstName", "DoB", "Gender", "PostCode", "Address")
 # Who a record is about, when the NHS number is not written.
@@ -14,8 +16,8 @@ PERSON_KEYS = ("Surname", "FirstName", "DoB", "GENDER_CD", "PostCode")
 FILE_NAMES = {"NHS_No": "NHS_NUMBER", "Surname": "SURNAME", "FirstName": "FORENAME",
               "DoB": "DATE_OF_BIRTH", "PostCode": "POSTCODE"}
 
-# Hexadecimal digits of the bucket that a row id is counted in: 65,536 buckets.
-BUCKET_DIGITS = 4
+# The five person keys as one column.
+KEY = "_person"
 
 
 def _tables(dfs):
@@ -45,56 +47,76 @@ def individuals_known(ind):
             .withColumnRenamed("NHS_No", "NHS1"))
 
 
-def with_row_ids(df, out="SYSTEM_ID"):
-    """Number distinct rows 1..n, the same way on every run.
+def with_row_ids(df, path=None, out="SYSTEM_ID"):
+    """Number rows 1..n in the order of their columns, NULL last, the same way on every run.
 
-    Rows are counted within buckets of a hash of the row. Rows are distinct, so
-    buckets are even and none can be common. Only the bucket sizes (at most
-    65,536 numbers) meet in one task.
+    The rows are kept in `path`, a new folder, in ranges of that order; a row's number is its
+    place in its range after the rows of the ranges before, of which one task sums one number
+    each. No key meets in one task. Equal rows get numbers next to each other.
     """
     columns = df.columns
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    placed = df.withColumn("_bucket", F.substring(F.md5(text), 1, BUCKET_DIGITS))
-    in_bucket = Window.partitionBy("_bucket").orderBy(*[F.asc_nulls_last(c) for c in columns])
-    placed = placed.withColumn("_place", F.row_number().over(in_bucket))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (placed.groupBy("_bucket").agg(F.max("_place").alias("_size"))
-               .select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0))
-                       .alias("_offset")))
-    return (placed.join(F.broadcast(offsets), "_bucket")
-            .withColumn(out, F.col("_offset") + F.col("_place"))
-            .select(*columns, out))
-
-
-def identity_file(ind, as_of):
+    rows = ranged(df, columns, path or new_folder(df.sparkSession, "row-ids"))
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes(rows).select(F.col(PART).alias("_of"), F.coalesce(F.sum(SIZE).over(before), F.lit(0)).alias("_offset"))
+    return rows.join(F.broadcast(offsets), F.col(PART) == F.col("_of")).withColumn(
+        out, F.col("_offset") + F.col(AT) + 1).select(*columns, out)
+
+
+def person_key(keys=PERSON_KEYS):
+    """The person keys as one text: equal if and only if all keys are, NULL with NULL."""
+    def part(k):
+        text = F.col(k).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+    return F.concat(*[part(k) for k in keys])
+
+
+def identity_file(ind, as_of, path=None):
     """One row per person, post code and NHS number, with a dense SYSTEM_ID.
 
     An identity without any known NHS number stays with NULL. The address is the
-    first one, in text order, of the identity. `as_of` is the load date.
+    first one, in text order, of the identity. `as_of` is the load date. Ids follow the
+    order of the file's columns.
 
-    One shuffle by the five person keys serves the first address, the count of known
-    numbers and the removal of repeats. Surname and date of birth are known, so no
-    such group is large.
+    Two aggregates, each combined before it is shuffled: first the numbers of every person,
+    with the first address beside each, then the first address of all and how many numbers
+    are known. So a placeholder person with any number of addresses is one row a task. The
+    numbers are kept in the new folder `path`, which evaluates `ind` once, and the file after them.
     """
+    path = path or new_folder(ind.sparkSession, "identity")
     known = ind.filter(F.col("DoB").isNotNull() & F.col("Surname").isNotNull())
     rows = known.withColumn("GENDER_CD", gender_code("Gender"))
-    person = Window.partitionBy(*PERSON_KEYS)
-    file = rows.withColumns({"ADDRESS_1": F.translate(F.min("Address").over(person), ",", ""),
-                             "_known": F.count("NHS_No").over(person)})
-    file = (file.filter(F.col("NHS_No").isNotNull() | (F.col("_known") == 0))
-            .select("NHS_No", *PERSON_KEYS, "ADDRESS_1").distinct()
-            .withColumnsRenamed(FILE_NAMES))
-    return with_row_ids(file).withColumn("CREATE_DATE", F.lit(as_of).cast("date"))
+    numbers = keep(rows.groupBy("NHS_No", *PERSON_KEYS).agg(F.min("Address").alias("_address")), f"{path}/numbers")
+    people = numbers.groupBy(*PERSON_KEYS).agg(
+        F.translate(F.min("_address"), ",", "").alias("ADDRESS_1"), F.count("NHS_No").alias("_known"))
+    numbered = join_null_safe(
+        numbers.filter(F.col("NHS_No").isNotNull()).drop("_address"), people.drop("_known"), list(PERSON_KEYS), "inner")
+    unnumbered = people.filter(F.col("_known") == 0).withColumn("NHS_No", F.lit(None).cast(dict(ind.dtypes)["NHS_No"]))
+    columns = ["NHS_No", *PERSON_KEYS, "ADDRESS_1"]
+    file = numbered.select(*columns).unionByName(unnumbered.select(*columns)).withColumnsRenamed(FILE_NAMES)
+    return with_row_ids(file, f"{path}/file").withColumn("CREATE_DATE", F.lit(as_of).cast("date"))
+
+
+def bucketed_identity(identity, path, buckets=None):
+    """The identity file in buckets of the five person keys, which `match_identity` joins without shuffling it."""
+    keys = [FILE_NAMES.get(k, k) for k in PERSON_KEYS]
+    buckets = buckets or int(identity.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keep_bucketed(identity.withColumn(KEY, person_key(keys)), path, KEY, buckets)
 
 
 def match_identity(df, identity, hot_rows=None, hot=None, right_hot=None):
     """Annotations with SYSTEM_ID, NHS number and address of their identity.
 
     All five keys must agree, NULL with NULL. An annotation is repeated if its
-    identity has several NHS numbers.
+    identity has several NHS numbers. An identity file of `bucketed_identity` stays where it
+    is, whatever number of tables is matched to it, unless common identities are named.
     """
     rows = with_upper_surname(df).withColumn("GENDER_CD", gender_code("Gender"))
     keys = {k: FILE_NAMES.get(k, k) for k in PERSON_KEYS}
+    if KEY in identity.columns:
+        if hot_rows is None and hot is None and right_hot is None:
+            others = [c for c in identity.columns if c not in keys.values()]
+            return rows.withColumn(KEY, person_key()).join(identity.select(*others), KEY, "left").drop(KEY)
+        identity = identity.drop(KEY)
     return join_null_safe(rows, identity, keys, "left", hot_rows, hot=hot,
                           right_hot_rows=hot_rows, right_hot=right_hot)
 

@@ -23,6 +23,17 @@ def keep(df, path):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df, path, key, buckets):
+    """Save a table in `buckets` buckets of a column, so joins and windows by it need no shuffle.
+
+    The files are in `path`, as for `keep`; the session's catalog knows them under a new name. Drop
+    that table (`DataFrame.inputFiles` tells the files) when it is no longer read.
+    """
+    name = f"letterflow_{uuid.uuid4().hex}"
+    df.write.mode("error").format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def new_folder(spark, name):
     """Name of a new folder below `spark.checkpoint.dir`, or else the session's warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries as all_queries
 from checks import adapters, queries as checks_queries
@@ -11,7 +12,10 @@ from checks.oracles import ORACLES
 from checks.queries import QUERIES
 from conftest import rows_of
 from letterflow.operators import dates, frequency, identity, skew
+from letterflow.plans import identity as identity_plan
 from letterflow.plans import prescriptions
+from letterflow.sources import sink
+from letterflow.sources.schemas import KINDS
 from work import work_done
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,9 +42,9 @@ def test_no_product_and_no_window_over_everything(spark, name):
     plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     for window in re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan):
-        # Only the sizes of the row-id buckets are summed without a partition.
+        # Only the sizes and the ends of ranges are ordered without a partition.
         first = window.split(",")[0].strip()
-        assert first.startswith("_bucket") or " ASC" not in first
+        assert first.startswith("_part") or " ASC" not in first
 
 
 def test_severity_needs_one_shuffle_and_one_sort(spark):
@@ -108,13 +112,32 @@ def test_scans_grow_with_the_number_of_joins(spark):
     assert one.count("FileScan") == 2 and two.count("FileScan") == 3
 
 
-def test_identity_file_in_one_pass(spark):
-    people = adapters.load(spark, SMALL, "ident_v")
-    ind = identity.individuals([dates.normalise_annotations(people)])
-    plan = final_plan(identity.identity_file(ind, "2024-01-31"))
-    ops = names(plan)
-    assert ops.count("Exchange") <= 5
-    assert "SortMergeJoin" not in ops
+def test_identity_file_in_one_pass(spark, monkeypatch):
+    """Nine tables of two inputs each are evaluated once; the file's plan reads what was kept."""
+    kept = {}
+    monkeypatch.setattr(identity, "keep", lambda df, path: kept.setdefault("numbers", df) and sink.keep(df, path))
+    file = checks_queries.file(spark, SMALL)
+    ops = static_names(kept["numbers"])
+    assert ops.count("FileScan") == 18 and ops.count("Window") == 0
+    assert static_names(file).count("FileScan") == 2
+
+
+def test_identity_is_not_shuffled_again_for_nine_tables(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = adapters.load(spark, SMALL, "ident_v")
+        kinds = {kind: rows.filter(F.col("Letter") % 9 == k) for k, kind in enumerate(KINDS)}
+        _, matched = identity_plan.link(kinds, "2024-01-31", sink.new_folder(spark, "identity"))
+        for df in matched.values():
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            join = plan[plan.index("SortMergeJoin"):]
+            # the annotations' side has exchanges, the bucketed file's side none
+            file_side = join[join.index("NHS_NUMBER", join.index("SortMergeJoin") + 200):]
+            assert len(re.findall(r"Exchange hashpartitioning\(_person", join)) == 1, file_side
+            assert "SelectedBucketsCount" in join
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_columns_and_filters_reach_the_scan(spark):
