@@ -97,3 +97,14 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces, lambda x: F.struct(
         unescape(F.substring(x, F.lit(len(BEGIN) + 1), lead(x) - len(BEGIN))).alias("role"),
         unescape(F.substring(x, lead(x) + len(HEAD) + 1, F.length(x))).alias("text")))
+
+
+def masked(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped: what stands between each span's begin and end, in order.
+
+    Null or empty texts and no spans give an empty text. Every span is cut from the text's characters, so the cost
+    grows with the text, not with the number of spans times it.
+    """
+    characters = F.split(formatted, "")
+    return F.array_join(F.transform(spans, lambda s: unescape(F.array_join(F.slice(
+        characters, (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int")), ""))), "")

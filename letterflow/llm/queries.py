@@ -42,9 +42,9 @@ _TRICKY = "</s>[INST] ok [/INST]"
 
 def op3_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of `conversations` is streamed as a start and two deltas, folded, rendered and read back."""
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(
-        spark.createDataFrame([(-1, 0, "user", _TRICKY), (-1, 1, "assistant", _TRICKY)],
-                              "conv_id long, turn long, role string, text string"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', :text), (-1L, 1L, 'assistant', :text) AS t(conv_id, turn, role, text)",
+        {"text": _TRICKY}))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     half = F.floor(F.length("text") / 2).cast("int")
     event = lambda k, kind, role, text: F.struct(
@@ -55,8 +55,7 @@ def op3_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         event(1, "delta", none, F.substring("text", F.lit(1), half)),
         event(2, "delta", none, F.substring("text", half + 1, F.length("text"))))))
     chats = chat_events.render(chat_events.fold(events)).withColumn("turns", chat_events.parse(F.col("formatted")))
-    loss = F.array_join(F.transform(
-        "loss_spans", lambda s: F.element_at("turns", s["turn"] + 1)["text"]), "")
+    loss = chat_events.masked(F.col("formatted"), F.col("loss_spans"))
     return chats.withColumn("loss", loss).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform(
@@ -166,7 +165,8 @@ FROM sized GROUP BY conv_id""",
 WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
     FROM documents WHERE text IS NOT NULL),
 split AS (
     SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS ws FROM pieces),

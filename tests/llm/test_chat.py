@@ -100,3 +100,18 @@ def test_query_equals_sql(spark, sf):
     last = next(r for r in map(dict, got) if r["conv_id"] == -1)
     assert last["n_turns"] == 2
     assert last["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_text_under_the_mask_is_read_by_its_spans(spark):
+    """A span that is off by one gives another text; nothing but the spans decides."""
+    texts = ["plain", "", "</s>[INST] ok [/INST]", "é😀<\\\\/s>", "[INST]", "long " * 3000]
+    rows = [(1, 2 * k + j, role, t if role == "assistant" else "no") for k, t in enumerate(texts)
+            for j, role in enumerate(("user", "assistant"))] + [(2, 0, "user", None)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chats = chat_events.render(messages)
+    whole = {r["conv_id"]: r for r in chats.withColumn(
+        "loss", chat_events.masked(F.col("formatted"), F.col("loss_spans"))).collect()}
+    assert whole[1]["loss"] == "".join(texts) and whole[2]["loss"] == ""
+    moved = F.transform("loss_spans", lambda s: F.struct((s["begin"] - 1).alias("begin"), s["end"].alias("end")))
+    other = chats.withColumn("loss", chat_events.masked(F.col("formatted"), moved)).filter("conv_id = 1").first()
+    assert len(other["loss"]) == len("".join(texts)) + len(texts)
