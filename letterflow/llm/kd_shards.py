@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterflow.llm.tables import Workspace, running_total, utf8_bytes
+from letterflow.llm.tables import Workspace, numbered, running_total, utf8_bytes
 
 #: Each dimension is laid on a grid of so many cells from its smallest to its largest value.
 GRID = 1 << 20
@@ -48,14 +49,17 @@ def name_axis(name: Column) -> Column:
 
 
 def kd_shards(docs: DataFrame, size: Column, dimensions: list[Column], shards: int | None = None,
-              target_bytes: int | None = None, space: Workspace | None = None) -> DataFrame:
+              target_bytes: int | None = None, space: Workspace | None = None,
+              together: Column | None = None) -> DataFrame:
     """All columns of docs plus size, shard and slot (from 0, without gaps in a shard).
 
     Give the number of shards, or the bytes of one: the number is then all bytes over it, rounded up.
     A box of k leaves is split along its widest dimension (of the share of the whole range, first of
     equals), in floor(k / 2) to ceil(k / 2) of its bytes, until every box is one leaf. Rows with the
-    same place on that dimension are told apart by their place in the table, so any number of equal
-    rows is split evenly. Shards differ by the largest row and 1/4096 of a shard for each level.
+    same place on that dimension stand in the order of `together`'s hash and then of the table: rows
+    with an equal value of it and equal dimensions lie side by side, so that a split cuts at most one group
+    of them, and any number of equal rows is still split evenly. Shards differ by the largest row
+    and 1/4096 of a shard for each level.
 
     Medians are searched in histograms that executors sum; each step narrows every box's range to one
     bin, and only one row for each box comes to the driver. Null dimensions count as the smallest
@@ -65,25 +69,24 @@ def kd_shards(docs: DataFrame, size: Column, dimensions: list[Column], shards: i
     lead = "_"
     while any(c.lower().startswith(lead) for c in docs.columns):
         lead += "_"
-    names, rid, at = [f"{lead}d{k}" for k in range(len(dimensions))], f"{lead}rid", f"{lead}place"
+    names, rid, at, group = [f"{lead}d{k}" for k in range(len(dimensions))], f"{lead}rid", f"{lead}place", f"{lead}group"
     own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
     base = docs.select(
         *[docs[c] for c in own], size.cast("long").alias("size"),
         *[d.cast("long").alias(n) for d, n in zip(dimensions, names)],
-        F.monotonically_increasing_id().alias(rid))
+        F.monotonically_increasing_id().alias(rid),
+        (F.lit(0).cast("long") if together is None else F.xxhash64(together)).alias(group))
     base = space.keep(base, "rows")
-    part, row = F.shiftright(rid, 33), F.col(rid).bitwiseAND((1 << 33) - 1)
+    part = F.shiftright(rid, 33)
     stats = base.agg(
-        F.sum("size").alias("size"), F.max(part).alias("parts"), F.max(row).alias("rows"),
-        *[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)]).first()
+        F.sum("size").alias("size"), F.count("*").alias("rows"), *[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)]).first()
     if stats["size"] is None:
         none = F.lit(None).cast("int")
         return base.select(*own, "size", none.alias("shard"), none.cast("long").alias("slot"))
     shards = shards or max(1, -(-stats["size"] // target_bytes))
     if shards > LEAVES:
         raise ValueError(f"more than {LEAVES} shards")
-    places = (stats["parts"] + 1) * (stats["rows"] + 1)
-    place = (part * (stats["rows"] + 1) + row).alias("place")
+    places = stats["rows"]
 
     def cell(n: str) -> Column:
         low, high = stats[f"min{n}"], stats[f"max{n}"]
@@ -92,7 +95,9 @@ def kd_shards(docs: DataFrame, size: Column, dimensions: list[Column], shards: i
         share = (F.coalesce(F.col(n), F.lit(low)) - F.lit(low)).cast("double") / float(high - low)
         return F.floor(share * (GRID - 1)).cast("long")
 
-    placed = base.select(rid, "size", place, *[cell(n).alias(n) for n in names], F.lit(0).alias("node"))
+    places_of = numbered(space, base.select(rid, "size", group, *names), None, [group, rid], "places", count="of")
+    placed = places_of.select(
+        rid, "size", F.col("rank").alias("place"), *[cell(n).alias(n) for n in names], F.lit(0).alias("node"))
     open_ = [(0, shards)] if shards > 1 else []
     level = 0
     while open_:
@@ -111,8 +116,11 @@ def kd_shards(docs: DataFrame, size: Column, dimensions: list[Column], shards: i
 
 
 def _table(placed: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """A row for each open box, broadcast: at most LEAVES of them."""
-    return F.broadcast(placed.sparkSession.createDataFrame(rows, schema))
+    """A row for each open box, broadcast: at most LEAVES of them. A literal, which no Python worker makes."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    kind = f"array<struct<{', '.join(field.replace(' ', ': ') for field in schema.split(', '))}>>"
+    return F.broadcast(placed.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), kind))))
 
 
 def _key(names: list[str], places: int) -> Column:
@@ -175,8 +183,12 @@ def _split(placed: DataFrame, names: list[str], nodes: list[_Node], places: int)
 
 def document_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None,
                     space: Workspace | None = None) -> DataFrame:
-    """Shards of documents: their metadata are size, language and source."""
+    """Shards of documents: their metadata are size, language and source; copies of a text lie side by side.
+
+    All columns stay, but for size, shard and slot. A null text has no bytes and counts 8, like an empty one;
+    a null lang or source is the smallest. Repeated rows are rows of their own. An empty table has no rows.
+    """
     return kd_shards(
         docs, document_size(F.col("text")),
         [document_size(F.col("text")), name_axis(F.col("lang")), name_axis(F.col("source"))],
-        shards, target_bytes, space)
+        shards, target_bytes, space, F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -90,12 +90,13 @@ def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts, as their bytes and checksum tell, lie side by side and are cut at edges of shards only."""
     docs = _table(spark, sf_dir, "documents").withColumn(
         "text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
     rows = docs.select("doc_id", "text_crc32", "lang", "source", kd_shards.document_size(F.col("text")).alias("bytes"))
     return kd_shards.kd_shards(
         rows, F.col("bytes"), [F.col("bytes"), kd_shards.name_axis(F.col("lang")), kd_shards.name_axis(F.col("source"))],
-        shards=24).select(
+        shards=24, together=F.struct("text_crc32", "bytes")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 

@@ -113,19 +113,18 @@ def numbered(space: Workspace, df: DataFrame, group: str | None, order: list[str
     their place in df, so a common group or row is spread, too. Nulls come first. A row's rank is its
     place in its range and the rows of its group in the ranges before, summed over one row for each.
     """
+    tie, part, at, own, of, first, rows, before = unused(df, "tie", "part", "at", "group", "range", "first", "rows", "before")
     keys = ([group] if group else []) + order
     parts = max(1, -(-df.count() // RANGE_ROWS))
-    at = df.withColumn("_tie", F.monotonically_increasing_id())
-    at = at.repartitionByRange(parts, *[F.col(c) for c in (*keys, "_tie")]).sortWithinPartitions(*keys, "_tie")
+    dealt = df.withColumn(tie, F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(parts, *[F.col(c) for c in (*keys, tie)]).sortWithinPartitions(*keys, tie)
     place = F.monotonically_increasing_id()
-    at = space.keep(at.drop("_tie").withColumns({
-        "_part": F.shiftright(place, 33), "_at": place.bitwiseAND((1 << 33) - 1)}), name)
-    own = F.col(group) if group else F.lit(0)
-    ranges = at.groupBy(own.alias("_group"), F.col("_part").alias("_range")).agg(
-        F.min("_at").alias("_first"), F.count("*").alias("_rows"))
-    upto = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(upto), F.lit(0))).withColumn(
-        count, F.sum("_rows").over(Window.partitionBy("_group")))
-    return at.join(ranges, (F.col("_part") == F.col("_range")) & own.eqNullSafe(F.col("_group"))).withColumn(
-        "rank", F.col("_at") - F.col("_first") + F.col("_before")).drop(
-        "_part", "_at", "_group", "_range", "_first", "_rows", "_before")
+    dealt = space.keep(dealt.drop(tie).withColumns({
+        part: F.shiftright(place, 33), at: place.bitwiseAND((1 << 33) - 1)}), name)
+    key = F.col(group) if group else F.lit(0)
+    ranges = dealt.groupBy(key.alias(own), F.col(part).alias(of)).agg(F.min(at).alias(first), F.count("*").alias(rows))
+    upto = Window.partitionBy(own).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn(before, F.coalesce(F.sum(rows).over(upto), F.lit(0))).withColumn(
+        count, F.sum(rows).over(Window.partitionBy(own)))
+    return dealt.join(ranges, (F.col(part) == F.col(of)) & key.eqNullSafe(F.col(own))).withColumn(
+        "rank", F.col(at) - F.col(first) + F.col(before)).drop(part, at, own, of, first, rows, before)

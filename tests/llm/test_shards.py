@@ -85,3 +85,64 @@ def test_columns_like_helpers_stay(spark):
     assert sorted(tuple(r[n] for n in names) for r in out.collect()) == sorted(rows)
     none = kd_shards.document_shards(docs.limit(0), shards=4)
     assert none.columns == out.columns and none.collect() == []
+
+
+def brute(rows, shards, dims):
+    """Shard of each row (weight, *places): the same splits, one box after another."""
+    out, boxes = {}, [(0, shards, list(range(len(rows))))]
+    while boxes:
+        first, leaves, own = boxes.pop()
+        if leaves == 1:
+            out.update((k, first) for k in own)
+            continue
+        spread = [max(rows[k][1 + d] for k in own) - min(rows[k][1 + d] for k in own) for d in range(dims)]
+        dim = spread.index(max(spread))
+        own.sort(key=lambda k: rows[k][1 + dim])
+        target, below, cut = sum(rows[k][0] for k in own) * (leaves // 2) / leaves, 0, 0
+        for cut, k in enumerate(own):
+            after = below + rows[k][0]
+            if after >= target:
+                cut += not target - below < after - target
+                break
+            below = after
+        boxes += [(first, leaves // 2, own[:cut]), (first + leaves // 2, leaves - leaves // 2, own[cut:])]
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 5, 24])
+def test_equals_a_tree_built_box_by_box(spark, monkeypatch, shards):
+    monkeypatch.setattr(kd_shards, "TOLERANCE", 0)
+    monkeypatch.setattr(kd_shards, "BINS", 16)
+    rng, n = random.Random(shards), 400
+    rows = list(zip([rng.randrange(1, 90) for _ in range(n)], rng.sample(range(n), n), rng.sample(range(n), n)))
+    # the grid keeps the order of places, but not quite their distances
+    grid = [(w, *[x * (kd_shards.GRID - 1) // (n - 1) for x in places]) for w, *places in rows]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, weight long, x long, y long").repartition(3)
+    got = kd_shards.kd_shards(docs, F.col("weight"), [F.col("x"), F.col("y")], shards=shards).collect()
+    assert {r["k"]: r["shard"] for r in got} == brute(grid, shards, 2)
+
+
+def test_copies_lie_side_by_side(spark):
+    """A group of copies is cut at edges of shards only: never more groups in two shards than there are edges."""
+    rng = random.Random(8)
+    rows = [(k, f"text {rng.randrange(60):04}", "en", "s", None, None) for k in range(900)]
+    out = kd_shards.document_shards(spark.createDataFrame(rows, SCHEMA).repartition(4), shards=12).collect()
+    shards_of = defaultdict(set)
+    for r in out:
+        shards_of[r["text"]].add(r["shard"])
+    assert sum(len(s) - 1 for s in shards_of.values()) <= 11
+    check(out, 12, 12 * 18)
+
+
+def test_very_long_text(spark):
+    rows = [(k, "x" * 50, "en", "s", None, None) for k in range(60)] + [(99, "y" * 3_000_000, "de", "t", None, None)]
+    out = kd_shards.document_shards(spark.createDataFrame(rows, SCHEMA), shards=4).collect()
+    check(out, 4, 3_000_100)
+    assert len(out) == 61 and len({r["shard"] for r in out}) >= 2
+
+
+def test_no_python_workers(spark):
+    plan = kd_shards.document_shards(spark.createDataFrame(corpus(50, random.Random(2)), SCHEMA), shards=3)
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    table = kd_shards._table(plan, [(1, 2.5)], "node int, want double")
+    assert table.collect() == [(1, 2.5)] and "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
