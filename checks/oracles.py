@@ -494,3 +494,4 @@ FROM dates_v WHERE {text_date('Clinic_Date')} > {text_date('LetDate')}""")
 
 for _name in ("severity", "severity_basic", "prev_record", "prev_same_code_rate", "split_dose_qty", "daily_dose"):
     ORACLES[f"{_name}_ranged"] = ORACLES[_name]
+ORACLES["dates_with_letters_common"] = ORACLES["dates_with_letters"]

@@ -409,12 +409,13 @@ def max_severity_by_person_date(spark, d):
 
 @query
 def severity_norm(spark, d):
-    return frequency.min_max_norm(grouped(spark, d))
+    return frequency_plan.normalised_severity(load(spark, d, "sf_v"), groups(spark), new_folder(spark, "severity"))
 
 
 @query
 def person_timeline(spark, d):
-    return frequency.person_timeline(ratios(spark, d), grouped(spark, d), unique=True)
+    return frequency_plan.timeline(
+        ratios(spark, d), load(spark, d, "sf_v"), groups(spark), new_folder(spark, "severity"))
 
 
 # --- diagnosis -----------------------------------------------------------------------------
@@ -642,6 +643,12 @@ def dates_with_letters(spark, d):
     return dates_and_docs(spark, d)
 
 
+@query
+def dates_with_letters_common(spark, d):
+    """Every letter of more than one row counts as common, as a sketch finds it."""
+    return validation_sql.date_tables(*two_date_tables(spark, d), load(spark, d, "letters_v"), hot_rows=1)
+
+
 @query
 def duplicate_docs(spark, d):
     return validation.duplicate_rows(dates_and_docs(spark, d), "DOC")

@@ -321,24 +321,38 @@ def max_severity(df, keys=("DATEREC",), hot_rows=None):
                           also=F.col("FreqSeverity") == F.col("_top"))
 
 
-def min_max_norm(df, col="FreqSeverity", out="NV"):
-    """`col` scaled to 0..1 over the whole table; NULL where all values are equal."""
-    ends = df.agg(F.struct(F.min(col).alias("low"), F.max(col).alias("high"))).scalar()
-    low, high = ends["low"], ends["high"]
+def score_ends(col="FreqSeverity"):
+    """Smallest and largest of `col`, as columns to observe while a table is written."""
+    return [F.min(col).alias("low"), F.max(col).alias("high")]
+
+
+def min_max_norm(df, col="FreqSeverity", out="NV", ends=None):
+    """`col` scaled to 0..1 over the whole table; NULL where all values are equal.
+
+    `ends` are the smallest and largest value, as observed while the table was written;
+    without them the table is evaluated once more.
+    """
+    if ends is None:
+        found = df.agg(F.struct(*score_ends(col))).scalar()
+        low, high = found["low"], found["high"]
+    else:
+        kind = dict(df.dtypes)[col]
+        low, high = (F.lit(x).cast(kind) for x in ends)
     return df.withColumn(out, safe_divide(F.col(col) - low, high - low))
 
 
-def person_timeline(doses, grouped, person=None, unique=False):
+def person_timeline(doses, grouped, person=None, unique=False, ends=None):
     """Dose ratios and normalised severities as one long table.
 
     Severities are scaled over all people, whoever is asked for. `unique` says that
-    dose ratios hold no repeated rows, as those of `dose_ratio` on largest doses.
+    dose ratios hold no repeated rows, as those of `dose_ratio` on largest doses. `ends`
+    are those of all severities, if known.
 
     A natural full join on all six columns: a key names at most one severity, so one
     aggregate over both tables puts the two together.
     """
     keys = ["SYSTEM_ID", "LETTER", "DATEREC", "CUI", "Category", "NV"]
-    scaled = min_max_norm(grouped).withColumnRenamed("Seizures", "Category")
+    scaled = min_max_norm(grouped, ends=ends).withColumnRenamed("Seizures", "Category")
     if person is not None:
         doses = doses.filter(F.col("SYSTEM_ID") == person)
         scaled = scaled.filter(F.col("SYSTEM_ID") == person)

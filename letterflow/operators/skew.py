@@ -47,6 +47,24 @@ def hot_keys(df, keys, hot_rows=HOT_ROWS, rows=None):
                                   parts.alias("_h_parts")))
 
 
+def frequent_keys(sides, key, hot_rows=HOT_ROWS, most=1000, tracked=10_000):
+    """For each of several tables, its common keys as from `hot_keys`, by one sketch over one pass of each.
+
+    A frequent-items sketch of `tracked` counters a table finds every key with more than one
+    in `tracked` / 2 of its rows, the `most` commonest of them; their counts are close. Keys with
+    more than `hot_rows` rows count as common. At most `most` keys a table are broadcast,
+    whatever the tables hold, so nothing needs to be known of them. NULL is no key here:
+    in joins where NULL equals NULL name it by `hot_keys`.
+    """
+    marked = reduce(lambda a, b: a.unionByName(b), [
+        df.select(F.lit(k).alias("_side"), F.col(key).alias("_key")) for k, df in enumerate(sides)])
+    found = marked.filter(F.col("_key").isNotNull()).groupBy("_side").agg(
+        F.expr(f"approx_top_k(_key, {most}, {tracked})").alias("_top")).select("_side", F.inline("_top"))
+    parts = F.ceil(F.col("count") / max(hot_rows, 1)).cast("int")
+    return [F.broadcast(found.filter((F.col("_side") == k) & (F.col("count") > hot_rows)).select(
+        F.col("item").alias(f"_h_{key}"), parts.alias("_h_parts"))) for k in range(len(sides))]
+
+
 def renamed_hot(hot, names):
     """Common keys under other key names ({old: new})."""
     return hot.withColumnsRenamed({f"_h_{old}": f"_h_{new}" for old, new in names.items()})

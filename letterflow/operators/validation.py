@@ -67,20 +67,25 @@ def missed_ids(trusted, extracted, id="SYSTEM_ID", hot_rows=None):
     return anti_join_sql(trusted.select(id), extracted, id, hot_rows)
 
 
-def clinic_letter_full(clinic, letter, on="LETTER", hot_rows=None):
-    """Clinic and letter dates side by side, keeping letters that have only one."""
+def clinic_letter_full(clinic, letter, on="LETTER", hot_rows=None, hot=None, right_hot=None):
+    """Clinic and letter dates side by side, keeping letters that have only one.
+
+    Adaptive execution doesn't split a full join: `hot` and `right_hot` name the letters that are
+    common in the clinic dates and the letter dates, as from `frequent_keys`.
+    """
     both = join_null_safe(clinic.select(on, "Clinic_Date"), letter.select(on, "LetDate"), on,
-                          "full", hot_rows, right_hot_rows=hot_rows)
+                          "full", hot_rows, hot=hot, right_hot_rows=hot_rows, right_hot=right_hot)
     return both.select(on, "Clinic_Date", "LetDate")
 
 
-def dates_with_letters(dates, letters, on="LETTER", hot_rows=None, suffix=None):
+def dates_with_letters(dates, letters, on="LETTER", hot_rows=None, suffix=None, hot=None, right_hot=None):
     """The date table next to the letter list, keeping what is in only one.
 
-    Both may have a person id: `suffix` tells the list's columns apart.
+    Both may have a person id: `suffix` tells the list's columns apart. `hot` and `right_hot` as
+    in `clinic_letter_full`.
     """
-    return join_null_safe(dates, letters, on, "full", hot_rows, right_hot_rows=hot_rows,
-                          suffix=suffix)
+    return join_null_safe(dates, letters, on, "full", hot_rows, hot=hot, right_hot_rows=hot_rows,
+                          right_hot=right_hot, suffix=suffix)
 
 
 def duplicate_rows(df, key="DOC", hot_rows=None):

@@ -2,6 +2,8 @@
 
 import uuid
 
+from pyspark.sql import Observation
+
 
 def save(df, path, fmt="parquet", mode="overwrite", partition_by=()):
     """Write a table. Text formats get a header; no row-number column is added."""
@@ -23,6 +25,16 @@ def keep(df, path):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_observed(df, path, *measures):
+    """`keep`, and what the aggregates `measures` gave while the table was written, as a dictionary.
+
+    Smallest and largest values don't change if a lost task runs again; sums and counts may.
+    """
+    seen = Observation()
+    kept = keep(df.observe(seen, *measures), path)
+    return kept, seen.get
+
+
 def keep_bucketed(df, path, key, buckets):
     """Save a table in `buckets` buckets of a column, so joins and windows by it need no shuffle.
 

@@ -140,6 +140,13 @@ def test_identity_is_not_shuffled_again_for_nine_tables(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_scores_are_evaluated_once(spark):
+    """The ends of the scores are seen as they are written; then the kept table is read once."""
+    assert static_names(queries()["severity_norm"](spark, SMALL)).count("FileScan") == 1
+    doses = static_names(checks_queries.ratios(spark, SMALL)).count("FileScan")
+    assert static_names(queries()["person_timeline"](spark, SMALL)).count("FileScan") == doses + 1
+
+
 def test_columns_and_filters_reach_the_scan(spark):
     plan = final_plan(queries()["people_with_epilepsy"](spark, SMALL))
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan

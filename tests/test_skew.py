@@ -12,6 +12,7 @@ from letterflow.operators import dose, frequency, skew, validation
 from letterflow.operators.joins import (
     anti_join_sql, join_null_safe, lookup_join, planned_bytes, semi_flag)
 from letterflow.operators.skew import LANE, hot_keys, in_lanes, null_safe, salted
+from letterflow.plans import validation as validation_plan
 from letterflow.sources.scan import scan_table
 from letterflow.sources.schemas import TABLE_SCHEMAS
 
@@ -222,3 +223,30 @@ def test_scanned_dates_with_scanned_letters(spark, tmp_path):
     both = validation.dates_with_letters(table, letters, suffix="_listed")
     assert rows_of(both, "LETTER", "SYSTEM_ID", "SYSTEM_ID_listed", "DOC") == sorted(
         [("a", "7", "7", "d1"), ("b", "8", None, None), ("c", None, "9", "d2")], key=repr)
+
+
+def test_common_keys_by_sketch(frame):
+    left = frame("k string, v int", [("hot", i) for i in range(5000)] + [(f"x{i}", i) for i in range(3000)]
+                 + [(None, 1)] * 4000, 6)
+    right = frame("k string, w int", [("warm", i) for i in range(900)] + [("hot", 1)])
+    first, second = skew.frequent_keys([left, right], "k", hot_rows=500)
+    assert rows_of(first) == [("hot", 10)] and rows_of(second) == [("warm", 2)]
+    none = frame("k string, v int", [])
+    assert [rows_of(h) for h in skew.frequent_keys([none, right], "k", 500)] == [[], [("warm", 2)]]
+
+
+def test_full_joins_spread_common_letters_without_a_list(frame):
+    """A letter with a third of all rows on each side: rows as in the plain joins, dealt over many parts."""
+    clinic = frame("LETTER string, Clinic_Date string", [("hot", str(i)) for i in range(60)] + [
+        (f"a{i}", "1") for i in range(100)] + [(None, "n")], 4)
+    letter = frame("LETTER string, LetDate string", [("hot", str(i)) for i in range(40)] + [
+        (f"a{i}", "2") for i in range(50, 130)] + [(None, "m")], 4)
+    listed = frame("LETTER string, DOC int", [("hot", 1), ("hot", 2)] + [(f"a{i}", i) for i in range(140)], 3)
+    plain = validation.dates_with_letters(validation.clinic_letter_full(clinic, letter), listed)
+    for hot_rows in (1, 10):
+        spread = validation_plan.date_tables(clinic, letter, listed, hot_rows=hot_rows)
+        assert rows_of(spread) == rows_of(plain)
+    hot, _ = skew.frequent_keys([clinic, letter], "LETTER", 10)
+    parts, _ = salted(clinic, letter.withColumnRenamed("LETTER", "_r_LETTER"), ["LETTER"], hot, null_safe)
+    sizes = [r["count"] for r in parts.filter("LETTER = 'hot'").groupBy("_salt").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) <= 40
