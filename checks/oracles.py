@@ -90,6 +90,12 @@ SELECT d.*, l.DOC FROM dates_v d LEFT JOIN letters_v l ON d.LETTER = l.LETTER"""
 select("attach_record_date", ["presc_v", "dates_v"], """
 SELECT p.LETTER, p."START", p."END", p.CUI, p.DOSE, d.DATEREC
 FROM presc_v p LEFT JOIN dated d ON p.LETTER = d.LETTER""", DATED)
+select("attach_record_date_factored", ["presc_v", "dates_v"], """
+SELECT count(*) FILTER (p.k IS NOT NULL)::BIGINT AS known,
+  (SELECT count(*) FROM presc_v WHERE LETTER % 3 = 0)::BIGINT AS left,
+  (SELECT count(*) FROM dated WHERE LETTER % 3 = 0)::BIGINT AS right, count(*)::BIGINT AS total
+FROM (SELECT CASE WHEN LETTER % 3 <> 0 THEN LETTER END AS k FROM presc_v) p
+LEFT JOIN (SELECT CASE WHEN LETTER % 3 <> 0 THEN LETTER END AS k FROM dated) d ON p.k IS NOT DISTINCT FROM d.k""", DATED)
 select("dated_prescriptions_by_doc", ["presc_v", "dates_v", "letters_v"], """
 SELECT p.SYSTEM_ID, d.DATEREC, l.DOC, p."START", p."END", p.CUI, p.NAME, p.DOSE, p.UNIT, p.FREQUENCY
 FROM presc_v p LEFT JOIN dated d ON p.LETTER = d.LETTER LEFT JOIN letters_v l ON d.LETTER = l.LETTER""",
@@ -442,6 +448,16 @@ check("value_match", """
 SELECT a.SYSTEM_ID, a.{c}, max(b.{t}) AS TRUSTED_{c}, CAST(count(b.{t}) AS BIGINT) AS n_trusted
 FROM (SELECT *, row_number() OVER () AS r FROM a) a LEFT JOIN trusted_v b ON a.{c} = b.{t}
 GROUP BY a.r, a.SYSTEM_ID, a.{c}""")
+check("value_links", """
+SELECT coalesce(x.v, y.v) AS value, coalesce(x.n, 0) AS n_extracted, coalesce(y.n, 0) AS n_trusted, coalesce(z.n, 0) AS links
+FROM (SELECT {c} AS v, count(*)::BIGINT AS n FROM a GROUP BY 1) x
+FULL JOIN (SELECT {t} AS v, count(*)::BIGINT AS n FROM trusted_v WHERE {t} IS NOT NULL GROUP BY 1) y ON x.v = y.v
+LEFT JOIN (SELECT a.{c} AS v, count(*)::BIGINT AS n FROM a JOIN trusted_v b ON a.{c} = b.{t} GROUP BY 1) z
+  ON z.v = coalesce(x.v, y.v)""")
+check("value_pairs", """
+SELECT a.SYSTEM_ID, a.{c}, b.{t} AS TRUSTED_{c} FROM a LEFT JOIN trusted_v b ON a.{c} = b.{t}""")
+for _short in ("gender", "postcode"):  # millions of pairs
+    del ORACLES[f"value_pairs_{_short}"]
 BY_ID = """
 SELECT a.SYSTEM_ID, min(a.{c}) AS {c}, bool_or(b.{t} IS NOT NULL) AS matched
 FROM a LEFT JOIN trusted_v b ON a.{c} = b.{t} GROUP BY a.SYSTEM_ID"""

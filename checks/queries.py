@@ -137,6 +137,19 @@ def attach_record_date(spark, d):
         "LETTER", "START", "END", "CUI", "DOSE", "DATEREC")
 
 
+def factored(spark, d):
+    """Record dates of all prescriptions, where every third letter is not known on either side."""
+    unknown = {"LETTER": F.when(F.col("LETTER") % 3 != 0, F.col("LETTER"))}
+    annotations = load(spark, d, "presc_v").drop("DATEREC").withColumns(unknown)
+    return dates.attach_record_date_factored(annotations, dated(spark, d).withColumns(unknown))
+
+
+@query
+def attach_record_date_factored(spark, d):
+    """How many rows the join has, of known letters and in all, without making them."""
+    return factored(spark, d).rows().select("known", "left", "right", "total")
+
+
 @query
 def letters_without_date(spark, d):
     return dates.letters_without_date(
@@ -576,6 +589,17 @@ def value_match(a, b, column, trusted):
     return validation.value_match(a, b, column, trusted)
 
 
+@per_value("value_links")
+def value_links(a, b, column, trusted):
+    return validation.value_links(a, b, column, trusted)
+
+
+for _short in ("dob", "nhs"):
+    QUERIES["value_pairs" if _short == "dob" else f"value_pairs_{_short}"] = (
+        lambda spark, d, c=CHECKED[_short]: validation.value_pairs(
+            extracted(spark, d, c[0]), load(spark, d, "trusted_v"), *c))
+
+
 @per_value("value_match_by_id")
 def value_match_by_id(a, b, column, trusted):
     return validation.value_match_by_id(a, b, column, b_col=trusted)

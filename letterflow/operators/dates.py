@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from letterflow.functions.scalars import (
     date_from_parts, expand_birth_year, expand_visit_year, first_not_null, normalise_id,
     parse_dmy)
-from letterflow.operators.joins import join_null_safe
+from letterflow.operators.joins import factored_join, join_null_safe
 from letterflow.sources.schemas import BIRTH_DAY_MONTH, DATES
 
 PARTS = tuple(name for name, _ in BIRTH_DAY_MONTH + DATES)
@@ -56,6 +56,11 @@ def attach_record_date(df, dates, on="LETTER", keep=("DATEREC",), hot_rows=None,
                           right_hot_rows=hot_rows, right_hot=right_hot)
 
 
+def attach_record_date_factored(df, dates, on="LETTER", keep=("DATEREC",), hot=None, right_hot=None):
+    """`attach_record_date` without multiplying annotations of no letter by dates of no letter."""
+    return factored_join(df, dates.select(on, *keep), on, hot, right_hot)
+
+
 def letters_without_date(letters, dates, on="DOC", hot_rows=None):
     """Listed letters that have no row in the date table."""
     return join_null_safe(letters, dates.select(on).distinct(), on, "left_anti", hot_rows)

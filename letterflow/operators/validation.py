@@ -49,6 +49,31 @@ def value_match(a, b, col, b_col=None, id="SYSTEM_ID", out=None, hot_rows=None):
     return joined.select(id, col, out, F.coalesce("n_trusted", F.lit(0)).alias("n_trusted"))
 
 
+def value_links(a, b, col, b_col=None):
+    """Classes of equal values: how many rows of each table hold one, and how many pairs they make.
+
+    Known values only, as NULL matches nothing. With `value_match` and `value_pairs` this is the whole
+    many-to-many join: no pair of a common value is written out to know of it.
+    """
+    sides = (a.select(F.col(col).alias("value"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+             .unionByName(b.select(F.col(b_col or col).alias("value"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
+    return (sides.filter(F.col("value").isNotNull()).groupBy("value")
+            .agg(F.sum("a").alias("n_extracted"), F.sum("b").alias("n_trusted"))
+            .withColumn("links", F.col("n_extracted") * F.col("n_trusted")))
+
+
+def value_pairs(a, b, col, b_col=None, id="SYSTEM_ID", out=None, hot_rows=None):
+    """Each extracted value once for every trusted row with that value, or once with NULL.
+
+    The join itself, row for row. It is read from `value_match`: an extracted row stands
+    as often as trusted rows hold its value, so no pair of tables is joined many to many.
+    """
+    out = out or f"TRUSTED_{col}"
+    matched = value_match(a, b, col, b_col, id, out, hot_rows)
+    times = F.array_repeat(F.lit(0), F.greatest(F.col("n_trusted"), F.lit(1)).cast("int"))
+    return matched.withColumn("_pair", F.explode(times)).select(id, col, out)
+
+
 def value_match_by_id(a, b, col, id="SYSTEM_ID", b_col=None, hot_rows=None):
     """One value per person, and whether any of the person's values is trusted."""
     b_col = b_col or col

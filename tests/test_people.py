@@ -172,3 +172,11 @@ def test_date_tables(frame, hot_rows):
     for limit in (0, 2 ** 63):
         got = validation.sample_dates(sample, both, max_bytes=limit, hot_rows=hot_rows)
         assert rows_of(got, "LETTER", "LetDate") == [("b", "4/2/2015"), ("q", None)]
+
+
+def test_links_and_pairs_of_values(frame):
+    a, b = frame("SYSTEM_ID int, V string", A, 4), frame("SYSTEM_ID int, T string", B)
+    assert rows_of(validation.value_links(a, b, "V", "T")) == [
+        ("q", 0, 1, 0), ("w", 0, 1, 0), ("x", 22, 2, 44), ("y", 1, 0, 0), ("z", 1, 0, 0)]
+    pairs = rows_of(validation.value_pairs(a, b, "V", "T"))
+    assert pairs == sorted([(i, v, t) for i, v in A for t in ([x for _, x in B if x == v and v is not None] or [None])], key=repr)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from letterflow.operators import dose, frequency, skew, validation
 from letterflow.operators.joins import (
-    anti_join_sql, join_null_safe, lookup_join, planned_bytes, semi_flag)
+    anti_join_sql, factored_join, join_null_safe, lookup_join, planned_bytes, semi_flag)
 from letterflow.operators.skew import LANE, hot_keys, in_lanes, null_safe, salted
 from letterflow.plans import validation as validation_plan
 from letterflow.sources.scan import scan_table
 from letterflow.sources.schemas import TABLE_SCHEMAS
+from work import work_done
 
 SF = ("SYSTEM_ID string, LETTER int, Start int, DATEREC date, CUI string, FreqChange string, "
       "NofS double, UNofS double, TP string, NofTP double, LNofTP double, Sin_Dur string, "
@@ -250,3 +251,20 @@ def test_full_joins_spread_common_letters_without_a_list(frame):
     parts, _ = salted(clinic, letter.withColumnRenamed("LETTER", "_r_LETTER"), ["LETTER"], hot, null_safe)
     sizes = [r["count"] for r in parts.filter("LETTER = 'hot'").groupBy("_salt").count().collect()]
     assert len(sizes) >= 3 and max(sizes) <= 40
+
+
+def test_rows_without_a_key_are_not_multiplied(frame):
+    """A third without a letter on both sides: two aggregates instead of their product."""
+    left = frame("k string, v int", [(None, i % 4) for i in range(300)] + [(f"a{i}", i) for i in range(600)], 5)
+    right = frame("k string, w int", [(None, i % 3) for i in range(200)] + [(f"a{i}", i) for i in range(0, 400, 2)], 4)
+    factored = factored_join(left, right, "k")
+    assert factored.left.count() == 4 and factored.right.count() == 3 and factored.known.count() == 600
+    assert tuple(factored.rows().first()) == (600, 300, 200, 600 + 300 * 200)
+    assert work_done(factored.rows())["shuffled"] < 5000
+    small = frame("k string, v int", [(None, 1), (None, 1), (None, 2), ("a0", 3), ("z", 4)])
+    few = right.filter("k = 'a0' or (k is null and w = 1)").limit(9)
+    for other in (few, few.filter("k is not null"), few.filter("k is null")):
+        whole = join_null_safe(small, other, "k", "left")
+        got = factored_join(small, other, "k")
+        assert rows_of(got.expanded()) == rows_of(whole)
+        assert got.rows().first()["total"] == whole.count()

@@ -8,6 +8,7 @@ from checks.adapters import load
 from conftest import rows_of
 from letterflow.functions import scalars as sc
 from letterflow.operators.dates import normalise_annotations
+from letterflow.sources import scan, schemas
 from letterflow.sources.scan import (
     null_tokens, register_views, scan_annotations, scan_table, upper_names)
 from letterflow.sources.schemas import ANNOTATION_SCHEMAS, KINDS, OLD_SEPARATOR, TABLE_SCHEMAS
@@ -190,3 +191,30 @@ def test_identifiers_and_gender(frame):
     genders = [("male",), ("female",), ("other",), (None,)]
     assert scalar(frame, "c string", genders, sc.gender_code("c")) == [1, 2, None, 9]
 
+
+def test_every_line_is_read_or_rejected(spark, tmp_path):
+    """Short, long and broken lines are told, with reasons; the others are read as ever."""
+    lines = ["7:a:01/02/2015:", "8:b::03/04/2016", "9:c", "10:d:1/1/2015:2/1/2015:more", ' NA : "e:x" :null: 5/5/2015 ',
+             'x:"f:1/1/2015:2/1/2015', "", "11"]
+    (tmp_path / "dates.csv").write_text("SYSTEM_ID:LETTER:Clinic_Date:LetDate\n" + "\n".join(lines) + "\n")
+    schema = TABLE_SCHEMAS["clinic_letter_dates"]
+    rows, rejected = scan.scan_checked(spark, str(tmp_path / "dates.csv"), schema, ":")
+    assert rows_of(rows, "SYSTEM_ID", "LETTER", "LetDate") == sorted(
+        [("7", "a", None), ("8", "b", "03/04/2016"), (None, "e:x", "5/5/2015")], key=repr)
+    assert rows_of(rejected, "line", "fields", "reason") == sorted([
+        ("9:c", 2, "short"), ("10:d:1/1/2015:2/1/2015:more", 5, "long"), ('x:"f:1/1/2015:2/1/2015', 4, "broken"),
+        ("11", 1, "short")], key=repr)
+    assert rows.count() + rejected.count() == len([x for x in lines if x])
+    assert {r[0].split("/")[-1] for r in rows_of(rejected, "file")} == {"dates.csv"}
+    plain = scan.scan_table(spark, str(tmp_path / "dates.csv"), schema, ":")
+    good = {r[0] for r in rows_of(rows, "LETTER")}
+    assert {r for r in rows_of(plain) if r[1] in good} == set(rows_of(rows))
+
+
+def test_headerless_lines_are_checked_too(spark, tmp_path):
+    names = [name for name, _ in schemas.annotation_fields("Diagnosis", "old")]
+    whole, spare = ",".join(["1"] * len(names)), ",".join(["2"] * (len(names) - 3))
+    (tmp_path / "d.csv").write_text(f"{whole}\n{spare}\n{whole}\n")
+    rows, rejected = scan.scan_annotations_checked(spark, str(tmp_path / "d.csv"), "Diagnosis", "old")
+    assert rows.columns == [n for n in names if n != schemas.SPARE] and rows.count() == 2
+    assert rows_of(rejected, "fields", "reason") == [(len(names) - 3, "short")]
