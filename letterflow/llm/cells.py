@@ -110,7 +110,8 @@ def grouped(space: Workspace, shared: DataFrame, contents: DataFrame, kind) -> D
     First all rows of a bucket are compared with its hub. Where components still meet in a bucket,
     all rows outside its most frequent one are then compared with the whole bucket, in blocks within
     tasks. So no link between rows of one bucket is lost, pairs are never written out, and in a group
-    of copies only the few that the hubs did not link are compared with all.
+    of copies only the few that the hubs did not link are compared with all. The workspace keeps
+    the result alone.
     """
     yes, no = F.lit(True), F.lit(False)
     pairs = space.keep(shared.filter("id <> hub").select(F.col("hub").alias("key"), "id").distinct(), "pairs")
@@ -120,7 +121,10 @@ def grouped(space: Workspace, shared: DataFrame, contents: DataFrame, kind) -> D
     links = space.keep(_compare(hubs.unionAll(around), contents, kind), "links")
     roots = components(space, links, "first")
     rest = space.keep(_compare(_open(shared, roots), contents, kind), "rest")
-    return components(space, links.unionAll(rest), "last")
+    last = components(space, links.unionAll(rest), "last")
+    for done in ("pairs", "links", "rest", "first"):
+        space.remove(done)
+    return last
 
 
 def buckets(banded: DataFrame) -> DataFrame:

@@ -51,15 +51,16 @@ def components(space: Workspace, links: DataFrame, name: str) -> DataFrame:
     """(node, root): each linked node and the smallest node it can reach; roots are not listed.
 
     `links` has two long columns; order, repeats and loops don't matter, nulls are left out.
-    No links give no rows.
+    No links give no rows. The result is a table in the folder `name` of the workspace.
     """
     a, b = (F.col(c) for c in links.columns)
     now = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b")
-    now = space.keep(now.mapInArrow(_forest, STARS), f"{name}-0")
+    now = space.keep(now.mapInArrow(_forest, STARS), f"{name}/0")
     seen, turn = None, 0
     while True:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state[0] == 0 or state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen, turn = state, turn + 1
-        now = space.keep(_stars(now), f"{name}-{turn}")
+        now = space.keep(_stars(now), f"{name}/{turn}")
+        space.remove(f"{name}/{turn - 1}")

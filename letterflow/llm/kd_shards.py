@@ -102,6 +102,7 @@ def kd_shards(docs: DataFrame, size: Column, dimensions: list[Column], shards: i
     level = 0
     while open_:
         placed = space.keep(placed, f"level-{level}")
+        space.remove(f"level-{level - 1}" if level else "places")
         nodes = _widest(placed, names, open_, places)
         _find_medians(placed, names, nodes, stats["size"] / shards, places)
         placed = _split(placed, names, nodes, places)
@@ -109,6 +110,7 @@ def kd_shards(docs: DataFrame, size: Column, dimensions: list[Column], shards: i
             (n.first, n.leaves // 2), (n.first + n.leaves // 2, n.leaves - n.leaves // 2)) if x[1] > 1]
         level += 1
     leaf = space.keep(placed.select(rid, F.col("node").cast("int").alias("shard")), "leaves")
+    space.remove(f"level-{level - 1}" if level else "places")
     slots = running_total(
         leaf.withColumn("_part", part).withColumn("_one", F.lit(1).cast("long")), "_one", ["shard"], "_part",
         [F.col(rid)], "slot").select(F.col(rid).alias(at), "shard", "slot")

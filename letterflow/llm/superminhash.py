@@ -147,6 +147,8 @@ def _grouped(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
     roots = grouped(space, shared, sets, Sets)
     placed = space.keep(classes.join(roots, F.col("id") == F.col("node"), "left").select(
         "digest", "first", F.coalesce("root", "id").alias("root")), "placed")
+    for done in ("classes", "shared", "sets", "last"):
+        space.remove(done)
     names = placed.groupBy("root").agg(F.min("first").alias("least"))
     return signed.select("doc_id", "n_shingles", "digest"), placed.join(names, "root").select(
         F.col("digest").alias("_digest"), F.col("least.doc_id").alias("name"), F.col("least.key").alias("keeper"))

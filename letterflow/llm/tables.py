@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_within: ContextVar[str | None] = ContextVar("within", default=None)
+
+
 class Workspace:
     """A new folder for one run's tables, in the folder all executors share.
 
     The folder is `spark.checkpoint.dir`; where it is unset, in local mode only, a temporary one.
-    Tables stay until the caller deletes `path`, since a result may still read them.
+    Tables stay until `remove` or until the caller deletes `path`, since a result may still read
+    them. Operators take a workspace of the caller's, or make one, which then lies below
+    `holding` of an outer workspace, if there is one.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        shared = spark.conf.get("spark.checkpoint.dir", None)
+        shared = _within.get() or spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -26,6 +33,21 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+    @contextmanager
+    def holding(self, name: str):
+        """Workspaces made in this block lie in the folder `name` of this one, to be removed together."""
+        before = _within.set(f"{self.path}/{name}")
+        try:
+            yield
+        finally:
+            _within.reset(before)
+
+    def remove(self, name: str) -> None:
+        """Delete a table, or all workspaces held under a name, once no result reads them any more."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and read it back: later steps neither repeat its work nor lose it."""
         df.write.parquet(f"{self.path}/{name}")

@@ -1,5 +1,7 @@
 """The stages one after another, each judged on its own input."""
 
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
@@ -64,8 +66,11 @@ def test_all_rows_are_sharded(tables):
     assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and set(shards) <= set(range(24))
 
 
-def test_run_gives_the_last_table(spark, tables):
-    assert rows(corpus_pipeline.run(spark, SF)) == rows(tables[5])
+def test_run_gives_the_last_table_and_leaves_nothing_else(spark, tables):
+    out = corpus_pipeline.run(spark, SF)
+    assert rows(out) == rows(tables[5])
+    folder = Path(out.inputFiles()[0].removeprefix("file://")).parent.parent
+    assert {p.name for p in folder.iterdir()} == {"4-shard"}
 
 
 def test_language_query_on_held_out_documents(spark):
