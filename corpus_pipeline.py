@@ -15,7 +15,7 @@ SHARDS = 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and those that resemble no language learnt here, go."""
+    """Texts without letters, and long ones that resemble no language learnt here, go."""
     return recognised(docs)
 
 
@@ -51,9 +51,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's table is written and read again by the next."""
+    """All stages over `documents`; each stage's table is written and read again by the next.
+
+    What a stage kept for itself, and the table before it, are deleted once its own is written: in the
+    end there is the last table alone, in a folder below `spark.checkpoint.dir` that `inputFiles` names.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    space = Workspace(spark, "corpus-pipeline")
+    space, before = Workspace(spark, "corpus-pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = space.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with space.holding(f"{k}-{name}-work"):
+            docs = space.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        for done in (f"{k}-{name}-work", before):
+            if done:
+                space.remove(done)
+        before = f"{k}-{name}"
     return docs
