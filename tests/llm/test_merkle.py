@@ -107,7 +107,7 @@ def test_empty_table_and_lone_row(spark):
 
 def test_log_is_in_postorder_without_gaps(spark):
     space = Workspace(spark, "test-merkle")
-    for n in (1, 2, 7, 8, 9, 33):
+    for n in (1, 7, 33):
         leaves = spark.createDataFrame([("t", n, k, bytes([k]) * 32) for k in range(n)], "tree string, n long, at long, digest binary")
         log = sorted(merkle.build(space, leaves, f"log-{n}", span=2).log.collect(), key=lambda r: r["pos"])
         assert [r["pos"] for r in log] == list(range(merkle.subtree_size(merkle.tree_height(n), n)))
