@@ -675,7 +675,7 @@ def dates_with_letters_common(spark, d):
 
 @query
 def duplicate_docs(spark, d):
-    return validation.duplicate_rows(dates_and_docs(spark, d), "DOC")
+    return validation.duplicate_rows(dates_and_docs(spark, d), "DOC", path=new_folder(spark, "dates"))
 
 
 @query

@@ -50,8 +50,8 @@ def hot_keys(df, keys, hot_rows=HOT_ROWS, rows=None):
 def frequent_keys(sides, key, hot_rows=HOT_ROWS, most=1000, tracked=10_000):
     """For each of several tables, its common keys as from `hot_keys`, by one sketch over one pass of each.
 
-    A frequent-items sketch of `tracked` counters a table finds every key with more than one
-    in `tracked` / 2 of its rows, the `most` commonest of them; their counts are close. Keys with
+    A frequent-items sketch of `tracked` counters a table finds every key with more than four
+    in `tracked` of its rows, the `most` commonest of them; their counts are off by less. Keys with
     more than `hot_rows` rows count as common. At most `most` keys a table are broadcast,
     whatever the tables hold, so nothing needs to be known of them. NULL is no key here:
     in joins where NULL equals NULL name it by `hot_keys`.

@@ -6,6 +6,7 @@ from letterflow.functions.scalars import parse_dmy
 from letterflow.operators.joins import (
     LOOKUP_BYTES, anti_join_sql, join_null_safe, planned_bytes, semi_flag)
 from letterflow.operators.skew import hot_keys
+from letterflow.sources.sink import keep
 
 
 def membership(a, b, col, b_col=None, hot_rows=None):
@@ -113,8 +114,14 @@ def dates_with_letters(dates, letters, on="LETTER", hot_rows=None, suffix=None,
                           right_hot=right_hot, suffix=suffix)
 
 
-def duplicate_rows(df, key="DOC", hot_rows=None):
-    """Rows whose key occurs more than once (NULL is a key like any other)."""
+def duplicate_rows(df, key="DOC", hot_rows=None, path=None):
+    """Rows whose key occurs more than once (NULL is a key like any other).
+
+    The rows are read twice, to count keys and to find them. With `path`, a new folder, they are
+    kept there first, so whatever made them is evaluated once, and counting reads the key alone.
+    """
+    if path is not None:
+        df = keep(df, path)
     counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
     hot = None if hot_rows is None else hot_keys(counts, [key], hot_rows, "_rows")
     repeated = counts.filter(F.col("_rows") > 1).drop("_rows")

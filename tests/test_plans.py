@@ -11,7 +11,7 @@ from checks.compare import database, difference
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
 from conftest import rows_of
-from letterflow.operators import dates, frequency, identity, skew
+from letterflow.operators import dates, frequency, identity, skew, validation
 from letterflow.plans import identity as identity_plan
 from letterflow.plans import prescriptions
 from letterflow.sources import sink
@@ -140,6 +140,15 @@ def test_identity_is_not_shuffled_again_for_nine_tables(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_repeated_keys_evaluate_two_full_joins_once(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(validation, "keep", lambda df, path: kept.setdefault("rows", df) and sink.keep(df, path))
+    plan = queries()["duplicate_docs"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert static_names(kept["rows"]).count("FileScan") == 3
+    # then the kept rows, and their keys alone
+    assert names(plan).count("FileScan") == 2 and "ReadSchema: struct<DOC:bigint>" in plan
+
+
 def test_scores_are_evaluated_once(spark):
     """The ends of the scores are seen as they are written; then the kept table is read once."""
     assert static_names(queries()["severity_norm"](spark, SMALL)).count("FileScan") == 1
