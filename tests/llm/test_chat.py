@@ -115,3 +115,15 @@ def test_text_under_the_mask_is_read_by_its_spans(spark):
     moved = F.transform("loss_spans", lambda s: F.struct((s["begin"] - 1).alias("begin"), s["end"].alias("end")))
     other = chats.withColumn("loss", chat_events.masked(F.col("formatted"), moved)).filter("conv_id = 1").first()
     assert len(other["loss"]) == len("".join(texts)) + len(texts)
+
+
+def test_mask_over_many_turns_and_marks_of_byte_order(spark):
+    texts = ["\ufeff", "\ufeffa\ufeff", "😀", "", *(f"turn {k} é" for k in range(3000))]
+    messages = spark.createDataFrame([(1, k, "assistant", t) for k, t in enumerate(texts)],
+                                     "conv_id long, turn long, role string, text string")
+    chats = chat_events.render(messages)
+    got = chats.select(chat_events.masked(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()["loss"]
+    assert got == "".join(texts)
+    empty = spark.range(1).select(chat_events.masked(F.lit(""), F.expr(
+        "cast(array() as array<struct<begin: bigint, end: bigint>>)")).alias("loss"))
+    assert empty.first()["loss"] == ""
