@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ BANDS, BAND_BITS = 40, 14
 #: Documents of a part, of which one travels twice, while there are no more parts than the driver
 #: keeps bounds of; beyond that parts are longer, which tasks don't mind as documents pass one by one.
 PART_DOCS, PARTS = 1024, 1 << 16
+#: First bytes of a text that cut the rows of a common doc_id, and keys of such rows sampled for each range.
+PREFIX, SAMPLES = 32, 8
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -276,6 +279,10 @@ def _measured(held: list[tuple[int, str, str]]) -> pa.RecordBatch:
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def _key_of(order: float) -> bytes:
+    return ((1 << 63) - 1 - max(-(1 << 63), min(int(order), (1 << 63) - 1))).to_bytes(8, "big")
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprint of every document beside that of its edited text and of the next document.
 
@@ -283,33 +290,46 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     doc_id, after the last the first; rows with equal doc_id stand in order of text, those without
     come last. A null text is empty. One row for each row; an empty table gives none.
 
-    Documents are dealt into ranges of doc_id with about PART_DOCS rows, of which there are at most
-    PARTS; the first document of each range goes to the range before it as well, so each text is
-    moved once.
+    Documents are dealt into ranges of that order with about PART_DOCS rows, of which there are at most
+    PARTS. A doc_id that fills several ranges, or rows without one, are cut by the first PREFIX bytes
+    of their texts; only texts that begin alike under one doc_id stay together. The first document
+    of each range goes to the range before it as well, so each text is moved once.
     """
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("order"))
-    parts = min(max(1, texts.count() // PART_DOCS), PARTS)
-    bounds = np.unique(np.array(
-        texts.approxQuantile("order", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else [], float)
-    ).astype(np.int64)
+    rows = texts.count()
+    parts = min(max(1, rows // PART_DOCS), PARTS)
+    edges = texts.approxQuantile("order", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    # keys stand in the order of the result: doc_id descending, then the text's first bytes where an id is common
+    common = sorted(v for v, n in Counter(edges).items() if n > 1)
+    key = F.unhex(F.lpad(F.hex(F.bitwise_not(F.col("order").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0"))
+    if common:
+        is_common = F.col("order").cast("double").isin(common)
+        key = F.concat(key, F.when(is_common, F.substring(F.col("text").cast("binary"), 1, PREFIX)).otherwise(F.lit(b"")))
+    cuts = {_key_of(v) + b"\xff" * PREFIX for v in edges}
+    if common:
+        some = texts.filter(is_common).select(key.alias("key")).sample(min(1.0, SAMPLES * parts / rows), seed=1)
+        cuts.update(sorted(r["key"] for r in some.collect())[SAMPLES::SAMPLES])
+    bounds = np.array(sorted(cuts), f"S{8 + PREFIX}")
+
+    def place(keys: pd.Series) -> np.ndarray:
+        return np.searchsorted(bounds, np.array(keys.to_list(), bounds.dtype), "left").astype(np.int32)
 
     @F.pandas_udf("int")
-    def part_of(order: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, order.to_numpy(), "right")).astype("int32")
+    def part_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(place(keys))
 
-    tops = sorted(texts.select("order", part_of("order").alias("part")).groupBy("part").agg(
-        F.max("order").alias("top")).collect(), key=lambda r: r["part"])
-    into = {r["top"]: tops[k - 1]["part"] for k, r in enumerate(tops)}  # the first one's part is the last
+    tops = sorted(texts.select(key.alias("key")).select("key", part_of("key").alias("part")).groupBy("part").agg(
+        F.min("key").alias("top")).collect(), key=lambda r: r["part"])
+    into = {bytes(r["top"]): tops[k - 1]["part"] for k, r in enumerate(tops)}  # the first one's part is the last
 
     @F.pandas_udf("array<int>")
-    def parts_of(order: pd.Series) -> pd.Series:
-        own = len(bounds) - np.searchsorted(bounds, order.to_numpy(), "right")
-        return pd.Series([[int(p), into[o]] if o in into else [int(p)] for p, o in zip(own, order.to_list())])
+    def parts_of(keys: pd.Series) -> pd.Series:
+        return pd.Series([[int(p), into[k]] if k in into else [int(p)] for p, k in zip(place(keys), map(bytes, keys))])
 
-    dealt = texts.select("doc_id", "order", "text", F.posexplode(parts_of("order")).alias("copied", "part"))
+    dealt = texts.select("doc_id", "order", "text", F.posexplode(parts_of(key)).alias("copied", "part"))
     return (dealt.repartition("part").sortWithinPartitions("part", "copied", F.desc("order"), "text")
             .select("part", (F.col("copied") > 0).alias("copied"), "doc_id", "text")
             .mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from letterflow.llm import edit_fingerprint as ef
 
@@ -104,6 +105,33 @@ def test_repeated_ids_nulls_one_row_and_none(spark):
     assert collected(spark.createDataFrame([], SCHEMA)) == []
 
 
+def test_a_common_id_is_cut_by_its_texts(spark, monkeypatch):
+    """A third of the rows without doc_id, a third with one, ends of the range of ids, copies; no part holds a group."""
+    monkeypatch.setattr(ef, "PART_DOCS", 10)
+    rng = random.Random(6)
+    words = lambda: "".join(rng.choice("abcé\x00 ") for _ in range(rng.randrange(0, 60)))
+    rows = [(doc, words()) for doc in [None] * 100 + [(1 << 62) + 1] * 100 + list(range(90))]
+    rows += [(None, "a" * 50 + x) for x in "cba"] * 2 + [((1 << 63) - 1, "top"), (-(1 << 63), None), (None, "")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA).repartition(3)
+
+    def sizes(batches):
+        """One row for each part that a task holds: how many rows it has, in n_chars."""
+        seen = {}
+        for batch in batches:
+            for part in batch.column("part").to_pylist():
+                seen[part] = seen.get(part, 0) + 1
+        n = pa.array(list(seen.values()), pa.int64())
+        text, number = pa.array([""] * len(n), pa.string()), pa.array([0.0] * len(n), pa.float64())
+        yield pa.RecordBatch.from_arrays([n, n, text, text, text, number, number], names=[
+            "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+    assert collected(docs) == brute(rows)
+    monkeypatch.setattr(ef, "_compared", sizes)
+    held = [r["n_chars"] for r in ef.compare_with_next(docs).select("n_chars").collect()]
+    assert sum(held) >= len(rows) and max(held) <= 50 and len(held) > 10
+
+
 def test_edited_text():
     assert ef.edited("abcdef", "XYZUVW") == "abcXYZ"
     assert ef.edited("abcde", "X") == "abcX" and ef.edited("", "X") == "" and ef.edited("a", "X") == "a"
