@@ -12,8 +12,9 @@ from pyspark.sql import Window, functions as F
 
 from letterflow.sources.sink import keep_bucketed
 
-# Rows of a range, about, and ranges there may be: their ends are broadcast.
-RANGE_ROWS = 1 << 20
+# Rows of a range, about, and ranges there may be: their ends are broadcast. Ranges are hashed to as many
+# buckets, so a few meet in one task, which sorts all of them: a range is small against what a task can hold.
+RANGE_ROWS = 1 << 17
 MOST_RANGES = 1 << 16
 
 PART, AT, SIZE = "_part", "_at", "_size"

@@ -3,6 +3,7 @@
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows_of
 from letterflow.operators import dose, frequency, ranges
@@ -62,6 +63,14 @@ def test_copies_of_one_row_are_spread(spark, frame, monkeypatch):
     assert sum(sizes) == 3000 and max(sizes) <= 300
 
 
+def test_ranges_that_share_a_bucket_are_a_small_task(spark):
+    """Ranges are hashed to buckets: what meets in one task stays small as tables grow."""
+    df = spark.range(3_000_000).select((F.col("id") % 1000).alias("SYSTEM_ID"), F.col("id").alias("v"))
+    kept = ranges.ranged(df, ["SYSTEM_ID", "v"], folder(spark))
+    tasks = ranges.sizes(kept).groupBy(F.spark_partition_id()).agg(F.sum("_size").alias("rows")).collect()
+    assert sum(r["rows"] for r in tasks) == 3_000_000 and max(r["rows"] for r in tasks) <= 700_000
+
+
 def test_look_backs_shuffle_no_report_again(spark, frame):
     """After the kept, bucketed table its rows stay where they are: only the ends of ranges move."""
     rows = [(f"p{k % 5}", k, 1, date(2015, 1, 1) + timedelta(days=k % 900), "C0", None, 1.0, None, "Day", 1.0, None, None,
