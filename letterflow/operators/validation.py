@@ -8,6 +8,10 @@ from letterflow.operators.joins import (
 from letterflow.operators.skew import hot_keys
 from letterflow.sources.sink import keep
 
+# Pairs of one extracted row that are made at once, and tasks a core that share all pairs.
+PAIRS_AT_ONCE = 4096
+TASKS_PER_CORE = 4
+
 
 def membership(a, b, col, b_col=None, hot_rows=None):
     """Rows of `a` with `matched`: does the value occur in `b`?"""
@@ -68,11 +72,19 @@ def value_pairs(a, b, col, b_col=None, id="SYSTEM_ID", out=None, hot_rows=None):
 
     The join itself, row for row. It is read from `value_match`: an extracted row stands
     as often as trusted rows hold its value, so no pair of tables is joined many to many.
+    Rows are dealt out in pieces before they are repeated, so the pairs are shared by all cores
+    however the input is split, and no task holds more than `PAIRS_AT_ONCE` at a time. There are
+    as many rows as pairs, which grow with the product of the tables.
     """
     out = out or f"TRUSTED_{col}"
-    matched = value_match(a, b, col, b_col, id, out, hot_rows)
-    times = F.array_repeat(F.lit(0), F.greatest(F.col("n_trusted"), F.lit(1)).cast("int"))
-    return matched.withColumn("_pair", F.explode(times)).select(id, col, out)
+    matched = value_match(a, b, col, b_col, id, out, hot_rows).withColumn("_n", F.greatest("n_trusted", F.lit(1)))
+    pieces = matched.withColumn("_piece", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / PAIRS_AT_ONCE))))
+    left = F.col("_n") - F.col("_piece") * PAIRS_AT_ONCE
+    pieces = pieces.select(id, col, out, F.least(left, F.lit(PAIRS_AT_ONCE)).cast("int").alias("_times"))
+    tasks = TASKS_PER_CORE * a.sparkSession.sparkContext.defaultParallelism
+    times = F.array_repeat(F.lit(0), F.col("_times"))
+    return pieces.repartition(tasks).withColumn("_pair", F.explode(times)).select(id, col, out)
 
 
 def value_match_by_id(a, b, col, id="SYSTEM_ID", b_col=None, hot_rows=None):

@@ -180,3 +180,12 @@ def test_links_and_pairs_of_values(frame):
         ("q", 0, 1, 0), ("w", 0, 1, 0), ("x", 22, 2, 44), ("y", 1, 0, 0), ("z", 1, 0, 0)]
     pairs = rows_of(validation.value_pairs(a, b, "V", "T"))
     assert pairs == sorted([(i, v, t) for i, v in A for t in ([x for _, x in B if x == v and v is not None] or [None])], key=repr)
+
+
+def test_pairs_of_a_common_value_are_shared_by_tasks(spark, frame):
+    a = frame("SYSTEM_ID long, V string", [(k, "x") for k in range(64)] + [(64, "none")], 1)
+    b = frame("T string", [("x",)] * 9000, 1)
+    pairs = validation.value_pairs(a, b, "V", "T")
+    tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 64 * 9000 + 1 and max(tasks) <= 64 * 9000 / 4
+    assert {r["count"] for r in pairs.groupBy("SYSTEM_ID").count().collect()} == {9000, 1}
